@@ -1,0 +1 @@
+"""Nothing lives here: every input of this engine is read in batch."""
