@@ -73,6 +73,11 @@ def rows_within(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit
 
 
+def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
+    """Row count, or ``limit + 1`` when there are more: a bound to pass to ``attach``."""
+    return df.select(F.lit(1)).limit(limit + 1).count()
+
+
 def attach(big: DataFrame, small: DataFrame, on, bound, how: str = "left") -> DataFrame:
     """Join ``small`` (one row per key) onto ``big``.
 
