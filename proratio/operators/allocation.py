@@ -112,7 +112,7 @@ def unit_weights(units: DataFrame, config: AllocationConfig) -> DataFrame:
     s_unc, s_floor, s_pos = config.scales
     area_scale = AREA_SCALE + s_unc
     scale = area_scale + s_floor + s_pos
-    kind = f"decimal({weight_digits(config)},{scale})"
+    kind = f"decimal({weight_digits(config.scales)},{scale})"
     unc = F.lit(str(config.uncovered)).cast(f"decimal({s_unc + 6},{s_unc})")
     return (
         units.withColumn("floor_band", floor_band(F.col("floor"), config.bands))
@@ -129,15 +129,15 @@ def unit_weights(units: DataFrame, config: AllocationConfig) -> DataFrame:
     )
 
 
-def weight_digits(config: AllocationConfig) -> int:
+def weight_digits(scales: tuple[int, int, int]) -> int:
     """Digits of a unit weight: area, its factors' places, and two digits of growth."""
-    digits = AREA_DIGITS - AREA_SCALE + 2 + AREA_SCALE + sum(config.scales)
+    digits = AREA_DIGITS + 2 + sum(scales)
     if digits + SUM_DIGITS > 36:
         raise ScenarioError(f"factors need {digits} digits; give them with fewer places")
     return digits
 
 
-def group_totals(weights: DataFrame, targets: DataFrame, config: AllocationConfig, bound) -> DataFrame:
+def group_totals(weights: DataFrame, targets: DataFrame, bound) -> DataFrame:
     """Per development: total weight, target, and the unit that takes the rounding residual.
 
     That unit has the largest share; ties go to the lowest tower, then the lowest
@@ -165,12 +165,47 @@ def allocate(units: DataFrame, targets: DataFrame, config: AllocationConfig, bou
     ``bound`` proves the number of developments (see ``session.attach``); by
     default the targets table itself is counted.
     """
+    return allocate_weights(units.columns, unit_weights(units, config), targets, config.scales, bound)
+
+
+def table_weights(units: DataFrame, bands: DataFrame, calibrations: DataFrame, parameters: DataFrame,
+                  scales: tuple[int, int, int], bounds: tuple) -> DataFrame:
+    """``unit_weights`` where every development brings its own bands, factors and parameter.
+
+    ``calibrations`` carries ``development_id, set_code, category_key, factor``;
+    ``parameters`` carries ``development_id, key, numeric_value``. ``scales`` says how
+    many places the three factors use and ``bounds`` how many bands, calibration
+    entries and parameters there can be.
+    """
+    s_unc, s_floor, s_pos = scales
+    area_scale = AREA_SCALE + s_unc
+    rows = attach(units, band_table(bands), ["development_id", "floor"], bounds[0])
+    for code, key, name, scale in ((FLOOR_SET, "floor_band", "floor_factor", s_floor), (POSITION_SET, "position", "position_factor", s_pos)):
+        entries = calibrations.where(F.col("set_code") == code).select(
+            "development_id", F.col("category_key").alias(key), F.col("factor").cast(f"decimal({scale + 6},{scale})").alias(name)
+        )
+        rows = attach(rows, entries, ["development_id", key], bounds[1])
+    unc = parameters.where(F.col("key") == UNCOVERED).select(
+        "development_id", F.col("numeric_value").cast(f"decimal({s_unc + 6},{s_unc})").alias("_unc")
+    )
+    rows = attach(rows, unc, "development_id", bounds[2])
+    kind = f"decimal({weight_digits(scales)},{area_scale + s_floor + s_pos})"
+    area = weighted_area(F.col("private_area_m2"), F.col("uncovered_area_m2"), F.col("_unc"))
+    return (
+        rows.withColumn("area_weight", area.cast(f"decimal({AREA_DIGITS - AREA_SCALE + 1 + area_scale},{area_scale})"))
+        .drop("_unc")
+        .withColumn("combined_factor", F.col("floor_factor") * F.col("position_factor"))
+        .withColumn("adjustment_weight", (F.col("area_weight") * F.col("combined_factor")).cast(kind))
+    )
+
+
+def allocate_weights(columns: list[str], weights: DataFrame, targets: DataFrame, scales: tuple[int, int, int], bound=None) -> DataFrame:
+    """Prices from weights whose three factors use ``scales`` places."""
     bound = targets if bound is None else bound
-    weights = unit_weights(units, config)
-    scale = AREA_SCALE + sum(config.scales)
-    w_digits = weight_digits(config)
+    scale = AREA_SCALE + sum(scales)
+    w_digits = weight_digits(scales)
     total_digits = w_digits + SUM_DIGITS
-    totals = group_totals(weights, targets, config, bound)
+    totals = group_totals(weights, targets, bound)
 
     joined = attach(weights, totals, "development_id", bound, "inner")
     target_c = whole(F.col("target_value"), 2, MONEY_DIGITS)
@@ -190,7 +225,7 @@ def allocate(units: DataFrame, targets: DataFrame, config: AllocationConfig, bou
     hundred = F.lit(100).cast("decimal(3,0)")
     # A shared closing unit code cannot exist: (tower, unit_code) is unique per development.
     return closed.withColumn("price_c", price_c).select(
-        *units.columns,
+        *[c for c in columns if c != "floor_band"],
         "floor_band",
         "floor_factor",
         "position_factor",
@@ -287,15 +322,16 @@ def adjustment_trail(allocated: DataFrame) -> DataFrame:
     return allocated.select("development_id", "tower", "unit_code", F.inline(steps))
 
 
-def apply_overrides(prices: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+def apply_overrides(prices: DataFrame, events: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """One priced record per override event: previous, proposed = final, impact.
 
     The system price is never changed. Events that name no priced unit are left
-    out here; ``override_errors`` lists them.
+    out here; ``override_errors`` lists them. ``carry`` names more columns of the
+    priced unit to keep.
     """
     final = F.round(F.col("system_price") + F.col("override_delta"), 2).cast("decimal(18,2)")
     return (
-        events.join(prices.select(*keys, "system_price"), keys, "inner")
+        events.join(prices.select(*keys, *carry, "system_price"), keys, "inner")
         .withColumn("previous_price", F.col("system_price"))
         .withColumn("proposed_price", final)
         .withColumn("final_price", final)
@@ -395,9 +431,9 @@ def logical_hash(allocated: DataFrame, bound, algorithm: str = ALGORITHM, block:
     return whole_text.select("development_id", F.sha2(document, 256).alias("logical_hash"))
 
 
-def run_rows(allocated: DataFrame, runs: DataFrame) -> DataFrame:
-    """The same allocation stored under several runs (``runs`` is configuration-sized)."""
-    return allocated.crossJoin(F.broadcast(runs))
+def run_rows(allocated: DataFrame, codes: list[str]) -> DataFrame:
+    """The same allocation stored under several runs."""
+    return allocated.withColumn("run_code", F.explode(F.array(*[F.lit(c) for c in codes])))
 
 
 def verify(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ one sheet per priority, one row per order, up to eight cells per row.
 
 from __future__ import annotations
 
+import json
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -123,10 +124,9 @@ class Cells:
 
     @cached_property
     def mapping(self) -> DataFrame:
-        schema = mapping_source.ENTRY.replace("workbook_id string, sheet_name string, ", "")
-        rows = self.spark.createDataFrame([{f.split()[0]: e.get(f.split()[0]) for f in _split(schema)} for e in ENTRIES], schema)
-        # eleven entries per sheet
-        return mapping_source.with_ids(self.sheets.crossJoin(F.broadcast(rows)))
+        fields = mapping_source.ENTRY.replace("workbook_id string, sheet_name string, ", "")
+        listed = F.from_json(F.lit(json.dumps(ENTRIES)), f"array<struct<{fields.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map')}>>")
+        return mapping_source.with_ids(self.sheets.select("workbook_id", "sheet_name", F.inline(listed)))
 
     @cached_property
     def map_bound(self) -> int:
@@ -141,11 +141,6 @@ class Cells:
         return self.sheets.select("workbook_id").distinct()
 
 
-def _split(schema: str) -> list[str]:
-    """Fields of a schema text; the one type with a comma holds no blank."""
-    return [f.strip() for f in schema.split(", ")]
-
-
 CELLS = """
 o AS (SELECT 'WB-' || o_orderstatus AS workbook_id, o_orderpriority AS sheet_name, o_orderkey AS k,
     CAST(o_orderkey + 2 AS INTEGER) AS r, CAST(o_totalprice AS DECIMAL(18,2)) AS total, o_orderdate FROM orders),

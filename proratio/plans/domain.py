@@ -181,8 +181,8 @@ class Domain:
     @cached_property
     def results(self) -> DataFrame:
         """The allocation stored under each completed run."""
-        codes = self.spark.createDataFrame([(c,) for c, s, _ in RUNS if s == "COMPLETED"], "run_code string")
-        rows = allocation.run_rows(self.allocated, codes)
+        codes = [c for c, s, _ in RUNS if s == "COMPLETED"]
+        rows = allocation.run_rows(self.stored_allocation, codes)
         return rows.withColumn(
             "run_id", F.concat(F.lit("SC-"), F.col("development_id").cast("string"), F.lit(":"), F.col("run_code"))
         )
@@ -191,11 +191,9 @@ class Domain:
     def overrides(self) -> DataFrame:
         """Every override decision of the override run, priced."""
         priced = allocation.apply_overrides(
-            self.allocated.select("unit_id", "development_id", "tower", "unit_code", "system_price"),
-            self.override_events, ["unit_id"],
+            self.stored_allocation, self.override_events, ["unit_id"], carry=("development_id",)
         )
-        owner = self.allocated.select("unit_id", "development_id")
-        return priced.join(owner, "unit_id").withColumn(
+        return priced.withColumn(
             "run_id", F.concat(F.lit("SC-"), F.col("development_id").cast("string"), F.lit(f":{OVERRIDE_RUN}"))
         )
 
