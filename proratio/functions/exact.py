@@ -13,9 +13,14 @@ MONEY = "decimal(18,2)"
 DIGITS = 38
 
 
+def power(n: int) -> Column:
+    """A power of ten as a decimal literal; it may be wider than a machine integer."""
+    return F.lit(str(10**n)).cast(f"decimal({n + 1},0)")
+
+
 def whole(column: Column, scale: int, digits: int) -> Column:
     """A decimal with ``scale`` places as a whole number of its last place."""
-    return (column * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast(f"decimal({digits},0)")
+    return (column * power(scale)).cast(f"decimal({digits},0)")
 
 
 def unscale(column: Column, scale: int, precision: int) -> Column:
@@ -45,19 +50,18 @@ def mul_div(t: Column, w: Column, total: Column, *, digits: tuple[int, int, int]
         if limb < 1:
             raise ValueError(f"cannot divide exactly: {digits} digits")
         count = -(-t_digits // limb)
-    base = 10**limb
     quotient, rest = None, None
     for i in reversed(range(count)):
         part = t
         if count > 1:
-            part = part % F.lit(10 ** (limb * (i + 1))).cast("decimal(38,0)")
-            part = div(part, F.lit(10 ** (limb * i)).cast("decimal(38,0)"))
+            part = part % power(limb * (i + 1))
+            part = div(part, power(limb * i))
             part = part.cast(f"decimal({limb},0)")
         value = (part * w).cast("decimal(38,0)")
         if rest is not None:
-            value = (rest * F.lit(base).cast(f"decimal({limb + 1},0)") + value).cast("decimal(38,0)")
+            value = (rest * power(limb) + value).cast("decimal(38,0)")
         q = div(value, total)
-        quotient = q if quotient is None else quotient * F.lit(base).cast("bigint") + q
+        quotient = q if quotient is None else quotient * F.lit(10**limb) + q
         rest = (value % total).cast(f"decimal({total_digits},0)")
     # Compare the rest with what is missing, not with a doubled total: no digit is added.
     missing = total - rest
