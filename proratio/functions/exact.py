@@ -34,29 +34,40 @@ def div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def mul_div(t: Column, w: Column, total: Column, *, digits: tuple[int, int, int], even: bool = False) -> Column:
+def half_of(total: Column, digits: int) -> Column:
+    """Half of a whole number, rounded down."""
+    two = F.lit("2").cast("decimal(1,0)")
+    return ((total - total % two) * F.lit("0.5").cast("decimal(1,1)")).cast(f"decimal({digits},0)")
+
+
+def mul_div(t: Column, w: Column, total: Column, *, digits: tuple[int, int, int], even: bool = False,
+            half: Column | None = None) -> Column:
     """``t * w / total`` as BIGINT, rounded half up (or half even).
 
     All three are whole, ``t`` and ``w`` not negative, ``total`` positive, and
-    ``digits`` is how many digits each may have. When the product could pass 38
-    digits ``t`` is cut into limbs and divided by long division, so no step
-    overflows and the result stays exact. The result must fit in 18 digits.
+    ``digits`` is how many digits each may have. ``half`` is ``half_of(total)``
+    where the caller has it ready, one per group. The result must fit in 18 digits.
+
+    Adding half the total before dividing rounds half up. When the product could
+    pass 38 digits ``t`` is cut into limbs and divided by long division, so no step
+    overflows and the result stays exact.
     """
     t_digits, w_digits, total_digits = digits
-    if t_digits + w_digits <= DIGITS:
-        limb, count = t_digits, 1
-    else:
-        limb = min(DIGITS - w_digits - 1, DIGITS - 1 - total_digits, 17)
-        if limb < 1:
-            raise ValueError(f"cannot divide exactly: {digits} digits")
-        count = -(-t_digits // limb)
+    if max(t_digits + w_digits, total_digits) < DIGITS:
+        half = half_of(total, total_digits) if half is None else half
+        value = (t * w + half).cast("decimal(38,0)")
+        quotient = div(value, total)
+        if not even:
+            return quotient
+        # A tie was rounded up: nothing is left over, and half of the total was exact.
+        tie = (value % total == 0) & (total % 2 == 0)
+        return F.when(tie & (quotient % 2 != 0), quotient - 1).otherwise(quotient)
+    limb = min(DIGITS - w_digits - 1, DIGITS - 1 - total_digits, 17)
+    if limb < 1:
+        raise ValueError(f"cannot divide exactly: {digits} digits")
     quotient, rest = None, None
-    for i in reversed(range(count)):
-        part = t
-        if count > 1:
-            part = part % power(limb * (i + 1))
-            part = div(part, power(limb * i))
-            part = part.cast(f"decimal({limb},0)")
+    for i in reversed(range(-(-t_digits // limb))):
+        part = div(t % power(limb * (i + 1)), power(limb * i)).cast(f"decimal({limb},0)")
         value = (part * w).cast("decimal(38,0)")
         if rest is not None:
             value = (rest * power(limb) + value).cast("decimal(38,0)")

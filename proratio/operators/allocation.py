@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proratio.functions.exact import half_even, mul_div, unscale, whole
+from proratio.functions.exact import div, half_even, half_of, mul_div, power, unscale, whole
 from proratio.functions.text import fixed_text, json_object, json_string
 from proratio.session import attach
 
@@ -24,6 +24,8 @@ FLOOR_SET = "FLOOR_BAND"
 POSITION_SET = "POSITION_CATEGORY"
 
 AREA_DIGITS, AREA_SCALE = 12, 2
+# Digits of a weighted area; a unit of a billion square metres is refused.
+WEIGHT_DIGITS = 11
 MONEY_DIGITS = 18
 # Spark widens a sum by ten digits, enough for ten billion units in a group.
 SUM_DIGITS = 10
@@ -131,13 +133,13 @@ def unit_weights(units: DataFrame, config: AllocationConfig) -> DataFrame:
 
 def weight_digits(scales: tuple[int, int, int]) -> int:
     """Digits of a unit weight: area, its factors' places, and two digits of growth."""
-    digits = AREA_DIGITS + 2 + sum(scales)
+    digits = WEIGHT_DIGITS + 2 + sum(scales)
     if digits + SUM_DIGITS > 36:
         raise ScenarioError(f"factors need {digits} digits; give them with fewer places")
     return digits
 
 
-def group_totals(weights: DataFrame, targets: DataFrame, bound) -> DataFrame:
+def group_totals(weights: DataFrame, targets: DataFrame, scales: tuple[int, int, int], bound) -> DataFrame:
     """Per development: total weight, target, and the unit that takes the rounding residual.
 
     That unit has the largest share; ties go to the lowest tower, then the lowest
@@ -150,12 +152,20 @@ def group_totals(weights: DataFrame, targets: DataFrame, bound) -> DataFrame:
     totals = weights.groupBy("development_id").agg(
         F.sum("adjustment_weight").alias("total_weight"), F.min(first).alias("top")
     )
-    return attach(totals, targets, "development_id", bound, "inner").select(
-        "development_id",
-        "target_value",
-        "total_weight",
-        F.col("top.tower").alias("top_tower"),
-        F.col("top.unit_code").alias("top_unit"),
+    digits = weight_digits(scales) + SUM_DIGITS
+    total = whole(F.col("total_weight"), AREA_SCALE + sum(scales), digits)
+    return (
+        attach(totals, targets, "development_id", bound, "inner")
+        .withColumn("total_whole", total)
+        .select(
+            "development_id",
+            "target_value",
+            whole(F.col("target_value"), 2, MONEY_DIGITS).alias("target_c"),
+            "total_whole",
+            half_of(F.col("total_whole"), digits).alias("half_whole"),
+            F.col("top.tower").alias("top_tower"),
+            F.col("top.unit_code").alias("top_unit"),
+        )
     )
 
 
@@ -205,25 +215,26 @@ def allocate_weights(columns: list[str], weights: DataFrame, targets: DataFrame,
     scale = AREA_SCALE + sum(scales)
     w_digits = weight_digits(scales)
     total_digits = w_digits + SUM_DIGITS
-    totals = group_totals(weights, targets, bound)
-
-    joined = attach(weights, totals, "development_id", bound, "inner")
-    target_c = whole(F.col("target_value"), 2, MONEY_DIGITS)
+    totals = group_totals(weights, targets, scales, bound)
     w = whole(F.col("adjustment_weight"), scale, w_digits)
-    total = whole(F.col("total_weight"), scale, total_digits)
-    million = F.lit(1_000_000).cast("decimal(7,0)")
-    rounded = joined.withColumn(
-        "rounded_c", mul_div(target_c, w, total, digits=(MONEY_DIGITS, w_digits, total_digits))
-    ).withColumn("share_ppm", mul_div(w, million, total, digits=(w_digits, 7, total_digits), even=True))
-
-    sums = rounded.groupBy("development_id").agg(F.sum("rounded_c").alias("sum_c"))
-    closed = attach(rounded, sums, "development_id", bound, "inner")
-    residual_c = target_c.cast("bigint") - F.col("sum_c")
+    total, half = F.col("total_whole"), F.col("half_whole")
+    joined = attach(weights, totals, "development_id", bound, "inner").withColumn(
+        "rounded_c", mul_div(F.col("target_c"), w, total, digits=(MONEY_DIGITS, w_digits, total_digits), half=half)
+    )
+    sums = joined.groupBy("development_id").agg(F.sum("rounded_c").alias("sum_c"))
+    residual = attach(totals, sums, "development_id", bound, "inner").select(
+        "development_id", "top_tower", "top_unit", (F.col("target_c").cast("bigint") - F.col("sum_c")).alias("residual_c")
+    )
+    # (tower, unit_code) is unique in a development, so one unit takes the residual.
+    closed = attach(joined.drop("top_tower", "top_unit"), residual, "development_id", bound, "inner")
     takes = (F.col("tower") == F.col("top_tower")) & (F.col("unit_code") == F.col("top_unit"))
-    price_c = F.col("rounded_c") + F.when(takes, residual_c).otherwise(F.lit(0))
+    price_c = F.col("rounded_c") + F.when(takes, F.col("residual_c")).otherwise(F.lit(0))
+    million, hundred = power(6), F.lit("100").cast("decimal(3,0)")
     area_c = whole(F.col("private_area_m2"), AREA_SCALE, AREA_DIGITS)
-    hundred = F.lit(100).cast("decimal(3,0)")
-    # A shared closing unit code cannot exist: (tower, unit_code) is unique per development.
+    per_area = mul_div(
+        F.col("price_c").cast("decimal(18,0)"), hundred, area_c, digits=(18, 3, AREA_DIGITS),
+        half=div(area_c, F.lit(2).cast("decimal(1,0)")).cast("decimal(12,0)"),
+    )
     return closed.withColumn("price_c", price_c).select(
         *[c for c in columns if c != "floor_band"],
         "floor_band",
@@ -232,14 +243,10 @@ def allocate_weights(columns: list[str], weights: DataFrame, targets: DataFrame,
         F.col("area_weight").alias("weighted_area_m2"),
         F.col("combined_factor").alias("combined_weight_factor"),
         "adjustment_weight",
-        unscale(F.col("share_ppm"), 6, 9).alias("participation_share"),
+        unscale(mul_div(w, million, total, digits=(w_digits, 7, total_digits), even=True, half=half), 6, 9).alias("participation_share"),
         unscale(F.col("price_c"), 2, MONEY_DIGITS).alias("system_price"),
-        F.when(takes & (residual_c != 0), unscale(residual_c, 2, MONEY_DIGITS)).alias("residual_applied"),
-        unscale(
-            mul_div(F.col("price_c").cast("decimal(18,0)"), hundred, area_c, digits=(18, 3, AREA_DIGITS)), 2, 18
-        )
-        .cast("decimal(18,2)")
-        .alias("price_per_m2"),
+        F.when(takes & (F.col("residual_c") != 0), unscale(F.col("residual_c"), 2, MONEY_DIGITS)).alias("residual_applied"),
+        unscale(per_area, 2, MONEY_DIGITS).alias("price_per_m2"),
         "target_value",
     )
 
