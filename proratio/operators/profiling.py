@@ -19,18 +19,33 @@ COLUMN = SHEET + ["column_letters"]
 HEADER_ROWS = 20
 ROWS_BELOW = 5
 PERSONAL_SAMPLE = 50
+# Rows in which most columns have that many texts.
+FIRST_ROWS = 500
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
+def first_rows(cells: DataFrame, bound) -> DataFrame:
+    """Cells of each sheet's first rows, ranked: those up to the twentieth, or of a sheet that starts later its first 25.
+
+    The usual case is a filter the scan takes over. Only sheets without any early
+    row are ranked, and each task passes on no more of them than could count.
+    """
+    early = cells.where(F.col("row_number") <= HEADER_ROWS)
+    starts = early.select(*SHEET).distinct()
+    late = attach(cells.where(F.col("row_number") > HEADER_ROWS), starts, SHEET, bound, "left_anti")
+    order = Window.partitionBy(*SHEET).orderBy("row_number")
+    ranked = late.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= HEADER_ROWS + ROWS_BELOW)
+    return early.withColumn("rank", F.lit(1)).unionByName(ranked)
+
+
+def header_rows(cells: DataFrame, bound) -> DataFrame:
     """The likeliest header row of each sheet, and how sure that is.
 
     Candidates are the rows up to the twentieth, or a sheet's first twenty rows if
     it starts later. A row scores by its share of text, how distinct its texts
-    are, and how numeric the next five candidates are.
+    are, and how numeric the next five candidates are. ``bound`` proves the number
+    of sheets.
     """
-    first = Window.partitionBy(*SHEET).orderBy("row_number")
-    # Ranked before grouping: each task passes on only the first rows of a sheet.
-    head = cells.withColumn("rank", F.dense_rank().over(first)).where(F.col("rank") <= HEADER_ROWS + ROWS_BELOW)
+    head = first_rows(cells, bound)
     text = F.col("cell_type") == "string"
     rows = head.groupBy(*SHEET, "row_number").agg(
         F.max("rank").alias("rank"),
@@ -39,10 +54,8 @@ def header_rows(cells: DataFrame) -> DataFrame:
         F.size(F.collect_set(F.when(text, effective_value()))).alias("distinct_texts"),
         F.count_if(F.col("cell_type").isin("number", "date", "boolean")).alias("numbers"),
     )
+    # At most 25 rows of a sheet are left.
     sheet = Window.partitionBy(*SHEET)
-    rows = rows.withColumn("early", F.min("row_number").over(sheet) <= HEADER_ROWS).where(
-        ~F.col("early") | (F.col("row_number") <= HEADER_ROWS)
-    )
     filled = F.col("filled") > 0
     below = sheet.orderBy("row_number").rowsBetween(1, ROWS_BELOW)
     ratio = F.when(filled, F.col("numbers") / F.col("filled"))
@@ -70,6 +83,27 @@ def header_fields(cells: DataFrame, headers: DataFrame, bound) -> DataFrame:
     ).where("field_name <> ''")
 
 
+def first_texts(data: DataFrame) -> DataFrame:
+    """The first fifty texts of each column.
+
+    Looked for among the first rows; only columns with fewer texts there are
+    searched further down.
+    """
+    texts = data.where("cell_type = 'string'").select(*COLUMN, "row_number", "header_row", "value")
+    order = Window.partitionBy(*COLUMN).orderBy("row_number")
+
+    def ranked(rows):
+        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PERSONAL_SAMPLE)
+
+    far = F.col("row_number") > F.col("header_row") + FIRST_ROWS
+    near = ranked(texts.where(~far))
+    found = near.groupBy(*COLUMN).agg(F.count("*").alias("n"))
+    full = found.where(F.col("n") >= PERSONAL_SAMPLE).select(*COLUMN)
+    rest = texts.where(far).join(full, COLUMN, "left_anti")
+    both = near.drop("place").unionByName(ranked(rest).drop("place"))
+    return ranked(both)
+
+
 def field_profile(cells: DataFrame, headers: DataFrame, bound) -> DataFrame:
     """One row of measures per named column.
 
@@ -82,7 +116,7 @@ def field_profile(cells: DataFrame, headers: DataFrame, bound) -> DataFrame:
     data = (
         attach(cells, headers.select(*SHEET, "header_row"), SHEET, bound, "inner")
         .where("row_number > header_row and cell_type <> 'empty'")
-        .select(*COLUMN, "cell_type", "row_number", value.alias("value"),
+        .select(*COLUMN, "cell_type", "row_number", "header_row", value.alias("value"),
                 (F.coalesce(F.col("formula_expression"), F.lit("")) != "").alias("formula"))
     )
     values = data.groupBy(*COLUMN, "cell_type", "value").agg(
@@ -109,13 +143,7 @@ def field_profile(cells: DataFrame, headers: DataFrame, bound) -> DataFrame:
         F.min("shortest").alias("text_len_min"), F.max("longest").alias("text_len_max"),
         F.sum(F.when(F.col("cell_type") == "error", F.col("n")).otherwise(F.lit(0))).alias("error_count"),
     )
-    # The first fifty texts of a column are looked at; tasks pass on no more than those.
-    order = Window.partitionBy(*COLUMN).orderBy("row_number")
-    personal = (
-        data.where("cell_type = 'string'").select(*COLUMN, "row_number", "value")
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= PERSONAL_SAMPLE)
-        .groupBy(*COLUMN).agg(F.max(personal_value(F.col("value"))).alias("personal"))
-    )
+    personal = first_texts(data).groupBy(*COLUMN).agg(F.max(personal_value(F.col("value"))).alias("personal"))
     profiled = (
         attach(fields, extent, SHEET, bound, "left").join(columns, COLUMN, "left").join(personal, COLUMN, "left")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proratio.functions.text import blank, effective_value
-from proratio.session import attach
+from proratio.session import attach, stage
 
 SHEET = ["workbook_id", "sheet_name"]
 FIELDS = [
@@ -132,7 +132,8 @@ def mapping_review(mapping: DataFrame) -> DataFrame:
 def stage_candidates(cells: DataFrame, mapping: DataFrame, bound) -> dict[str, DataFrame]:
     """All five candidate tables of a mapping. Running it again gives the same rows, keyed by entry content."""
     check_mapping(mapping)
-    rows, single = extract_rows(cells, mapping, bound), extract_cells(cells, mapping, bound)
+    # Three tables are made of the same rows: the cells are read for them once.
+    rows, single = stage(extract_rows(cells, mapping, bound)), extract_cells(cells, mapping, bound)
     return {
         "unit_candidates": unit_candidates(rows),
         "parameter_candidates": parameter_candidates(single),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from proratio.operators import formulas, profiling, promotion, staging
 from proratio.plans.registry import query
-from proratio.session import attach, counted, stage
+from proratio.session import attach, counted, spread, stage
 from proratio.sources import mapping as mapping_source
 from proratio.sources import publish
 
@@ -87,7 +87,7 @@ class Cells:
                 cell(8, "H", always, F.lit("date"), F.date_format("o_orderdate", "yyyy-MM-dd"), none, none),
             )
         )
-        orders = self.d.table("orders").select(
+        orders = spread(self.d.table("orders")).select(
             F.concat(F.lit("WB-"), F.col("o_orderstatus")).alias("workbook_id"), F.col("o_orderpriority").alias("sheet_name"),
             r.alias("row_number"), F.inline(items),
         )
@@ -116,7 +116,8 @@ class Cells:
 
     @cached_property
     def headers(self) -> DataFrame:
-        return profiling.header_rows(self.cells)
+        """One row per sheet, stored: the profile reads it several times."""
+        return stage(profiling.header_rows(self.cells, self.sheet_bound))
 
     @cached_property
     def fields(self) -> DataFrame:

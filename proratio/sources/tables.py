@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+_schemas: dict[str, StructType] = {}
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One given table. Columns and filters reach the parquet scan."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One given table. Columns and filters reach the parquet scan.
+
+    The schema is read from a file footer once per session, not once per query.
+    """
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:

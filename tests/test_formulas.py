@@ -103,3 +103,31 @@ def test_manual_value_in_a_formula_column(spark):
     assert flags == {("4-4", "POSSIBLE_MANUAL_OVERRIDE"), ("1-1", "POSSIBLE_MANUAL_OVERRIDE")}
     found = formulas.embedded_parameters(cells).collect()
     assert [(r["value_or_expression"], r["location"]) for r in found] == [("0.6", "B2")]
+
+
+def test_headers_of_early_and_late_sheets(spark):
+    """Sheets that start after row 20 use their first twenty rows; later rows never count."""
+    from proratio.operators import profiling
+
+    rows = []
+    for sheet, first in (("early", 1), ("late", 40)):
+        for r in range(first, first + 60):
+            for i, c in enumerate("ABC"):
+                head = r == first + 2 or r == first + 50
+                kind, value = ("string", f"h{c}") if head else ("number", str(r))
+                rows.append(("w", sheet, r, i + 1, c, f"{c}{r}", kind, value, None, None))
+    cells = spark.createDataFrame(rows, "workbook_id string, sheet_name string, row_number int, column_index int, column_letters string,"
+                                  " cell_ref string, cell_type string, raw_value string, cached_value string, formula_expression string")
+    for bound in (2, 10**9):
+        got = {r["sheet_name"]: (r["header_row"], r["header_confidence"]) for r in profiling.header_rows(cells, bound).collect()}
+        assert got == {"early": (3, 1.0), "late": (42, 1.0)}
+
+
+def test_first_texts_of_dense_and_sparse_columns(spark):
+    from proratio.operators import profiling
+
+    rows = [("w", "s", "D", "string", r, 1, f"d{r}") for r in range(2, 900)]
+    rows += [("w", "s", "S", "string", r, 1, f"s{r}") for r in range(2, 5000, 40)]
+    data = spark.createDataFrame(rows, "workbook_id string, sheet_name string, column_letters string, cell_type string, row_number int, header_row int, value string")
+    got = {c: {r["value"] for r in profiling.first_texts(data).where(F.col("column_letters") == c).collect()} for c in "DS"}
+    assert got == {"D": {f"d{r}" for r in range(2, 52)}, "S": {f"s{r}" for r in range(2, 2002, 40)}}

@@ -40,7 +40,7 @@ def test_sheets_and_hidden_content(spark, audit):
 def test_profile_and_formulas(spark, audit):
     records, names = audit
     cells = stage(workbook.all_cells(records).where(F.col("workbook_id") == names["a.xlsx"]))
-    headers = profiling.header_rows(cells)
+    headers = profiling.header_rows(cells, 4)
     fields = {r["field_name"]: r for r in profiling.field_profile(cells, headers, 2).collect()}
     assert fields["codigo"]["candidate_key_flag"] and fields["codigo"]["header_row"] == 1
     assert fields["codigo"]["mean"] == 2.5 and fields["quantidade"]["error_count"] == 1
@@ -59,7 +59,7 @@ def test_profile_and_formulas(spark, audit):
 def test_equal_sheets_match_fully(spark, audit):
     records, names = audit
     cells = workbook.all_cells(records)
-    headers = profiling.header_rows(cells)
+    headers = profiling.header_rows(cells, 4)
     fields = profiling.field_profile(cells, headers, 4).select(
         "workbook_id", "sheet_name", "field_name", F.ascii("column_letters").alias("ordinal"))
     pair = spark.createDataFrame([(names["a.xlsx"], names["b.xlsx"])], "workbook_a string, workbook_b string")
