@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proratio.session import attach
+
 # Categories in alphabetical order; the first is the baseline.
 CATEGORIES = {
     "vista": ["mar", "parque", "rua"],
@@ -75,14 +77,16 @@ def observations(rows: DataFrame, source: str, reference_date: str) -> DataFrame
     return first_of(found, key + ["reference_date", "source"])
 
 
-def view(observed: DataFrame, unit_rows: DataFrame, development_rows: DataFrame) -> DataFrame:
-    """First-sale observations with the attributes of unit and development, under the contract's names."""
+def view(observed: DataFrame, unit_rows: DataFrame, development_rows: DataFrame, bound) -> DataFrame:
+    """First-sale observations with the attributes of unit and development, under the contract's names.
+
+    ``bound`` proves the number of developments.
+    """
     d = development_rows.select(
         F.col("id").alias("development_id"), "bairro", "stage", "quality_score", "amenities_score", "location_score"
     )
-    joined = (
-        observed.where("first_sale").join(unit_rows.drop("source"), ["development_id", "tower", "apartment"]).join(d, "development_id")
-    )
+    sold = observed.where("first_sale").join(unit_rows.drop("source"), ["development_id", "tower", "apartment"])
+    joined = attach(sold, d, "development_id", bound, "inner")
     return joined.select(
         F.sha2(F.concat_ws(":", "development_id", "tower", "apartment", "reference_date"), 256).alias("id"),
         F.col("development_id").alias("empreendimento"), F.col("apartment").alias("apartamento"), "bairro",

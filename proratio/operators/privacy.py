@@ -26,18 +26,12 @@ MARK_SHOWN = 4
 
 def pattern_scan(texts: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """First match of each pattern in each text, cut for the report."""
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(text).rlike(p),
-                    F.struct(F.lit(label).alias("label"), F.substring(F.regexp_extract(text, p, 0), 1, SHOWN).alias("excerpt")),
-                )
-                for label, p in (patterns or PATTERNS).items()
-            ]
-        )
+    matches = F.array(
+        *[F.struct(F.lit(label).alias("label"), F.regexp_extract(text, p, 0).alias("m")) for label, p in (patterns or PATTERNS).items()]
     )
-    return texts.select(F.col(key), F.explode(found).alias("f")).select(key, "f.label", "f.excerpt")
+    # No pattern matches the empty text, so an empty match is none.
+    found = F.filter(matches, lambda f: f["m"] != "")
+    return texts.select(F.col(key), F.inline(found)).select(key, "label", F.substring("m", 1, SHOWN).alias("excerpt"))
 
 
 def parse_markers(lines: list[str]) -> list[str]:

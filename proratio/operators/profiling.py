@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proratio.functions.text import effective_value, personal_header, personal_value
-from proratio.session import attach
+from proratio.session import attach, fits, rows_within, stage
 
 SHEET = ["workbook_id", "sheet_name"]
 COLUMN = SHEET + ["column_letters"]
@@ -31,9 +31,15 @@ def first_rows(cells: DataFrame, bound) -> DataFrame:
     """
     early = cells.where(F.col("row_number") <= HEADER_ROWS)
     starts = early.select(*SHEET).distinct()
-    late = attach(cells.where(F.col("row_number") > HEADER_ROWS), starts, SHEET, bound, "left_anti")
+    late = cells.where(F.col("row_number") > HEADER_ROWS)
+    few = fits(bound)
+    if few:
+        late = late.join(F.broadcast(starts), SHEET, "left_anti")
     order = Window.partitionBy(*SHEET).orderBy("row_number")
     ranked = late.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= HEADER_ROWS + ROWS_BELOW)
+    if not few:
+        # Too many sheets to broadcast: rank all of them, and drop those with early rows when little is left.
+        ranked = ranked.join(starts, SHEET, "left_anti")
     return early.withColumn("rank", F.lit(1)).unionByName(ranked)
 
 
@@ -96,10 +102,12 @@ def first_texts(data: DataFrame) -> DataFrame:
         return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PERSONAL_SAMPLE)
 
     far = F.col("row_number") > F.col("header_row") + FIRST_ROWS
-    near = ranked(texts.where(~far))
-    found = near.groupBy(*COLUMN).agg(F.count("*").alias("n"))
-    full = found.where(F.col("n") >= PERSONAL_SAMPLE).select(*COLUMN)
-    rest = texts.where(far).join(full, COLUMN, "left_anti")
+    near = stage(ranked(texts.where(~far)))
+    full = near.groupBy(*COLUMN).agg(F.count("*").alias("n")).where(F.col("n") >= PERSONAL_SAMPLE).select(*COLUMN)
+    rest = texts.where(far)
+    if rows_within(full):
+        # Broadcast, so that a long column is not gathered before its texts are limited.
+        rest = rest.join(F.broadcast(full), COLUMN, "left_anti")
     both = near.drop("place").unionByName(ranked(rest).drop("place"))
     return ranked(both)
 

@@ -114,23 +114,23 @@ def error_metrics(rows: DataFrame, *keys: str) -> DataFrame:
 
 def kpis(units: DataFrame, validation: DataFrame) -> DataFrame:
     """One row of key figures; ``validation`` is the one row of ``error_metrics``."""
-    figures = units.agg(
-        F.coalesce(F.sum("final_price"), F.lit(0)).cast(PRICE).alias("vgv"),
-        F.count("*").alias("units_count"),
-        F.sum("private_area_m2").alias("area"),
-        F.count_if(F.col("adjustment") != 0).alias("adjustments_count"),
+    # One pass over the units: sums per label pair, then over the pairs.
+    pairs = units.groupBy("tower", "typology").agg(
+        F.sum("final_price").alias("vgv"), F.count("*").alias("n"), F.sum("private_area_m2").alias("area"),
+        F.count_if(F.col("adjustment") != 0).alias("adjusted"),
     )
-    labels = units.select("tower", "typology").distinct().agg(
-        F.count_distinct("tower").alias("towers_count"), F.count_distinct("typology").alias("typologies_count")
+    figures = pairs.agg(
+        F.coalesce(F.sum("vgv"), F.lit(0)).cast(PRICE).alias("vgv"), F.coalesce(F.sum("n"), F.lit(0)).alias("units_count"),
+        F.sum("area").cast("decimal(22,2)").alias("area"), F.coalesce(F.sum("adjusted"), F.lit(0)).alias("adjustments_count"),
+        F.count_distinct("tower").alias("towers_count"), F.count_distinct("typology").alias("typologies_count"),
     )
     accuracy = F.when(
         F.col("units_analyzed") > 0,
         F.round(F.try_divide(F.col("within_1_cent") * 100, F.col("units_analyzed").cast("decimal(18,0)")), 1),
     ).otherwise(F.lit(0))
-    # Three one-row tables, so these joins cannot grow.
+    # Two one-row tables, so this join cannot grow.
     return (
-        figures.join(F.broadcast(labels))
-        .join(F.broadcast(validation.select("units_analyzed", "within_1_cent")))
+        figures.join(F.broadcast(validation.select("units_analyzed", "within_1_cent")))
         .select(
             "vgv", "units_count", "towers_count", "typologies_count",
             ratio2(F.col("vgv"), F.col("area")).alias("avg_price_per_m2"), "adjustments_count",

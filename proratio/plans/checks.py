@@ -12,7 +12,7 @@ from proratio.plans import sql
 from proratio.plans.cells import STAGED
 from proratio.plans.domain import CONFIG
 from proratio.plans.registry import query
-from proratio.session import checkpoint_root, counted, stage
+from proratio.session import attach, checkpoint_root, counted, spread, stage
 from proratio.sources.publish import Manifest
 
 
@@ -137,7 +137,7 @@ def _scan_sql() -> str:
 
 @query("pattern_scan", _scan_sql())
 def pattern_scan(d):
-    return privacy.pattern_scan(d.table("documents"), "doc_id", "text", TEXT_PATTERNS)
+    return privacy.pattern_scan(spread(d.table("documents")), "doc_id", "text", TEXT_PATTERNS)
 
 
 MARKERS = ["# words to look for", "", "License", "example.com", "  license "]
@@ -148,7 +148,7 @@ MARKERS = ["# words to look for", "", "License", "example.com", "  license "]
     """SELECT doc_id, substr(m, 1, 4) || '***' AS marker FROM documents, (VALUES ('License'), ('example.com'), ('license')) t(m) WHERE contains(text, m)""",
 )
 def marker_scan(d):
-    return privacy.marker_scan(d.table("documents"), "doc_id", "text", privacy.parse_markers(MARKERS))
+    return privacy.marker_scan(spread(d.table("documents")), "doc_id", "text", privacy.parse_markers(MARKERS))
 
 
 @query(
@@ -156,7 +156,7 @@ def marker_scan(d):
     """SELECT page_id, substr(m, 1, 4) || '***' AS marker FROM pages, (VALUES ('track('), ('spam-farm')) t(m) WHERE contains(html, m)""",
 )
 def page_marker_scan(d):
-    return privacy.marker_scan(d.table("pages"), "page_id", "html", ["track(", "spam-farm"])
+    return privacy.marker_scan(spread(d.table("pages")), "page_id", "html", ["track(", "spam-farm"])
 
 
 @query(
@@ -329,7 +329,7 @@ def lineage_trace(d):
         "tower_id", F.concat(F.col("development_id").cast("string"), F.lit("/"), F.col("tower"))
     )
     return serving.lineage_trace(
-        d.results, allocation.adjustment_trail(d.stored_allocation), d.runs, d.overrides, allocation.reconciliation(d.stored_allocation),
+        d.results, allocation.adjustment_trail(d.stored_allocation), d.runs, d.last_overrides, allocation.reconciliation(d.stored_allocation),
         towers, d.bound * 3,
     )
 
@@ -342,7 +342,7 @@ def lineage_trace(d):
 def published_batches(d):
     """Units published region by region: a repeated batch changes nothing, a failed one is not seen."""
     manifest = Manifest(d.spark, f"{checkpoint_root(d.spark)}/proratio/{uuid.uuid4().hex}")
-    units = d.units.join(F.broadcast(d.developments.select("development_id", "region")), "development_id").select("region", "unit_id", "order_total")
+    units = attach(d.units, d.developments.select("development_id", "region"), "development_id", d.bound, "inner").select("region", "unit_id", "order_total")
 
     def refuse(rows):
         if rows.where("region = 3").limit(1).collect():

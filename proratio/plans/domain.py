@@ -187,19 +187,27 @@ class Domain:
             "run_id", F.concat(F.lit("SC-"), F.col("development_id").cast("string"), F.lit(":"), F.col("run_code"))
         )
 
-    @cached_property
-    def overrides(self) -> DataFrame:
-        """Every override decision of the override run, priced."""
-        priced = allocation.apply_overrides(
-            self.stored_allocation, self.override_events, ["unit_id"], carry=("development_id",)
-        )
+    def priced_overrides(self, events: DataFrame) -> DataFrame:
+        priced = allocation.apply_overrides(self.stored_allocation, events, ["unit_id"], carry=("development_id",))
         return priced.withColumn(
             "run_id", F.concat(F.lit("SC-"), F.col("development_id").cast("string"), F.lit(f":{OVERRIDE_RUN}"))
         )
 
+    @cached_property
+    def overrides(self) -> DataFrame:
+        """Every override decision of the override run, priced."""
+        return self.priced_overrides(self.override_events)
+
+    @cached_property
+    def last_overrides(self) -> DataFrame:
+        """The newest decision per unit, priced. Chosen before the join, where tasks
+        can reduce a unit with very many events; joined first it would fill one task."""
+        newest = allocation.latest(self.override_events, ["unit_id"], F.col("decided_at"), F.col("event_id"))
+        return self.priced_overrides(newest)
+
     @cached_property
     def current(self) -> DataFrame:
-        return serving.unit_price_current(self.scenarios, self.runs, self.results, self.overrides, self.bound)
+        return serving.unit_price_current(self.scenarios, self.runs, self.results, self.last_overrides, self.bound)
 
     @cached_property
     def dashboard_units(self) -> DataFrame:

@@ -68,7 +68,7 @@ viewed AS (SELECT sha256(empreendimento || ':' || torre || ':' || apartamento ||
 def loaded(d):
     rows = stage(observed(d))
     return hedonic.view(
-        hedonic.observations(rows, SOURCE, DAY), hedonic.units(rows, SOURCE), hedonic.developments(rows, SOURCE)
+        hedonic.observations(rows, SOURCE, DAY), hedonic.units(rows, SOURCE), hedonic.developments(rows, SOURCE), d.bound
     )
 
 

@@ -63,11 +63,7 @@ def allocation_reconciliation(d):
     FROM alloc a LEFT JOIN change c ON c.development_id = a.development_id GROUP BY 1""",
 )
 def allocation_totals(d):
-    newest = allocation.latest(
-        d.overrides.select("unit_id", "development_id", "vgv_impact", "decided_at", "event_id"),
-        ["unit_id"], F.col("decided_at"), F.col("event_id"),
-    )
-    return allocation.run_totals(d.allocated, newest, d.bound)
+    return allocation.run_totals(d.stored_allocation, d.last_overrides, d.bound)
 
 
 @query(
@@ -91,7 +87,7 @@ def adjustment_trail(d):
     f"""WITH {sql.ALLOC},{sql.OVERRIDES} SELECT run_id, unit_id, final_price, decided_at, event_id FROM newest""",
 )
 def override_latest(d):
-    return serving.latest_overrides(d.overrides)
+    return serving.latest_overrides(d.last_overrides)
 
 
 @query(

@@ -90,6 +90,11 @@ def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
     return df.select(F.lit(1)).limit(limit + 1).count()
 
 
+def fits(bound) -> bool:
+    """Whether a bound (a number, or a table to count) allows a broadcast."""
+    return bound <= BROADCAST_ROWS if isinstance(bound, int) else rows_within(bound)
+
+
 def attach(big: DataFrame, small: DataFrame, on, bound, how: str = "left") -> DataFrame:
     """Join ``small`` (one row per key) onto ``big``.
 
@@ -99,5 +104,4 @@ def attach(big: DataFrame, small: DataFrame, on, bound, how: str = "left") -> Da
     broadcast, so ``big`` is not shuffled. Beyond it the join is left to Spark: a
     shuffle join whose hot keys adaptive execution splits.
     """
-    fits = bound <= BROADCAST_ROWS if isinstance(bound, int) else rows_within(bound)
-    return big.join(F.broadcast(small) if fits else small, on, how)
+    return big.join(F.broadcast(small) if fits(bound) else small, on, how)
