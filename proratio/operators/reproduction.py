@@ -56,6 +56,35 @@ def calculation_inputs(units: DataFrame, cells: DataFrame, parameters: DataFrame
     )
 
 
+def parameter_values(parameters: DataFrame, parameter_sets: DataFrame, scenarios: DataFrame, bound) -> DataFrame:
+    """Stored parameters with the development their set and scenario belong to."""
+    return _in_development(parameters, "parameter_set_id", parameter_sets, scenarios, bound).select(
+        "development_id", "key", "numeric_value"
+    )
+
+
+def calibration_table(entries: DataFrame, calibration_sets: DataFrame, scenarios: DataFrame, code: str, bound) -> DataFrame:
+    """Stored entries of one calibration set code, as the lookup table of each development."""
+    sets = calibration_sets.where(F.col("code") == code)
+    return _in_development(entries, "calibration_set_id", sets, scenarios, bound).select(
+        F.col("development_id").alias("group_id"), "category_key", "factor"
+    )
+
+
+def _in_development(rows: DataFrame, key: str, sets: DataFrame, scenarios: DataFrame, bound) -> DataFrame:
+    owners = attach(
+        sets.select(F.col("id").alias(key), "scenario_id"),
+        scenarios.select(F.col("id").alias("scenario_id"), "development_id"), "scenario_id", bound, "inner",
+    ).drop("scenario_id")
+    return attach(rows.drop("development_id"), owners, key, sets, "inner")
+
+
+def units_with_towers(units: DataFrame, towers: DataFrame) -> DataFrame:
+    """Stored units, with the sheet and row they came from and their tower's key, if they have one."""
+    keys = towers.select(F.col("id").alias("tower_id"), F.col("business_key").alias("tower_key"))
+    return attach(units, keys, "tower_id", towers)
+
+
 # Fixed value: the shape of the lookup formula a calibration grid is read from.
 GRID_FORMULA = (
     r"HLOOKUP\([^,]+,\s*'?([^'!]+)'?!\$([A-Z]+)\$(\d+):\$([A-Z]+)\$(\d+)\s*,\s*'?([^'!]+)'?!\$([A-Z]+)\$(\d+)"

@@ -270,6 +270,54 @@ def calculation_inputs(d):
                        "UNCOVERED_AREA_FACTOR", "non_numeric_areas")
 
 
+def _canonical(d):
+    x = cell_plans.cells(d)
+    owners = promotion.developments(x.workbooks)
+    scenarios = owners.select(F.col("scenario_id").alias("id"), F.col("id").alias("development_id"))
+    return x, owners, scenarios
+
+
+@query(
+    "parameter_by_development",
+    f"""WITH {STAGED} SELECT sha256('core.developments:' || 'DEV-' || upper(substr(workbook_id, 1, 10))) AS development_id, parameter_key_guess AS "key",
+    CASE WHEN value_type_guess = 'NUMERIC' THEN CAST(value_text AS DECIMAL(18,6)) END AS numeric_value FROM parameter_candidates WHERE trim(value_text) <> ''""",
+)
+def parameter_by_development(d):
+    """Stored parameters joined to their set and scenario."""
+    x, owners, scenarios = _canonical(d)
+    sets = owners.select(F.col("parameter_set_id").alias("id"), "scenario_id")
+    rows = promotion.parameters(x.staged["parameter_candidates"])
+    return reproduction.parameter_values(rows, sets, scenarios, x.sheet_bound)
+
+
+@query(
+    "calibration_by_development",
+    f"""WITH {STAGED}, k AS (SELECT *, row_number() OVER (PARTITION BY workbook_id, category_key_guess ORDER BY sheet_name, source_row) AS rn FROM calibration_candidates
+      WHERE dimension_guess = 'FLOOR' AND trim(category_key_guess) <> '' AND factor_value IS NOT NULL)
+    SELECT sha256('core.developments:' || 'DEV-' || upper(substr(workbook_id, 1, 10))) AS group_id, category_key_guess AS category_key,
+    CAST(factor_value AS DECIMAL(12,6)) AS factor FROM k WHERE rn = 1""",
+)
+def calibration_by_development(d):
+    """Stored calibration entries of one set code as each development's lookup table."""
+    x, owners, scenarios = _canonical(d)
+    entries = promotion.calibration_entries(x.staged["calibration_candidates"])
+    sets = (
+        entries.select(F.col("calibration_set_id").alias("id"), F.col("dimension").alias("code"), "development_id").distinct()
+        .join(owners.select(F.col("id").alias("development_id"), "scenario_id"), "development_id").drop("development_id")
+    )
+    return reproduction.calibration_table(entries, sets, scenarios, "FLOOR", x.sheet_bound)
+
+
+@query(
+    "units_with_towers",
+    f"""WITH {STAGED} SELECT unit_ref AS unit_code, sheet_name, source_row, tower_ref AS tower_key FROM unit_candidates""",
+)
+def units_with_towers(d):
+    x = cell_plans.cells(d)
+    units, towers = promotion.units(x.staged["unit_candidates"]), promotion.towers(x.staged["unit_candidates"])
+    return reproduction.units_with_towers(units, towers).select("unit_code", "sheet_name", "source_row", "tower_key")
+
+
 # --- allocation from tables, lineage, publishing ---
 
 
@@ -344,13 +392,13 @@ def published_batches(d):
     manifest = Manifest(d.spark, f"{checkpoint_root(d.spark)}/proratio/{uuid.uuid4().hex}")
     units = attach(d.units, d.developments.select("development_id", "region"), "development_id", d.bound, "inner").select("region", "unit_id", "order_total")
 
-    def refuse(rows):
-        if rows.where("region = 3").limit(1).collect():
+    def refuse(tables):
+        if tables["units"].where("region = 3").limit(1).collect():
             raise ValueError("region 3 is not to be published")
 
     for region in [0, 1, 2, 3, 4, 0]:
         try:
-            manifest.publish(f"r{region}", "units", lambda r=region: units.where(F.col("region") == r), refuse)
+            manifest.publish(f"r{region}", lambda r=region: {"units": units.where(F.col("region") == r)}, refuse)
         except ValueError:
             pass
     return manifest.read("units", "region int, unit_id bigint, order_total decimal(18,2)").groupBy(F.col("region").alias("batch")).agg(

@@ -37,45 +37,49 @@ class Manifest:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(self.path)
 
-    def record(self, batch_id: str, table: str, path: str, status: str, note: str = "") -> None:
+    def record(self, batch_id: str, paths: dict[str, str], status: str, note: str = "") -> None:
+        """One row per table of the batch, in one file: they appear together."""
         now = datetime.datetime.now(datetime.timezone.utc)
-        row = self.spark.createDataFrame([(batch_id, table, path, status, now, note)], MANIFEST)
-        row.coalesce(1).write.mode("append").parquet(self.path)
+        rows = [(batch_id, table, path, status, now, note) for table, path in paths.items()]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(self.path)
 
     def state(self) -> DataFrame:
         newest = F.max_by(F.struct("path", "status", "note"), F.col("recorded_at")).alias("r")
         return self.rows().groupBy("batch_id", "table_name").agg(newest).select("batch_id", "table_name", "r.*")
 
-    def completed(self, batch_id: str, table: str) -> bool:
-        found = self.state().where(
-            (F.col("batch_id") == batch_id) & (F.col("table_name") == table) & (F.col("status") == "COMPLETED")
-        )
+    def completed(self, batch_id: str) -> bool:
+        found = self.state().where((F.col("batch_id") == batch_id) & (F.col("status") == "COMPLETED"))
         return bool(found.limit(1).collect())
 
-    def publish(self, batch_id: str, table: str, rows: Callable[[], DataFrame], check: Callable[[DataFrame], None] | None = None) -> bool:
-        """Write one batch of a table; True if this call published it.
+    def publish(self, batch_id: str, tables: Callable[[], dict[str, DataFrame]], check: Callable[[dict[str, DataFrame]], None] | None = None) -> bool:
+        """Write all tables of one batch; True if this call published it.
 
-        A batch already COMPLETED is left alone. The RUNNING row is written before
-        the data, so a failure can be marked FAILED and tried again.
+        A batch already COMPLETED is left alone. Its RUNNING rows are written before
+        the data, so a failure can be marked FAILED and tried again. ``check`` sees
+        what was written and may refuse it.
         """
-        if self.completed(batch_id, table):
+        if self.completed(batch_id):
             return False
         attempt = datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-        path = f"{self.root}/{table}/{batch_id}-{attempt}"
-        self.record(batch_id, table, path, "RUNNING")
+        paths: dict[str, str] = {"-": ""}
+        self.record(batch_id, paths, "RUNNING")
         try:
-            rows().write.parquet(path)
+            found = tables()
+            paths = {t: f"{self.root}/{t}/{batch_id.replace(':', '-')}-{attempt}" for t in found}
+            for table, rows in found.items():
+                rows.write.parquet(paths[table])
             if check is not None:
-                check(self.spark.read.parquet(path))
+                check({t: self.spark.read.schema(df.schema).parquet(paths[t]) for t, df in found.items()})
         except Exception as error:
-            self.record(batch_id, table, path, "FAILED", str(error)[:200])
+            self.record(batch_id, {"-": ""}, "FAILED", str(error)[:200])
             raise
-        self.record(batch_id, table, path, "COMPLETED")
+        self.record(batch_id, {"-": "", **paths}, "COMPLETED")
         return True
 
     def read(self, table: str, schema: str) -> DataFrame:
-        """Rows of all COMPLETED batches of a table."""
+        """Rows of all COMPLETED batches of a table; a batch's folder holds one attempt."""
         done = self.state().where((F.col("table_name") == table) & (F.col("status") == "COMPLETED"))
+        # one path per batch
         paths = [r["path"] for r in done.select("path").collect()]
         if not paths:
             return self.spark.createDataFrame([], schema)

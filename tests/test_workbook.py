@@ -200,19 +200,70 @@ def test_prices_on_another_sheet(spark):
 def test_manifest(spark, tmp_path):
     m = publish.Manifest(spark, str(tmp_path / "store"))
     rows = spark.createDataFrame([(1, "a")], "id int, t string")
-    assert m.publish("b1", "t", lambda: rows) and not m.publish("b1", "t", lambda: rows)
+    assert m.publish("b1", lambda: {"t": rows, "u": rows}) and not m.publish("b1", lambda: {"t": rows})
 
     def refuse(_):
         raise ValueError("no")
 
     with pytest.raises(ValueError):
-        m.publish("b2", "t", lambda: rows, refuse)
-    assert m.read("t", "id int, t string").count() == 1
-    assert {(r["batch_id"], r["status"]) for r in m.state().collect()} == {("b1", "COMPLETED"), ("b2", "FAILED")}
-    assert m.publish("b2", "t", lambda: rows) and m.read("t", "id int, t string").count() == 2
+        m.publish("b2", lambda: {"t": rows}, refuse)
+    assert m.read("t", "id int, t string").count() == 1 and m.read("u", "id int, t string").count() == 1
+    assert {(r["batch_id"], r["status"]) for r in m.state().where("table_name = '-'").collect()} == {("b1", "COMPLETED"), ("b2", "FAILED")}
+    assert m.publish("b2", lambda: {"t": rows}) and m.read("t", "id int, t string").count() == 2
     assert m.read("none", "id int").count() == 0
 
 
+def test_flow_from_files_to_prices(spark, tmp_path):
+    """Files to stored cells, candidates and canonical rows; every step done twice changes nothing."""
+    import json
+
+    from proratio.operators import flows
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    xlsx.ingested(folder / "w.xlsx")
+    m = publish.Manifest(spark, str(tmp_path / "store"))
+    batch = flows.ingest(spark, str(folder), m)
+    assert batch and flows.ingest(spark, str(folder), m) is None
+    cells = flows.stored(m, "raw.cells")
+    assert cells.count() == 19
+    key = flows.stored(m, "raw.workbooks").collect()[0]["workbook_id"]
+    path = tmp_path / "mapping.json"
+    path.write_text(json.dumps(mapped(spark, key)))
+    assert flows.stage_mapping(spark, str(path), m) and not flows.stage_mapping(spark, str(path), m)
+    version = mapping.mapping_version(spark, str(path))
+    assert flows.promote(m, batch, version) and not flows.promote(m, batch, version)
+    assert flows.stored(m, "core.units").count() == 3 and flows.stored(m, "pricing.unit_price_results").count() == 3
+    # the same candidates under another mapping version add nothing
+    assert flows.promote(m, batch, "sha256:other") and flows.stored(m, "core.units").count() == 3
+
+
+def test_failed_promotion_writes_nothing(spark, tmp_path):
+    from proratio.operators import flows
+
+    m = publish.Manifest(spark, str(tmp_path / "store"))
+    tables = {f"staging.{k}": v for k, v in candidates(spark, repeated=True).items()}
+    m.publish("raw", lambda: {"raw.workbooks": spark.createDataFrame([("wb",)], "workbook_id string").withColumn("ingest_batch_id", F.lit("raw"))})
+    m.publish("stage", lambda: tables)
+    with pytest.raises(promotion.PromotionError):
+        flows.promote(m, "raw", "v1")
+    assert flows.stored(m, "core.units").count() == 0
+    assert m.state().where("batch_id = 'promote:raw:v1' and status = 'FAILED'").count() == 1
+
+
+def test_reports(spark, audit, tmp_path):
+    from proratio.operators import reports
+
+    records, names = audit
+    pair = spark.createDataFrame([(names["a.xlsx"], names["b.xlsx"])], "workbook_a string, workbook_b string")
+    found = reports.workbook_reports(records, pair)
+    assert len(found) == 10
+    files.write_reports(found, str(tmp_path))
+    sheets = spark.read.option("header", True).csv(str(tmp_path / "sheet_inventory"))
+    assert sheets.count() == 4 and "hidden_rows_count" in sheets.columns
+    assert spark.read.option("header", True).csv(str(tmp_path / "dependency_inventory")).count() == 0
+
+
 def test_append_swallows_repeats_within_the_batch(spark):
     incoming = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d")], "id int, v string")
     stored = spark.createDataFrame([(3, "z")], "id int, v string")
