@@ -434,7 +434,7 @@ def idempotent_append(d):
     scored AS (SELECT *, texts / filled * 0.5::DOUBLE + CASE WHEN texts > 0 THEN dt / texts ELSE 0 END * 0.2::DOUBLE
       + coalesce(avg(numbers / filled) OVER (PARTITION BY workbook_id, sheet_name ORDER BY row_number ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) * 0.3::DOUBLE AS score
       FROM early WHERE NOT early OR row_number <= 20)
-    SELECT workbook_id, sheet_name, row_number AS header_row, round(least(1, greatest(0, score)), 2) AS header_confidence FROM scored WHERE rank <= 20
+    SELECT workbook_id, sheet_name, row_number AS header_row, CAST(printf('%.2f', least(1, greatest(0, score))) AS DOUBLE) AS header_confidence FROM scored WHERE rank <= 20
     QUALIFY row_number() OVER (PARTITION BY workbook_id, sheet_name ORDER BY score DESC, row_number) = 1""")
 def header_row(d):
     return cells(d).headers
