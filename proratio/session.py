@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 # columns, so this is at most some tens of megabytes per executor.
 BROADCAST_ROWS = 200_000
 
+# Tasks the rows of one key are divided among where a broadcast is not allowed.
+SALTS = 32
+
 _local_root: list[str] = []
 
 SETTINGS = {
@@ -80,14 +83,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
-def rows_within(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; stops counting just past it."""
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+def counted(df: DataFrame) -> int:
+    """Row count, or BROADCAST_ROWS + 1 when there are more: a bound to pass to ``attach``."""
+    return df.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count()
 
 
-def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
-    """Row count, or ``limit + 1`` when there are more: a bound to pass to ``attach``."""
-    return df.select(F.lit(1)).limit(limit + 1).count()
+def rows_within(df: DataFrame) -> bool:
+    """Whether ``df`` has at most BROADCAST_ROWS rows; stops counting just past it."""
+    return counted(df) <= BROADCAST_ROWS
 
 
 def fits(bound) -> bool:
@@ -96,12 +99,22 @@ def fits(bound) -> bool:
 
 
 def attach(big: DataFrame, small: DataFrame, on, bound, how: str = "left") -> DataFrame:
-    """Join ``small`` (one row per key) onto ``big``.
+    """Join ``small`` (one row per key) onto ``big``: left, inner, left_semi or left_anti.
 
     ``bound`` proves how many rows ``small`` can have: a number known on the
     driver, or a table with at least as many rows (``small`` itself, or the
     dimension its keys come from). Within BROADCAST_ROWS the small side is
-    broadcast, so ``big`` is not shuffled. Beyond it the join is left to Spark: a
-    shuffle join whose hot keys adaptive execution splits.
+    broadcast, so ``big`` is not shuffled.
+
+    Beyond it the join is shuffled, with a salt: the rows of one key go to up to
+    SALTS tasks, each with its own copy of the small row. A key that holds a third
+    of all rows fills no task, and what groups by the key afterwards combines
+    rows first.
     """
-    return big.join(F.broadcast(small) if fits(bound) else small, on, how)
+    if fits(bound):
+        return big.join(F.broadcast(small), on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    # The partition is a salt that a repeated task gives again.
+    salted = big.withColumn("_salt", F.spark_partition_id() % SALTS)
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
