@@ -83,16 +83,14 @@ def floor_band(floor: Column, bands: dict[str, tuple[int, int]]) -> Column:
     return chain
 
 
-def band_table(bands: DataFrame) -> DataFrame:
+def band_table(bands: DataFrame, owner: str = "development_id") -> DataFrame:
     """Bands as one row per floor, so that the range join becomes a hash join.
 
     ``bands`` has ``development_id, band, low, high, ordinal``. Where ranges
     overlap the lowest ordinal wins.
     """
-    floors = bands.where("low <= high").select(
-        "development_id", F.explode(F.sequence("low", "high")).alias("floor"), "band", "ordinal"
-    )
-    return floors.groupBy("development_id", "floor").agg(F.min_by("band", "ordinal").alias("floor_band"))
+    floors = bands.where("low <= high").select(owner, F.explode(F.sequence("low", "high")).alias("floor"), "band", "ordinal")
+    return floors.groupBy(owner, "floor").agg(F.min_by("band", "ordinal").alias("floor_band"))
 
 
 def factor(key: Column, factors: dict[str, Decimal], scale: int) -> Column:
@@ -108,27 +106,27 @@ def weighted_area(private: Column, uncovered: Column, uncovered_factor: Column)
     return private + uncovered * uncovered_factor
 
 
-def unit_weights(units: DataFrame, config: AllocationConfig) -> DataFrame:
-    """Area, band, factors and exact weight of every unit: expressions only, no join."""
+def weight_columns(config: AllocationConfig, scales: tuple[int, int, int]) -> dict[str, Column]:
+    """Area, band, factors and exact weight of a unit, from its own columns."""
     config.check()
-    s_unc, s_floor, s_pos = config.scales
+    s_unc, s_floor, s_pos = scales
     area_scale = AREA_SCALE + s_unc
-    scale = area_scale + s_floor + s_pos
-    kind = f"decimal({weight_digits(config.scales)},{scale})"
     unc = F.lit(str(config.uncovered)).cast(f"decimal({s_unc + 6},{s_unc})")
-    return (
-        units.withColumn("floor_band", floor_band(F.col("floor"), config.bands))
-        .withColumn("floor_factor", factor(F.col("floor_band"), config.floor_factors, s_floor))
-        .withColumn("position_factor", factor(F.col("position"), config.position_factors, s_pos))
-        .withColumn(
-            "area_weight",
-            weighted_area(F.col("private_area_m2"), F.col("uncovered_area_m2"), unc).cast(
-                f"decimal({AREA_DIGITS - AREA_SCALE + 1 + area_scale},{area_scale})"
-            ),
-        )
-        .withColumn("combined_factor", F.col("floor_factor") * F.col("position_factor"))
-        .withColumn("adjustment_weight", (F.col("area_weight") * F.col("combined_factor")).cast(kind))
+    band = floor_band(F.col("floor"), config.bands)
+    floor, position = factor(band, config.floor_factors, s_floor), factor(F.col("position"), config.position_factors, s_pos)
+    area = weighted_area(F.col("private_area_m2"), F.col("uncovered_area_m2"), unc).cast(
+        f"decimal({AREA_DIGITS - AREA_SCALE + 1 + area_scale},{area_scale})"
     )
+    return {
+        "floor_band": band, "floor_factor": floor, "position_factor": position, "area_weight": area,
+        "combined_factor": floor * position,
+        "adjustment_weight": (area * (floor * position)).cast(f"decimal({weight_digits(scales)},{area_scale + s_floor + s_pos})"),
+    }
+
+
+def unit_weights(units: DataFrame, config: AllocationConfig) -> DataFrame:
+    """Weights of every unit: expressions only, no join."""
+    return units.withColumns(weight_columns(config, config.scales))
 
 
 def weight_digits(scales: tuple[int, int, int]) -> int:
@@ -139,8 +137,8 @@ def weight_digits(scales: tuple[int, int, int]) -> int:
     return digits
 
 
-def group_totals(weights: DataFrame, targets: DataFrame, scales: tuple[int, int, int], bound) -> DataFrame:
-    """Per development: total weight, target, and the unit that takes the rounding residual.
+def group_totals(weights: DataFrame, targets: DataFrame, scales: tuple[int, int, int], bound, group: list[str]) -> DataFrame:
+    """Per group: total weight, target, and the unit that takes the rounding residual.
 
     That unit has the largest share; ties go to the lowest tower, then the lowest
     unit code. Partial aggregation keeps one row per development and task, so a
@@ -149,16 +147,16 @@ def group_totals(weights: DataFrame, targets: DataFrame, scales: tuple[int, int,
     first = F.struct(
         (-F.col("adjustment_weight")).alias("w"), F.col("tower").alias("tower"), F.col("unit_code").alias("unit_code")
     )
-    totals = weights.groupBy("development_id").agg(
+    totals = weights.groupBy(*group).agg(
         F.sum("adjustment_weight").alias("total_weight"), F.min(first).alias("top")
     )
     digits = weight_digits(scales) + SUM_DIGITS
     total = whole(F.col("total_weight"), AREA_SCALE + sum(scales), digits)
     return (
-        attach(totals, targets, "development_id", bound, "inner")
+        attach(totals, targets, group, bound, "inner")
         .withColumn("total_whole", total)
         .select(
-            "development_id",
+            *group,
             "target_value",
             whole(F.col("target_value"), 2, MONEY_DIGITS).alias("target_c"),
             "total_whole",
@@ -179,26 +177,27 @@ def allocate(units: DataFrame, targets: DataFrame, config: AllocationConfig, bou
 
 
 def table_weights(units: DataFrame, bands: DataFrame, calibrations: DataFrame, parameters: DataFrame,
-                  scales: tuple[int, int, int], bounds: tuple) -> DataFrame:
-    """``unit_weights`` where every development brings its own bands, factors and parameter.
+                  scales: tuple[int, int, int], bounds: tuple, owner: str = "development_id") -> DataFrame:
+    """``unit_weights`` where every ``owner`` (a development) brings its own bands, factors and parameter.
 
-    ``calibrations`` carries ``development_id, set_code, category_key, factor``;
-    ``parameters`` carries ``development_id, key, numeric_value``. ``scales`` says how
-    many places the three factors use and ``bounds`` how many bands, calibration
-    entries and parameters there can be.
+    ``calibrations`` carries the owner, ``set_code, category_key, factor``;
+    ``parameters`` the owner, ``key, numeric_value``. ``scales`` says how many places
+    the three factors use and ``bounds`` how many floors the bands cover, and how many
+    calibration entries and parameters there can be.
     """
     s_unc, s_floor, s_pos = scales
     area_scale = AREA_SCALE + s_unc
-    rows = attach(units, band_table(bands), ["development_id", "floor"], bounds[0])
+    floors = band_table(bands, owner)
+    rows = attach(units, floors, [owner, "floor"], bounds[0])
     for code, key, name, scale in ((FLOOR_SET, "floor_band", "floor_factor", s_floor), (POSITION_SET, "position", "position_factor", s_pos)):
         entries = calibrations.where(F.col("set_code") == code).select(
-            "development_id", F.col("category_key").alias(key), F.col("factor").cast(f"decimal({scale + 6},{scale})").alias(name)
+            owner, F.col("category_key").alias(key), F.col("factor").cast(f"decimal({scale + 6},{scale})").alias(name)
         )
-        rows = attach(rows, entries, ["development_id", key], bounds[1])
+        rows = attach(rows, entries, [owner, key], bounds[1])
     unc = parameters.where(F.col("key") == UNCOVERED).select(
-        "development_id", F.col("numeric_value").cast(f"decimal({s_unc + 6},{s_unc})").alias("_unc")
+        owner, F.col("numeric_value").cast(f"decimal({s_unc + 6},{s_unc})").alias("_unc")
     )
-    rows = attach(rows, unc, "development_id", bounds[2])
+    rows = attach(rows, unc, owner, bounds[2])
     kind = f"decimal({weight_digits(scales)},{area_scale + s_floor + s_pos})"
     area = weighted_area(F.col("private_area_m2"), F.col("uncovered_area_m2"), F.col("_unc"))
     return (
@@ -209,24 +208,26 @@ def table_weights(units: DataFrame, bands: DataFrame, calibrations: DataFrame, p
     )
 
 
-def allocate_weights(columns: list[str], weights: DataFrame, targets: DataFrame, scales: tuple[int, int, int], bound=None) -> DataFrame:
-    """Prices from weights whose three factors use ``scales`` places."""
+def allocate_weights(columns: list[str], weights: DataFrame, targets: DataFrame, scales: tuple[int, int, int], bound=None,
+                     group: tuple[str, ...] = ("development_id",)) -> DataFrame:
+    """Prices from weights whose three factors use ``scales`` places; each ``group`` has a target."""
+    group = list(group)
     bound = targets if bound is None else bound
     scale = AREA_SCALE + sum(scales)
     w_digits = weight_digits(scales)
     total_digits = w_digits + SUM_DIGITS
-    totals = group_totals(weights, targets, scales, bound)
+    totals = group_totals(weights, targets, scales, bound, group)
     w = whole(F.col("adjustment_weight"), scale, w_digits)
     total, half = F.col("total_whole"), F.col("half_whole")
-    joined = attach(weights, totals, "development_id", bound, "inner").withColumn(
+    joined = attach(weights, totals, group, bound, "inner").withColumn(
         "rounded_c", mul_div(F.col("target_c"), w, total, digits=(MONEY_DIGITS, w_digits, total_digits), half=half)
     )
-    sums = joined.groupBy("development_id").agg(F.sum("rounded_c").alias("sum_c"))
-    residual = attach(totals, sums, "development_id", bound, "inner").select(
-        "development_id", "top_tower", "top_unit", (F.col("target_c").cast("bigint") - F.col("sum_c")).alias("residual_c")
+    sums = joined.groupBy(*group).agg(F.sum("rounded_c").alias("sum_c"))
+    residual = attach(totals, sums, group, bound, "inner").select(
+        *group, "top_tower", "top_unit", (F.col("target_c").cast("bigint") - F.col("sum_c")).alias("residual_c")
     )
     # (tower, unit_code) is unique in a development, so one unit takes the residual.
-    closed = attach(joined.drop("top_tower", "top_unit"), residual, "development_id", bound, "inner")
+    closed = attach(joined.drop("top_tower", "top_unit"), residual, group, bound, "inner")
     takes = (F.col("tower") == F.col("top_tower")) & (F.col("unit_code") == F.col("top_unit"))
     price_c = F.col("rounded_c") + F.when(takes, F.col("residual_c")).otherwise(F.lit(0))
     million, hundred = power(6), F.lit("100").cast("decimal(3,0)")
@@ -459,20 +460,49 @@ def verify(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list
     )
 
 
+def config_tables(spark, configs: dict[str, AllocationConfig]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bands, calibration entries and parameters of named configurations, as tables keyed by ``variant``."""
+    bands, entries, parameters = [], [], []
+    for name, config in configs.items():
+        config.check()
+        bands += [(name, b, lo, hi, i) for i, (b, (lo, hi)) in enumerate(config.bands.items())]
+        for code, factors in ((FLOOR_SET, config.floor_factors), (POSITION_SET, config.position_factors)):
+            entries += [(name, code, k, v) for k, v in factors.items()]
+        parameters += [(name, k, v) for k, v in config.parameters.items()]
+    return (
+        spark.createDataFrame(bands, "variant string, band string, low int, high int, ordinal int"),
+        spark.createDataFrame(entries, "variant string, set_code string, category_key string, factor decimal(12,6)"),
+        spark.createDataFrame(parameters, "variant string, key string, numeric_value decimal(18,6)"),
+    )
+
+
 def sensitivity(units: DataFrame, targets: DataFrame, variants: dict[str, tuple[AllocationConfig, Decimal]],
-                bound=None) -> DataFrame:
-    """The allocation under several configurations and target multiples, in one job."""
-    result = None
-    for name, (config, multiple) in variants.items():
-        scaled = targets.withColumn(
-            "target_value", F.round(F.col("target_value") * F.lit(str(multiple)).cast("decimal(6,2)"), 2).cast("decimal(18,2)")
-        )
-        rows = allocate(units, scaled, config, bound).select(
-            F.lit(name).alias("variant"), "development_id", "tower", "unit_code", "typology", "floor_band",
-            "system_price", "participation_share",
-        )
-        result = rows if result is None else result.unionByName(rows)
-    return result
+                bound: int | None = None) -> DataFrame:
+    """The allocation under several configurations and target multiples.
+
+    Every unit is read as one row per variant, so all variants take as many passes
+    as one. ``bound`` is the number of developments, if known.
+    """
+    scales = tuple(max(s) for s in zip(*[config.scales for config, _ in variants.values()]))
+    configs = {n: c for n, (c, _) in variants.items()}
+    bands, calibrations, parameters = config_tables(units.sparkSession, configs)
+    sizes = (
+        sum(max(0, hi - lo + 1) for c in configs.values() for lo, hi in c.bands.values()),
+        sum(len(c.floor_factors) + len(c.position_factors) for c in configs.values()),
+        sum(len(c.parameters) for c in configs.values()),
+    )
+    goals = F.array(*[
+        F.struct(F.lit(name).alias("variant"),
+                 F.round(F.col("target_value") * F.lit(str(multiple)).cast("decimal(6,2)"), 2).cast("decimal(18,2)").alias("target_value"))
+        for name, (_, multiple) in variants.items()
+    ])
+    each = units.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in variants])))
+    weights = table_weights(each, bands, calibrations, parameters, scales, sizes, "variant")
+    wanted = targets.select("development_id", F.inline(goals))
+    limit = wanted if bound is None else bound * len(variants)
+    columns = ["variant", "development_id", "tower", "unit_code", "typology"]
+    priced = allocate_weights(columns, weights, wanted, scales, limit, ("variant", "development_id"))
+    return priced.select(*columns, "floor_band", "system_price", "participation_share")
 
 
 def participation_by(allocated: DataFrame, *keys: str) -> DataFrame:
