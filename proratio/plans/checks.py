@@ -24,7 +24,7 @@ def _line_rules(d):
         quality.not_null("l_shipdate"),
         quality.domain("l_returnflag", ["A", "N"]),
         quality.check("l_discount_range", "l_discount between 0 and 0.05", "l_discount"),
-        quality.check("shipped_in_time", "l_shipdate < timestamp '2001-09-01'", "l_shipdate"),
+        quality.check("shipped_in_time", "l_shipdate < date '2001-09-01'", "l_shipdate"),
         quality.check("open_needs_tax", "l_linestatus <> 'O' or l_tax > 0", "l_linestatus", "l_tax"),
         quality.unique("l_orderkey", "l_linenumber"),
         quality.foreign(["l_suppkey"], d.table("supplier").where("s_suppkey % 7 <> 0"), ["s_suppkey"]),

@@ -468,12 +468,13 @@ def anomaly_variants(d):
 
 @query(
     "reproduction_pending",
-    """SELECT n_nationkey AS development_id FROM nation WHERE NOT (n_nationkey % 3 = 0)""",
+    """SELECT c_custkey AS development_id FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_mktsegment <> 'BUILDING')""",
 )
 def reproduction_pending(d):
-    """Developments whose ruleset version has no completed run; every third one has."""
-    runs = d.developments.select(
-        "development_id", F.lit("sha256:0").alias("ruleset_version"),
-        F.when(F.col("development_id") % 3 == 0, "COMPLETED").otherwise("FAILED").alias("status"),
+    """Customers as developments: every third has a run of this ruleset version, completed unless it is a BUILDING one."""
+    customers = d.table("customer")
+    runs = customers.where("c_custkey % 3 = 0").select(
+        F.col("c_custkey").alias("development_id"), F.lit("sha256:0").alias("ruleset_version"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "FAILED").otherwise("COMPLETED").alias("status"),
     )
-    return reproduction.pending(d.developments.select("development_id"), runs, "sha256:0")
+    return reproduction.pending(customers.select(F.col("c_custkey").alias("development_id")), runs, "sha256:0")

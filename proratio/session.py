@@ -80,7 +80,9 @@ def spread(df: DataFrame) -> DataFrame:
     For work that multiplies rows; a table of many files is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    # The length of the list alone: df.inputFiles() would bring every name to Python.
+    files = len(df._jdf.inputFiles())
+    return df if files >= cores else df.repartition(cores)
 
 
 def counted(df: DataFrame) -> int:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,12 @@ class Manifest:
         self.path = f"{self.root}/manifest"
 
     def rows(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        try:
+            return self.spark.read.schema(MANIFEST).parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(self.path)
 
     def record(self, batch_id: str, paths: dict[str, str], status: str, note: str = "") -> None:
         """One row per table of the batch, in one file: they appear together."""
