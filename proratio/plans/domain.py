@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from proratio.operators import allocation, reproduction, rulegraph, serving
 from proratio.operators.allocation import AllocationConfig
-from proratio.session import counted, stage
+from proratio.session import counted, spread, stage
 from proratio.sources.tables import read_table
 
 CONFIG = AllocationConfig(
@@ -106,7 +106,7 @@ class Domain:
         areas = self.table("lineitem").groupBy("l_orderkey").agg(
             F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("closed"), F.count("*").alias("terrace")
         )
-        orders = self.table("orders").join(areas, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        orders = spread(self.table("orders")).join(areas, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         customers = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         area = "decimal(12,2)"
         units = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
