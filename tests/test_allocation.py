@@ -158,3 +158,11 @@ def test_json_text_is_escaped_like_the_canonical_form(spark):
     texts = ["plain", 'q"b\\', "é\n\t", "🏢 x", "\x01"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(json_string(F.col("t")).alias("j")).collect()
     assert [r["j"] for r in got] == [json.dumps(t) for t in texts]
+
+
+def test_rounding(spark):
+    from proratio.functions.exact import half_even, money
+
+    df = spark.createDataFrame([(Decimal("0.005"),), (Decimal("0.015"),), (Decimal("-0.005"),)], "v decimal(10,3)")
+    got = df.select(money(F.col("v")).alias("m"), half_even(F.col("v"), 2, 10).alias("e")).collect()
+    assert [(r["m"], r["e"]) for r in got] == [(Decimal("0.01"), 0), (Decimal("0.02"), Decimal("0.02")), (Decimal("-0.01"), 0)]

@@ -42,6 +42,7 @@ def test_keys_and_values(spark):
     assert [one(spark, v, tx.zero_if_blank) for v in (None, "", "4", "x")] == ["0", "0", "4", None]
     assert [one(spark, v, tx.column_index) for v in ("A", "Z", "AA", "ABC")] == [1, 26, 27, 731]
     assert [one(spark, v, lambda c: formulas.column_letters(c), "int") for v in (1, 26, 27, 702, 703, 731)] == ["A", "Z", "AA", "ZZ", "AAA", "ABC"]
+    assert [(one(spark, v, tx.cell_letters), one(spark, v, tx.cell_row)) for v in ("AB12", "x1")] == [("AB", 12), ("", None)]
     assert one(spark, "Área (M²) 1", tx.normalize_name) == "ream1"
     assert [one(spark, v, tx.personal_value) for v in ("123.456.789-09", "(31) 99999-1234", "a@b.com", "plain")] == [True, True, True, False]
     assert str(one(spark, 45000.75, tx.serial_date, "double")) == "2023-03-15"
