@@ -10,8 +10,9 @@ sequence and offset off the plan, so no task and no driver sees the pieces as a
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,34 +25,46 @@ from proratio.llm.common import ranked, stored, text_of
 WINDOW = 1024
 #: Id put behind each document.
 END = 0
-#: Encoded chunks a task remembers; only a matter of memory.
-MEMORY = 150_000
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
-# A single space between two visible characters always starts a new pre-token, so a
-# text falls into chunks that can be encoded one by one and remembered.
-_CHUNK = re.compile(r"(?<=\S)(?= \S)")
-
-
 class Encoder:
-    """Ids as little-endian 32-bit bytes, by the tokenizer, a chunk at a time."""
+    """Ids as little-endian 32-bit bytes, as the tokenizer of ``path`` gives them.
+
+    Texts in a plain byte-level BPE vocabulary go through a faster encoder of the same
+    vocabulary and pattern, which gives the same ids; a text with the spelling of an
+    added token goes through the tokenizer itself, and so do all texts otherwise.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.added = [t["content"] for t in parts["added_tokens"]]
+        self.fast = None
+        before = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]:
+            import public_tokenizers
+            import tiktoken
+
+            # A byte-level vocabulary writes each byte as one visible character: itself, or the next one from 256 on.
+            shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+            hidden = [b for b in range(256) if b not in set(shown)]
+            byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in parts["model"]["vocab"].items() if t not in self.added}
+            self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        known = self.known
-        chunks = _CHUNK.split(text)
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for chunk, ids in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[chunk] = np.array(ids.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        if not self.fast or any(x in text for x in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.fast(text), "<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per Python process."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, keep: list[str] = ("doc_id",), window: int = WINDOW) -> DataFrame:
@@ -66,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str] = ("doc_id",), windo
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
