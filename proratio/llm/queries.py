@@ -1,8 +1,8 @@
 """The registered queries: each applies one operator, with its production parameters, to its whole table.
 
-No query here has SQL: fitted models, tokenizers, components and archives are not
-expressible, or the SQL is too slow on whole tables; ``tests/llm`` checks each one
-against a brute-force version, a round trip or held-out labels.
+SQL can express op9 alone; fitted models, tokenizers, components and archives are
+beyond it. ``tests/llm`` holds the others against brute force, a round trip or
+held-out labels.
 """
 
 from __future__ import annotations
@@ -10,15 +10,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proratio.llm import mixing, packing, simhash, toxicity
+from proratio.llm import masked_lm, merkle, mixing, packing, simhash, topk, toxicity, urls, warc, wordpiece
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pseudo_likelihood(spark, folder):
+    return masked_lm.pseudo_likelihood(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op2_toxicity(spark, folder):
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -27,14 +32,35 @@ def op3_packing(spark, folder):
     return packing.pack(_table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
 
 
+def op4_warc(spark, folder):
+    return warc.archived(_table(spark, folder, "pages"))
+
+
+def op5_token_counts(spark, folder):
+    return wordpiece.token_counts(_table(spark, folder, "documents"), PIECES)
+
+
 def op6_simhash(spark, folder):
     return simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op7_topk(spark, folder):
+    return topk.search(_table(spark, folder, "embeddings"), every=50, k=5)
+
+
+def op8_urls(spark, folder):
+    return urls.judge(_table(spark, folder, "pages").select("page_id", "url"))
+
+
+def op9_merkle(spark, folder):
+    return merkle.fingerprints(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark, folder):
     mixed = mixing.mix(_table(spark, folder, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", *[F.col(f"_mix_{c}").alias(c) for c in ("block", "slot", "place", "on_target")])
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op6_simhash, op10_mixing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_pseudo_likelihood, op2_toxicity, op3_packing, op4_warc, op5_token_counts, op6_simhash, op7_topk, op8_urls, op9_merkle, op10_mixing)}
+ORACLES: dict[str, str] = {"op9_merkle": merkle.SQL}
