@@ -131,33 +131,47 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate([np.asarray(f, int).reshape(-1, 3) for f in found])
 
 
-def solve(columns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares by accelerated projected gradient: repeats per column that use up the histogram."""
+def solve(columns: np.ndarray, histogram: np.ndarray, rounds: int = 300, enough: float = 1e-3) -> np.ndarray:
+    """Non-negative least squares by accelerated projected gradient: repeats per column that use up the histogram.
+
+    A length's error counts in proportion to the length, for a long piece left over
+    costs more, and against the root of its number of pieces. Unknowns are scaled by
+    what a column could use at most; momentum starts anew whenever the error grows.
+    """
     size = len(histogram)
-    weight = np.where(histogram > 0, 1.0 / np.sqrt(np.maximum(histogram, 1)), 0)
-    flat, used = columns.ravel(), (columns > 0).astype(float)
-    target = histogram * weight
+    weight = np.where(histogram > 0, np.arange(size) / size / np.sqrt(np.maximum(histogram, 1)), 0)
+    scale = np.sqrt(np.where(columns > 0, histogram[columns], np.inf).min(1))
+    flat, used = columns.ravel(), (columns > 0) * scale[:, None]
+    pull, target = weight[columns] * used, histogram * weight
 
-    def forward(x):
-        return np.bincount(flat, (x[:, None] * used).ravel(), size) * weight
+    def forward(y):
+        return np.bincount(flat, (y[:, None] * used).ravel(), size) * weight
 
     def backward(r):
-        return ((r * weight)[columns] * used).sum(1)
+        return (r[columns] * pull).sum(1)
 
     # The largest eigenvalue by power steps gives the step length.
-    v = np.ones(len(columns))
-    norm = 1.0
+    v, norm = np.ones(len(columns)), 1.0
     for _ in range(20):
         v = backward(forward(v))
         norm = float(np.linalg.norm(v)) or 1.0
         v /= norm
     x = y = np.zeros(len(columns))
-    t = 1.0
+    image = ahead = np.zeros(size)
+    t, last = 1.0, np.inf
     for _ in range(rounds):
-        new = np.maximum(0, y - backward(forward(y) - target) / (1.02 * norm))
+        new = np.maximum(0, y - backward(ahead - target) / (1.02 * norm))
+        reached = forward(new)
+        loss = float(((reached - target) ** 2).sum())
+        if loss > last:
+            y, ahead, t, last = x, image, 1.0, np.inf
+            continue
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y, x, t = new + (t - 1) / t2 * (new - x), new, t2
-    return x
+        y, ahead = new + (t - 1) / t2 * (new - x), reached + (t - 1) / t2 * (reached - image)
+        x, image, t, last = new, reached, t2, loss
+        if loss < enough:
+            break
+    return x * scale
 
 
 def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
@@ -180,16 +194,14 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int,
         columns = combinations(here, window)
         if len(columns):
             x = solve(columns, left.astype(float))
-            order = np.lexsort((*columns.T, -x))
-            # Whole parts first, then what rounding left, as far as the pieces reach.
-            for whole in (True, False):
-                for j in order:
-                    if x[j] < (1 if whole else 1e-3):
-                        break
-                    lengths = tuple(int(v) for v in columns[j] if v)
-                    n = min(most(lengths), int(x[j]) if whole else 1)
-                    if n > 0:
-                        take(lengths, n)
+            # Whole repeats, the most used first, as far as the pieces reach.
+            for j in np.lexsort((*columns.T, -x)):
+                if x[j] < 1:
+                    break
+                lengths = tuple(int(v) for v in columns[j] if v)
+                n = min(most(lengths), int(x[j]))
+                if n > 0:
+                    take(lengths, n)
     # The rest: the longest left, then each time the longest that still fits.
     while left.any():
         lengths, room, free = [], window, left.copy()

@@ -54,7 +54,8 @@ def search(table: DataFrame, every: int, k: int, lists: int = LISTS, block: int
     """(query_id, rank, vec_id, score): the ``k`` best for each row whose vec_id is divisible by ``every``, its own id left out.
 
     Equal scores go by smaller vec_id. Repeated rows count once; vectors of other
-    lengths are filled up with zeros.
+    Equal scores go by smaller vec_id. Repeated rows count once; vectors of other
+    lengths are filled up with zeros. A score beyond a long is an error.
     """
     rows = stored(whole_vectors(table, scale), "vectors")
     width = rows.agg(F.max(F.size("vec"))).first()[0] or 0
