@@ -51,8 +51,9 @@ def ranked(df: DataFrame, order: list, group: list[str] = (), name: str = "rank"
 
     A range sort deals the rows out, so a group of any size spreads over many tasks;
     each task numbers its rows, and the rows before it in the group are added from a
-    table with one row per task and group. Rows that tie get places in any order.
-    Null is a group of its own, and sorts first.
+    table with one row per task and group it has, which is broadcast: ranges do not
+    overlap, so there are fewer rows than tasks and groups together. Rows that tie get
+    places in any order. Null is a group of its own, and sorts first.
     """
     keys = [F.col(g) for g in group]
     sort = [*keys, *[F.col(o) if isinstance(o, str) else o for o in order]]
@@ -69,5 +70,5 @@ def ranked(df: DataFrame, order: list, group: list[str] = (), name: str = "rank"
     same = F.col("_llm_part") == F.col("_llm_p")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_llm_g{i}"))
-    return placed.join(shift, same).withColumn(name, F.col("_llm_at") + F.col("_llm_shift")).drop(
+    return placed.join(F.broadcast(shift), same).withColumn(name, F.col("_llm_at") + F.col("_llm_shift")).drop(
         "_llm_at", "_llm_part", "_llm_p", "_llm_shift", *[f"_llm_g{i}" for i in range(len(group))])
