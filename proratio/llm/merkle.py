@@ -12,10 +12,10 @@ texts have equal roots; likeness and the place of an edit are read off the label
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proratio.llm.common import ranked, text_of
+from proratio.llm.common import ranked, stored, text_of
 
 _SPACE = r"[ \t\x0B\f\r]"
 _VISIBLE = r"[^ \t\x0B\f\r\n]"
@@ -58,34 +58,41 @@ def differing_paragraphs(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.array().cast("array<int>")).otherwise(F.filter(found, lambda i: i.isNotNull()))
 
 
-def following(docs: DataFrame) -> DataFrame:
-    """(prev_id, next_text): the text of the next document in ascending doc_id, of the first one after the last.
+def neighbours(docs: DataFrame) -> DataFrame:
+    """(key, prev_key, prev_chars): the document before each in ascending doc_id, and its greatest length.
 
-    Rows that repeat an id are one place in this order, with the smallest of their
-    texts. Null is an id like others and comes first. Only ids are sorted.
+    From (key, doc_id, text). The one before the first is the last. Rows that repeat
+    an id are one place. Null is an id like others and comes first. Only ids are sorted.
     """
-    ids = ranked(docs.select("doc_id").distinct(), ["doc_id"], name="place")
-    n = docs.select("doc_id").distinct().count()
-    after = ids.select(F.col("doc_id").alias("prev_id"), ((F.col("place") + 1) % F.lit(max(n, 1))).alias("at"))
-    after = after.join(ids.select(F.col("doc_id").alias("next_id"), F.col("place").alias("at")), "at").drop("at")
-    texts = docs.groupBy("doc_id").agg(F.min(text_of()).alias("next_text"))
-    return after.join(texts, F.col("next_id").eqNullSafe(F.col("doc_id"))).select("prev_id", "next_text")
+    ids = ranked(docs.groupBy("key", "doc_id").agg(F.max(F.length("text")).alias("chars")), ["doc_id"], name="place")
+    n = max(ids.count(), 1)
+    before = ids.select(((F.col("place") + 1) % n).alias("place"), F.col("key").alias("prev_key"), F.col("chars").alias("prev_chars"))
+    return ids.join(before, "place").select("key", "prev_key", "prev_chars")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A null text is empty. The edited text keeps the first half (rounded up) and takes
-    as much as the second half had, or all there is, from the next document.
+    as much as the second half had, or all there is, from the next document: of rows
+    that repeat its id, the one with the smallest text.
+
+    Whole texts are shuffled once, by id; to the document before goes what it can use
+    of a text, and the text's fingerprint.
     """
-    docs = docs.select("doc_id", text_of().alias("text"))
-    after = following(docs)
-    df = docs.join(after, docs.doc_id.eqNullSafe(after.prev_id)).drop("prev_id").withColumn("n_chars", F.length("text").cast("long"))
+    # Null has a key of its own that no number has.
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "doc_id", text_of().alias("text"))
+    placed = docs.join(stored(neighbours(docs), "neighbours"), "key")
+    # Both sides ask for the same columns of documents, so the texts' exchange is one.
+    first = F.row_number().over(Window.partitionBy("key").orderBy("text", "doc_id"))
+    given = placed.withColumn("nth", first).where("nth = 1")
+    given = fingerprint(given, "text", "next_fingerprint").select(
+        F.col("prev_key").alias("key"), F.substring("text", F.lit(1), F.expr("cast(prev_chars div 2 as int)")).alias("next_text"), "next_fingerprint")
+    df = placed.join(given, "key").withColumn("n_chars", F.length("text").cast("long"))
     half = F.expr("cast(n_chars div 2 as int)")
     df = df.withColumn("edited", F.concat(
         F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    for text, name in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint")):
-        df = fingerprint(df, text, name)
+    df = fingerprint(fingerprint(df, "text", "fingerprint"), "edited", "edited_fingerprint")
     return df.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
