@@ -199,3 +199,12 @@ def personal_header(column: Column) -> Column:
     for hint in PERSONAL_HEADERS:
         hit = hit | F.contains(F.lower(column), F.lit(hint))
     return F.coalesce(hit, F.lit(False))
+
+
+# Eight words of a hex digest, added up as whole numbers: a digest of a set of rows.
+DIGEST_WORDS = [f"word{i}" for i in range(8)]
+
+
+def digest_sums(digest: Column) -> list[Column]:
+    """Sums of the 32-bit words of SHA-256 digests, named as DIGEST_WORDS; exact for two billion rows in a group."""
+    return [F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")).alias(w) for i, w in enumerate(DIGEST_WORDS)]

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proratio.functions.exact import div, half_even, half_of, mul_div, power, unscale, whole
-from proratio.functions.text import fixed_text, json_object, json_string
-from proratio.session import attach
+from proratio.functions.text import DIGEST_WORDS, digest_sums, fixed_text, json_object, json_string
+from proratio.session import attach, stage
 
 ALGORITHM = "REFERENCE_ALLOCATION_V1"
 UNCOVERED = "UNCOVERED_AREA_FACTOR"
@@ -141,32 +141,43 @@ def group_totals(weights: DataFrame, targets: DataFrame, scales: tuple[int, int,
     """Per group: total weight, target, and the unit that takes the rounding residual.
 
     That unit has the largest share; ties go to the lowest tower, then the lowest
-    unit code. Partial aggregation keeps one row per development and task, so a
-    huge development does not gather anywhere.
+    unit code (a unit without a tower before those with one). The largest weight is a
+    plain maximum, and only the few units that reach it are compared by name. A group
+    with a unit that has no weight gets no total: what it lacks blocks it, as a whole.
     """
-    first = F.struct(
-        (-F.col("adjustment_weight")).alias("w"), F.col("tower").alias("tower"), F.col("unit_code").alias("unit_code")
-    )
-    totals = weights.groupBy(*group).agg(
-        F.sum("adjustment_weight").alias("total_weight"), F.min(first).alias("top")
+    measured = weights.groupBy(*group).agg(
+        F.when(F.count("adjustment_weight") == F.count(F.lit(1)), F.sum("adjustment_weight")).alias("total_weight"),
+        F.max("adjustment_weight").alias("top_weight"),
     )
     digits = weight_digits(scales) + SUM_DIGITS
     total = whole(F.col("total_weight"), AREA_SCALE + sum(scales), digits)
-    return (
-        attach(totals, targets, group, bound, "inner")
-        .withColumn("total_whole", total)
-        .select(
-            *group,
-            "target_value",
-            whole(F.col("target_value"), 2, MONEY_DIGITS).alias("target_c"),
-            "total_whole",
-            half_of(F.col("total_whole"), digits).alias("half_whole"),
-            F.col("top.tower").alias("top_tower"),
+    measured = stage(
+        attach(measured, targets, group, bound, "inner").withColumn("total_whole", total).select(
+            *group, "target_value", whole(F.col("target_value"), 2, MONEY_DIGITS).alias("target_c"), "total_whole",
+            half_of(F.col("total_whole"), digits).alias("half_whole"), "top_weight",
+        )
+    )
+    named = attach(
+        weights.select(*group, "tower", "unit_code", "adjustment_weight"), measured.select(*group, "top_weight"), group, bound, "inner"
+    ).where("adjustment_weight = top_weight")
+    tops = named.groupBy(*group).agg(F.min(F.struct("tower", "unit_code")).alias("top"))
+    return stage(
+        attach(measured, tops, group, bound).select(
+            *group, "target_value", "target_c", "total_whole", "half_whole", F.col("top.tower").alias("top_tower"),
             F.col("top.unit_code").alias("top_unit"),
         )
     )
 
 
+def unpriced(weights: DataFrame) -> DataFrame:
+    """Units whose weight is missing, and what they lack: the reasons their groups have no prices."""
+    lacks = F.array_compact(F.array(
+        F.when(F.col("floor_factor").isNull(), F.lit("floor_factor")), F.when(F.col("position_factor").isNull(), F.lit("position_factor")),
+        F.when(F.col("area_weight").isNull(), F.lit("area_weight")),
+    ))
+    return weights.where(F.col("adjustment_weight").isNull()).select("development_id", "tower", "unit_code", F.array_join(lacks, ",").alias("missing"))
+
+
 def allocate(units: DataFrame, targets: DataFrame, config: AllocationConfig, bound=None) -> DataFrame:
     """Price every unit so that each development sums to its target, to the cent.
 
@@ -228,7 +239,7 @@ def allocate_weights(columns: list[str], weights: DataFrame, targets: DataFrame,
     )
     # (tower, unit_code) is unique in a development, so one unit takes the residual.
     closed = attach(joined.drop("top_tower", "top_unit"), residual, group, bound, "inner")
-    takes = (F.col("tower") == F.col("top_tower")) & (F.col("unit_code") == F.col("top_unit"))
+    takes = F.col("tower").eqNullSafe(F.col("top_tower")) & F.col("unit_code").eqNullSafe(F.col("top_unit"))
     price_c = F.col("rounded_c") + F.when(takes, F.col("residual_c")).otherwise(F.lit(0))
     million, hundred = power(6), F.lit("100").cast("decimal(3,0)")
     area_c = whole(F.col("private_area_m2"), AREA_SCALE, AREA_DIGITS)
@@ -297,12 +308,14 @@ def require_valid(*args, **kwargs) -> None:
 
 
 def reconciliation(allocated: DataFrame) -> DataFrame:
-    """VGV_RECONCILIATION per development: expected, actual, difference, severity."""
+    """VGV_RECONCILIATION per development: expected, actual, difference, severity; ERROR as well where prices are missing."""
     return (
         allocated.groupBy("development_id")
-        .agg(F.max("target_value").alias("expected_value"), F.sum("system_price").cast("decimal(18,2)").alias("actual_value"))
+        .agg(F.max("target_value").alias("expected_value"), F.sum("system_price").cast("decimal(18,2)").alias("actual_value"),
+             F.count_if(F.col("system_price").isNull()).alias("unpriced"))
         .withColumn("difference", (F.col("actual_value") - F.col("expected_value")).cast("decimal(18,2)"))
-        .withColumn("severity", F.when(F.col("difference") == 0, "INFO").otherwise("ERROR"))
+        .withColumn("severity", F.when((F.col("difference") == 0) & (F.col("unpriced") == 0), "INFO").otherwise("ERROR"))
+        .drop("unpriced")
         .withColumn("check_type", F.lit("VGV_RECONCILIATION"))
     )
 
@@ -388,55 +401,53 @@ def unit_payload(allocated: DataFrame) -> DataFrame:
         "weighted_area_m2": fixed_text(half_even(F.col("weighted_area_m2"), 4, 16)),
     }
     return allocated.select(
-        "development_id", "tower", "unit_code", "target_value", "system_price", json_object(fields).alias("payload")
+        "development_id", "tower", "unit_code", "target_value", "system_price",
+        json_object({k: F.coalesce(v, F.lit("null")) for k, v in fields.items()}).alias("payload"),
     )
 
 
-def logical_hash(allocated: DataFrame, bound, algorithm: str = ALGORITHM, block: int = 50_000) -> DataFrame:
-    """SHA-256 per development over its canonical units, target and total.
+def logical_hash(allocated: DataFrame, bound, algorithm: str = ALGORITHM) -> DataFrame:
+    """SHA-256 per development over target, total, number and digests of its canonical units.
 
-    A development of at most ``block`` units hashes its one canonical document.
-    A larger one hashes the ordered list of its block hashes instead, so no
-    document, task or group ever holds more than about ``block`` units.
+    The units' digests enter as sums of their words, so their order does not matter, a
+    development of any size is added up where its units are, and no text is gathered.
+    ``bound`` is not needed any more; no table is joined.
     """
-    units = unit_payload(allocated)
-    sizes = units.groupBy("development_id").agg(
-        F.ceil(F.count("*") / F.lit(block)).alias("blocks"),
-        F.max("target_value").alias("target_value"),
-        F.sum("system_price").cast("decimal(18,2)").alias("total"),
-    )
-    keyed = attach(units, sizes.select("development_id", "blocks"), "development_id", bound, "inner").withColumn(
-        "block", F.pmod(F.xxhash64("tower", "unit_code"), F.col("blocks"))
+    units = unit_payload(allocated).withColumn("digest", F.sha2("payload", 256))
+    sums = units.groupBy("development_id").agg(
+        F.max("target_value").alias("target_value"), F.sum("system_price").cast("decimal(18,2)").alias("total"),
+        F.count(F.lit(1)).alias("units"), *digest_sums(F.col("digest")),
     )
-    parts = keyed.groupBy("development_id", "block").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("tower", "unit_code", "payload"))), lambda u: u["payload"]),
-            ",",
-        ).alias("body")
-    )
-    parts = parts.select(
-        "development_id", "block", F.sha2("body", 256).alias("digest"),
-        # Only a single-block development needs its text again.
-        F.when(F.length("body") <= 400 * block, F.col("body")).alias("body"),
+    document = json_object(
+        {
+            "algorithm": json_string(F.lit(algorithm)),
+            "target_vgv": fixed_text(F.col("target_value")),
+            "total_system_price": F.coalesce(fixed_text(F.col("total")), F.lit("null")),
+            "units": json_string(F.concat_ws(",", "units", *DIGEST_WORDS)),
+        }
     )
-    whole_text = attach(parts, sizes, "development_id", bound, "inner").groupBy("development_id").agg(
-        F.max("blocks").alias("blocks"),
-        F.max("target_value").alias("target_value"),
-        F.max("total").alias("total"),
-        F.max(F.when(F.col("blocks") == 1, F.col("body"))).alias("body"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda b: b["digest"]), ","
-        ).alias("digests"),
+    return sums.select("development_id", F.sha2(document, 256).alias("logical_hash"))
+
+
+def published_hash(allocated: DataFrame, algorithm: str = ALGORITHM) -> DataFrame:
+    """SHA-256 per development of its one published document, which lists all units in order.
+
+    The document is as long as the development, so this is for exchange of small
+    developments with programs that know this form; ``logical_hash`` is for all.
+    """
+    docs = unit_payload(allocated).groupBy("development_id").agg(
+        F.max("target_value").alias("target_value"), F.sum("system_price").cast("decimal(18,2)").alias("total"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tower", "unit_code", "payload"))), lambda u: u["payload"]), ",").alias("body"),
     )
     document = json_object(
         {
             "algorithm": json_string(F.lit(algorithm)),
             "target_vgv": fixed_text(F.col("target_value")),
             "total_system_price": fixed_text(F.col("total")),
-            "units": F.concat(F.lit("["), F.when(F.col("blocks") == 1, F.col("body")).otherwise(F.col("digests")), F.lit("]")),
+            "units": F.concat(F.lit("["), F.col("body"), F.lit("]")),
         }
     )
-    return whole_text.select("development_id", F.sha2(document, 256).alias("logical_hash"))
+    return docs.select("development_id", F.sha2(document, 256).alias("logical_hash"))
 
 
 def run_rows(allocated: DataFrame, codes: list[str]) -> DataFrame:

@@ -94,7 +94,7 @@ def embedded_parameters(cells: DataFrame) -> DataFrame:
     first = found.groupBy(*key).agg(F.min("place").alias("place"), F.min_by("formula", "place").alias("formula"))
     return first.select(
         entity_id(*key).alias("parameter_id"), *SHEET, cell_at(F.col("place")).alias("location"),
-        F.col("literal").alias("value_or_expression"), F.substring("formula", 1, 200).alias("used_by"),
+        F.col("literal").alias("value_or_expression"), F.col("formula").alias("used_by"),
         literal_role(F.col("literal"), F.col("formula")).alias("possible_role"),
         F.lit("HARDCODED_FORMULA").alias("origin_type"), F.lit("LOW").alias("confidence"),
         needs_explanation(F.col("literal"), F.col("formula")).alias("requires_human_explanation"),
@@ -183,7 +183,7 @@ def deviating_runs(signed: DataFrame, keys: list[str], bound, block_rows: int =
     return found.select(
         *keys, F.concat(F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("row_range"),
         F.col("s.n").alias("affected_cells"), F.lit("formula").alias("majority_pattern_kind"),
-        F.col("s.kind").alias("deviation_kind"), F.substring(F.coalesce("s.detail", F.lit("")), 1, 200).alias("deviation_detail"),
+        F.col("s.kind").alias("deviation_kind"), F.coalesce("s.detail", F.lit("")).alias("deviation_detail"),
         F.when(F.col("s.kind") == "manual_value", "POSSIBLE_MANUAL_OVERRIDE")
         .when(F.col("s.kind") == "formula", "POSSIBLE_ERROR_OR_VARIANT_FORMULA").otherwise("UNKNOWN").alias("classification_hint"),
     )

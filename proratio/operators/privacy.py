@@ -8,30 +8,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Shapes of private values, and names no published file may have.
+# Shapes of private values. Names of one's own systems come from the caller.
 PATTERNS = {
-    "credencial libpq": r"PG(PASSWORD|HOST|USER|DATABASE)\s*=\s*\S+",
-    "connection string": r"postgres(ql)?://[^\s'\"]+:[^\s'\"]+@",
-    "DATABASE_URL": r"DATABASE_URL\s*=\s*\S+",
-    "sha256": r"\b[a-fA-F0-9]{64}\b",
-    "planilha": r"(?i)[^\s'\"]+\.xlsx",
-    "caminho restrito": r"data[/\\]restricted",
-    "base privada": r"PRIVATE_API_BASE\s*=\s*['\"]http://(?!127\.0\.0\.1)",
+    "database login": r"PG(PASSWORD|HOST|USER|DATABASE)\s*=\s*\S+",
+    "login in a url": r"postgres(ql)?://[^\s'\"]+:[^\s'\"]+@",
+    "database address": r"DATABASE_URL\s*=\s*\S+",
+    "64 hex digits": r"\b[a-fA-F0-9]{64}\b",
+    "workbook name": r"(?i)[^\s'\"]+\.xlsx",
 }
+# Names no published file may have.
 FORBIDDEN_NAMES = r"(^|/)\.env[^/]*$"
 FORBIDDEN_SUFFIXES = r"(?i)\.(xlsx|xls|sql|py|ps1)$"
-SHOWN = 40
 MARK_SHOWN = 4
 
 
 def pattern_scan(texts: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """First match of each pattern in each text, cut for the report."""
-    matches = F.array(
-        *[F.struct(F.lit(label).alias("label"), F.regexp_extract(text, p, 0).alias("m")) for label, p in (patterns or PATTERNS).items()]
-    )
-    # No pattern matches the empty text, so an empty match is none.
-    found = F.filter(matches, lambda f: f["m"] != "")
-    return texts.select(F.col(key), F.inline(found)).select(key, "label", F.substring("m", 1, SHOWN).alias("excerpt"))
+    """Each pattern found in each text: how often, and the first match, whole."""
+    matches = F.array(*[
+        F.struct(F.lit(label).alias("label"), F.regexp_count(text, F.lit(p)).alias("matches"), F.regexp_extract(text, p, 0).alias("excerpt"))
+        for label, p in (patterns or PATTERNS).items()
+    ])
+    found = F.filter(matches, lambda f: f["matches"] > 0)
+    return texts.select(F.col(key), F.inline(found)).select(key, "label", "matches", "excerpt")
 
 
 def parse_markers(lines: list[str]) -> list[str]:

@@ -12,15 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proratio.functions.text import effective_value, personal_header, personal_value
-from proratio.session import attach, fits, rows_within, stage
+from proratio.session import attach, fits
 
 SHEET = ["workbook_id", "sheet_name"]
 COLUMN = SHEET + ["column_letters"]
 HEADER_ROWS = 20
 ROWS_BELOW = 5
-PERSONAL_SAMPLE = 50
-# Rows in which most columns have that many texts.
-FIRST_ROWS = 500
 
 
 def first_rows(cells: DataFrame, bound) -> DataFrame:
@@ -89,29 +86,6 @@ def header_fields(cells: DataFrame, headers: DataFrame, bound) -> DataFrame:
     ).where("field_name <> ''")
 
 
-def first_texts(data: DataFrame) -> DataFrame:
-    """The first fifty texts of each column.
-
-    Looked for among the first rows; only columns with fewer texts there are
-    searched further down.
-    """
-    texts = data.where("cell_type = 'string'").select(*COLUMN, "row_number", "header_row", "value")
-    order = Window.partitionBy(*COLUMN).orderBy("row_number")
-
-    def ranked(rows):
-        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PERSONAL_SAMPLE)
-
-    far = F.col("row_number") > F.col("header_row") + FIRST_ROWS
-    near = stage(ranked(texts.where(~far)))
-    full = near.groupBy(*COLUMN).agg(F.count("*").alias("n")).where(F.col("n") >= PERSONAL_SAMPLE).select(*COLUMN)
-    rest = texts.where(far)
-    if rows_within(full):
-        # Broadcast, so that a long column is not gathered before its texts are limited.
-        rest = rest.join(F.broadcast(full), COLUMN, "left_anti")
-    both = near.drop("place").unionByName(ranked(rest).drop("place"))
-    return ranked(both)
-
-
 def field_profile(cells: DataFrame, headers: DataFrame, bound) -> DataFrame:
     """One row of measures per named column.
 
@@ -124,7 +98,7 @@ def field_profile(cells: DataFrame, headers: DataFrame, bound) -> DataFrame:
     data = (
         attach(cells, headers.select(*SHEET, "header_row"), SHEET, bound, "inner")
         .where("row_number > header_row and cell_type <> 'empty'")
-        .select(*COLUMN, "cell_type", "row_number", "header_row", value.alias("value"),
+        .select(*COLUMN, "cell_type", "row_number", value.alias("value"),
                 (F.coalesce(F.col("formula_expression"), F.lit("")) != "").alias("formula"))
     )
     values = data.groupBy(*COLUMN, "cell_type", "value").agg(
@@ -138,6 +112,8 @@ def field_profile(cells: DataFrame, headers: DataFrame, bound) -> DataFrame:
         F.max("formula").alias("formula"), F.min(number).alias("low"), F.max(number).alias("high"),
         F.sum(number * F.col("n")).alias("total"), F.sum(F.when(number.isNotNull(), F.col("n"))).alias("numbers"),
         F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.min(size).alias("shortest"), F.max(size).alias("longest"),
+        # Every distinct text is looked at.
+        F.max(F.when(F.col("cell_type") == "string", personal_value(F.col("value")))).alias("personal"),
     )
     columns = types.groupBy(*COLUMN).agg(
         F.sum("n").alias("filled_count"),
@@ -149,12 +125,10 @@ def field_profile(cells: DataFrame, headers: DataFrame, bound) -> DataFrame:
         F.min("low").alias("min"), F.max("high").alias("max"), (F.sum("total") / F.sum("numbers")).alias("mean"),
         F.min("first_day").alias("date_min"), F.max("last_day").alias("date_max"),
         F.min("shortest").alias("text_len_min"), F.max("longest").alias("text_len_max"),
+        F.max("personal").alias("personal"),
         F.sum(F.when(F.col("cell_type") == "error", F.col("n")).otherwise(F.lit(0))).alias("error_count"),
     )
-    personal = first_texts(data).groupBy(*COLUMN).agg(F.max(personal_value(F.col("value"))).alias("personal"))
-    profiled = (
-        attach(fields, extent, SHEET, bound, "left").join(columns, COLUMN, "left").join(personal, COLUMN, "left")
-    )
+    profiled = attach(fields, extent, SHEET, bound, "left").join(columns, COLUMN, "left")
     zero = F.lit(0).cast("bigint")
     filled, unique = F.coalesce("filled_count", zero), F.coalesce("unique_count", zero)
     total = (F.col("max_row") - F.col("header_row")).cast("bigint")

@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proratio.functions.text import composite_key, magnitude_prefix, number
+from proratio.functions.text import DIGEST_WORDS, composite_key, digest_sums, magnitude_prefix, number
 from proratio.session import attach, stage
 
 BLOCKING = {"BLOCKED_BY_AMBIGUITY", "DORMANT", "NOT_REQUIRED_FOR_REPRODUCTION", "ANALYSIS_ONLY"}
@@ -337,24 +337,12 @@ def row_digest(fields: list[str], uid: str = "unit_id") -> Column:
     return F.concat_ws("|", *parts)
 
 
-def result_hash(units: DataFrame, fields: list[str], bound, group: str = "group_id", ordinal: str = "ordinal",
-                block: int = 50_000) -> DataFrame:
-    """SHA-256 per group over the units' lines in order.
+def result_hash(units: DataFrame, fields: list[str], bound=None, group: str = "group_id", ordinal: str = "ordinal") -> DataFrame:
+    """SHA-256 per group over the number and the digests of its units' lines.
 
-    A group of more than ``block`` units hashes the ordered list of its block
-    hashes, so no task holds a whole large group.
+    A line holds the unit's place, id and values. Digests enter as sums of their words,
+    so a group of any size is added up where its units are.
     """
-    lines = units.select(group, ordinal, "unit_id", row_digest(fields).alias("line"))
-    sizes = lines.groupBy(group).agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
-    keyed = attach(lines, sizes, group, bound, "inner").withColumn("block", F.pmod(F.xxhash64("unit_id"), F.col("blocks")))
-    ordered = F.array_sort(F.collect_list(F.struct(ordinal, "unit_id", "line")))
-    parts = keyed.groupBy(group, "block").agg(
-        F.sha2(F.array_join(F.transform(ordered, lambda u: u["line"]), "\n"), 256).alias("digest")
-    )
-    digests = F.array_sort(F.collect_list(F.struct("block", "digest")))
-    return parts.groupBy(group).agg(digests.alias("d")).select(
-        group,
-        F.when(F.size("d") == 1, F.element_at("d", 1)["digest"])
-        .otherwise(F.sha2(F.array_join(F.transform("d", lambda b: b["digest"]), "\n"), 256))
-        .alias("result_hash"),
-    )
+    line = F.concat_ws("|", F.coalesce(F.col(ordinal).cast("string"), F.lit("")), row_digest(fields))
+    sums = units.select(group, F.sha2(line, 256).alias("digest")).groupBy(group).agg(F.count(F.lit(1)).alias("units"), *digest_sums(F.col("digest")))
+    return sums.select(group, F.sha2(F.concat_ws(",", "units", *DIGEST_WORDS), 256).alias("result_hash"))

@@ -140,19 +140,9 @@ def kpis(units: DataFrame, validation: DataFrame) -> DataFrame:
     )
 
 
-def document_pages(units: DataFrame, key: str, order: list[str], fields: list[str], bound, page_size: int = 10_000) -> DataFrame:
-    """Rows as JSON arrays, paged so that no array passes ``page_size`` by much.
-
-    A group of at most ``page_size`` rows is one page: its whole ordered array.
-    A larger group is split by a hash of its order columns and each page is ordered.
-    """
-    sizes = units.groupBy(key).agg(F.ceil(F.count("*") / F.lit(page_size)).alias("pages"))
-    keyed = attach(units, sizes, key, bound, "inner").withColumn("page", F.pmod(F.xxhash64(*order), F.col("pages")))
-    item = F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("v"))
-    return keyed.groupBy(key, "page").agg(
-        F.count("*").alias("items"),
-        F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda u: u["v"])).alias("document"),
-    )
+def document_lines(units: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One JSON line per unit beside its keys, whatever the number of units; readers order lines by the keys."""
+    return units.select(*keys, F.to_json(F.struct(*fields)).alias("document"))
 
 
 def summary_document(meta: dict[str, str], label: DataFrame, units: DataFrame, figures: DataFrame,

@@ -179,8 +179,7 @@ tops AS (SELECT workbook_id, sheet_name, column_letters, arg_max(cell_type, n *
     string_agg(cell_type, '|' ORDER BY cell_type) AS types_found, count(*) AS type_count FROM types GROUP BY 1, 2, 3),
 pii AS (SELECT workbook_id, sheet_name, column_letters, bool_or(regexp_matches(trim(value), '^[^@\\s]+@[^@\\s]+\\.[a-zA-Z]{2,}$')
     OR regexp_matches(trim(value), '^\\d{3}\\.?\\d{3}\\.?\\d{3}-?\\d{2}$') OR regexp_matches(trim(value), '^(\\+?55)?\\s*\\(?\\d{2}\\)?\\s*\\d{4,5}-?\\d{4}$')) AS p
-  FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet_name, column_letters ORDER BY row_number) AS rn FROM body
-    WHERE cell_type = 'string') WHERE rn <= 50 GROUP BY 1, 2, 3),
+  FROM body WHERE cell_type = 'string' GROUP BY 1, 2, 3),
 measures AS (SELECT workbook_id, sheet_name, column_letters, count(*) AS filled,
     count(DISTINCT CASE WHEN cell_type <> 'error' THEN cell_type || ':' || value END) AS uniq,
     bool_or(formula_expression IS NOT NULL) AS has_formula,

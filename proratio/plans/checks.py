@@ -125,13 +125,8 @@ def _scan_sql() -> str:
     parts = []
     for label, p in TEXT_PATTERNS.items():
         literal = p.replace("'", "''")
-        if "(?!" in p:
-            # No lookahead here: take what follows and leave out the local address.
-            head = literal.split("(?!")[0]
-            parts.append(f"SELECT doc_id, '{label}' AS label, substr(regexp_extract(text, '{head}'), 1, 40) AS excerpt FROM documents "
-                         f"WHERE regexp_matches(text, '{head}') AND NOT regexp_matches(text, '{head}127\\.0\\.0\\.1')")
-        else:
-            parts.append(f"SELECT doc_id, '{label}' AS label, substr(regexp_extract(text, '{literal}'), 1, 40) AS excerpt FROM documents WHERE regexp_matches(text, '{literal}')")
+        parts.append(f"SELECT doc_id, '{label}' AS label, CAST(len(regexp_extract_all(text, '{literal}')) AS INTEGER) AS matches, "
+                     f"regexp_extract(text, '{literal}') AS excerpt FROM documents WHERE regexp_matches(text, '{literal}')")
     return " UNION ALL ".join(parts)
 
 
@@ -324,7 +319,7 @@ def units_with_towers(d):
 @query(
     "allocation_by_tables",
     f"""WITH {sql.UNITS}, weights AS (SELECT *, (CAST(private_area_m2 * 100 AS HUGEINT) * 100 + CAST(uncovered_area_m2 * 100 AS HUGEINT) * (40 + development_id))
-      * (CASE WHEN floor <= 3 THEN 100 WHEN floor <= 7 THEN 105 + development_id % 3 ELSE 110 END) * (CASE position WHEN 'F' THEN 100 WHEN 'O' THEN 102 ELSE 104 + development_id % 2 END) AS w FROM units),
+      * (CASE WHEN floor <= 2 THEN 100 WHEN floor <= 6 THEN 105 + development_id % 3 ELSE 110 END) * (CASE position WHEN 'F' THEN 100 WHEN 'O' THEN 102 ELSE 104 + development_id % 2 END) AS w FROM units),
     totals AS (SELECT development_id, sum(w)::HUGEINT AS tw, (sum(order_total) * 100)::HUGEINT AS tc FROM weights GROUP BY 1),
     r AS (SELECT u.development_id, unit_id, {sql.half_up('tc * w', 'tw')} AS rc, tc, row_number() OVER (PARTITION BY u.development_id ORDER BY w DESC, tower, unit_code) AS rn
       FROM weights u JOIN totals t ON t.development_id = u.development_id)
@@ -348,7 +343,7 @@ def allocation_by_tables(d):
                         (factor.cast("decimal(5,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,6)").alias("factor"))
 
     calibrations = dev.select("development_id", rows(
-        entry(allocation.FLOOR_SET, "LOW", F.lit(100)), entry(allocation.FLOOR_SET, "MID", 105 + k % 3), entry(allocation.FLOOR_SET, "HIGH", F.lit(110)),
+        entry(allocation.FLOOR_SET, "GARDEN", F.lit(100)), entry(allocation.FLOOR_SET, "CENTRE", 105 + k % 3), entry(allocation.FLOOR_SET, "SKY", F.lit(110)),
         entry(allocation.POSITION_SET, "F", F.lit(100)), entry(allocation.POSITION_SET, "O", F.lit(102)), entry(allocation.POSITION_SET, "P", 104 + k % 2),
     ))
     parameters = dev.select(
@@ -367,7 +362,7 @@ def allocation_by_tables(d):
       CAST(weighted_area_m2 AS DECIMAL(18,6)) AS result_value FROM alloc
       UNION ALL SELECT unit_id, 2, 'FLOOR_PREMIUM', 'FLOOR_BAND', floor_band, CAST(weighted_area_m2 * floor_factor AS DECIMAL(18,6)) FROM alloc
       UNION ALL SELECT unit_id, 3, 'POSITION_PREMIUM', 'POSITION_CATEGORY', position, CAST(adjustment_weight AS DECIMAL(18,6)) FROM alloc),
-    r AS (SELECT 'SC-' || development_id || ':' || x AS run_id, x, * FROM alloc, (VALUES ('RUN-SYSTEM-ONLY'), ('RUN-WITH-OVERRIDE')) t(x))
+    r AS (SELECT 'SC-' || development_id || ':' || x AS run_id, x, * FROM alloc, (VALUES ('PLAIN'), ('DECIDED')) t(x))
     SELECT 'SC-' || r.development_id AS scenario_id, r.run_id, r.development_id || '/' || r.tower AS tower_id, r.unit_id, sequence_order, adjustment_type, source_set, source_key,
     result_value, system_price, n.final_price AS override_final_price, 'INFO' AS severity FROM r JOIN steps s ON s.unit_id = r.unit_id
     LEFT JOIN newest n ON n.unit_id = r.unit_id AND n.run_id = r.run_id""",

@@ -11,6 +11,7 @@ from proratio.operators import allocation, reproduction, rulegraph, serving
 from proratio.plans import sql
 from proratio.plans.domain import CONFIG, LABELS, RULESET
 from proratio.plans.registry import query
+from proratio.session import stage
 
 M = sql.M
 PRICE_COLUMNS = [
@@ -110,18 +111,37 @@ def override_errors(d):
     return allocation.override_errors(d.units, d.override_events, ["unit_id"]).select("unit_id", "event_id")
 
 
+GAPS_SQL = sql.UNITS.replace("units AS (SELECT * FROM all_units", """units AS (SELECT * REPLACE (CASE WHEN unit_id % 7 <> 0 THEN tower END AS tower,
+  CASE WHEN development_id % 6 = 1 AND unit_id % 97 = 0 THEN 'X' ELSE position END AS position) FROM all_units""") + "," + sql.allocation()
+
+
+@query(
+    "allocation_blocked",
+    f"""WITH {GAPS_SQL}, found AS (SELECT *, count(*) OVER w > count(position_factor) OVER w AS lacks FROM alloc WINDOW w AS (PARTITION BY development_id))
+    SELECT development_id, unit_id, tower, CASE WHEN NOT lacks THEN system_price END AS system_price,
+    CASE WHEN NOT lacks THEN residual_applied END AS residual_applied, CASE WHEN lacks THEN 'ERROR' ELSE 'INFO' END AS severity FROM found""",
+)
+def allocation_blocked(d):
+    """Units without a tower, and in some developments positions nothing is known of: those developments get no price."""
+    position = F.when((F.col("development_id") % 6 == 1) & (F.col("unit_id") % 97 == 0), "X").otherwise(F.col("position"))
+    units = d.units.withColumn("tower", F.when(F.col("unit_id") % 7 != 0, F.col("tower"))).withColumn("position", position)
+    found = stage(allocation.allocate(units, d.targets, CONFIG, d.bound))
+    checks = allocation.reconciliation(found).select("development_id", "severity")
+    return found.join(F.broadcast(checks), "development_id").select("development_id", "unit_id", "tower", "system_price", "residual_applied", "severity")
+
+
 @query(
     "allocation_hash",
-    f"""WITH {sql.ALLOC}, docs AS (SELECT development_id, string_agg(
+    f"""WITH {sql.ALLOC}, units_h AS (SELECT development_id, target_value, system_price, sha256(
       '{{"combined_weight_factor":"' || CAST(CAST(combined_weight_factor AS DECIMAL(12,6)) AS VARCHAR)
       || '","participation_share":"' || CAST(CAST(participation_share AS DECIMAL(9,6)) AS VARCHAR)
       || '","system_calculated_price":"' || CAST(system_price AS VARCHAR)
       || '","system_calculated_price_per_m2":"' || CAST(price_per_m2 AS VARCHAR)
       || '","tower_business_key":"' || tower || '","unit_code":"' || unit_code
-      || '","weighted_area_m2":"' || CAST(CAST(weighted_area_m2 AS DECIMAL(16,4)) AS VARCHAR) || '"}}', ',' ORDER BY tower, unit_code) AS body,
-      CAST(max(target_value) AS VARCHAR) AS target, CAST(CAST(sum(system_price) AS {M}) AS VARCHAR) AS total FROM alloc GROUP BY 1)
-    SELECT development_id, sha256('{{"algorithm":"REFERENCE_ALLOCATION_V1","target_vgv":"' || target || '","total_system_price":"' || total
-      || '","units":[' || body || ']}}') AS logical_hash FROM docs""",
+      || '","weighted_area_m2":"' || CAST(CAST(weighted_area_m2 AS DECIMAL(16,4)) AS VARCHAR) || '"}}') AS h FROM alloc)
+    SELECT development_id, sha256('{{"algorithm":"REFERENCE_ALLOCATION_V1","target_vgv":"' || CAST(max(target_value) AS VARCHAR) || '","total_system_price":"'
+      || CAST(CAST(sum(system_price) AS {M}) AS VARCHAR) || '","units":"' || count(*) || ',' || {sql.digest_sums('h')} || '"}}') AS logical_hash
+    FROM units_h GROUP BY 1""",
 )
 def allocation_hash(d):
     return allocation.logical_hash(d.stored_allocation, d.bound)
@@ -130,7 +150,7 @@ def allocation_hash(d):
 @query(
     "run_results",
     f"""WITH {sql.ALLOC} SELECT 'SC-' || development_id || ':' || c AS run_id, unit_id, system_price, participation_share
-    FROM alloc, (VALUES ('RUN-SYSTEM-ONLY'), ('RUN-WITH-OVERRIDE')) r(c)""",
+    FROM alloc, (VALUES ('PLAIN'), ('DECIDED')) r(c)""",
 )
 def run_results(d):
     return d.results.select("run_id", "unit_id", "system_price", "participation_share")
@@ -160,7 +180,7 @@ def verify_run(d):
 VARIANTS = {
     "base": (CONFIG, Decimal(1)),
     "uncovered_0.90": (replace(CONFIG, parameters={allocation.UNCOVERED: Decimal("0.90")}), Decimal(1)),
-    "high_1.50": (replace(CONFIG, floor_factors={**CONFIG.floor_factors, "HIGH": Decimal("1.50")}), Decimal(1)),
+    "sky_1.50": (replace(CONFIG, floor_factors={**CONFIG.floor_factors, "SKY": Decimal("1.50")}), Decimal(1)),
     "target_x2": (CONFIG, Decimal(2)),
 }
 
@@ -168,9 +188,9 @@ VARIANTS = {
 @query(
     "sensitivity_by_band",
     f"""WITH {sql.UNITS},{sql.allocation(prefix='b_')},{sql.allocation(unc=90, prefix='u_')},
-    {sql.allocation(bands=(100, 105, 150), prefix='h_')},{sql.allocation(multiple=2, prefix='t_')},
+    {sql.allocation(bands=(97, 103, 150), prefix='h_')},{sql.allocation(multiple=2, prefix='t_')},
     v AS (SELECT 'base' AS variant, * FROM b_alloc UNION ALL SELECT 'uncovered_0.90', * FROM u_alloc
-      UNION ALL SELECT 'high_1.50', * FROM h_alloc UNION ALL SELECT 'target_x2', * FROM t_alloc)
+      UNION ALL SELECT 'sky_1.50', * FROM h_alloc UNION ALL SELECT 'target_x2', * FROM t_alloc)
     SELECT variant, floor_band, count(*) AS units, CAST(sum(participation_share) AS DECIMAL(18,6)) AS share,
     CAST(sum(system_price) AS {M}) AS system_vgv FROM v GROUP BY ALL""",
 )
@@ -191,13 +211,13 @@ def participation_by_typology(d):
 @query(
     "band_range_join",
     f"""WITH {sql.UNITS}, bands AS (SELECT n_nationkey AS g, b, lo + n_nationkey % 2 AS lo, hi, o FROM nation,
-      (VALUES ('LOW', 1, 4, 1), ('MID', 3, 7, 2), ('HIGH', 7, 9, 3)) t(b, lo, hi, o))
+      (VALUES ('GARDEN', 1, 4, 1), ('CENTRE', 3, 7, 2), ('SKY', 7, 9, 3)) t(b, lo, hi, o))
     SELECT development_id, unit_id, floor, (SELECT arg_min(b, o) FROM bands WHERE g = development_id AND floor BETWEEN lo AND hi) AS floor_band
     FROM units""",
 )
 def band_range_join(d):
     """Overlapping bands per development: the first declared wins, a floor outside all gets none."""
-    rows = [("LOW", 1, 4, 1), ("MID", 3, 7, 2), ("HIGH", 7, 9, 3)]
+    rows = [("GARDEN", 1, 4, 1), ("CENTRE", 3, 7, 2), ("SKY", 7, 9, 3)]
     literal = F.array(
         *[F.struct(F.lit(b).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("high"), F.lit(o).alias("ordinal")) for b, lo, hi, o in rows]
     )
@@ -275,20 +295,31 @@ UNIT_FIELDS = ["tower", "unit_code", "typology", "floor", "position", "private_a
 
 @query("dashboard_document")
 def dashboard_document(d):
-    """The head of the document and the pages of its unit list."""
-    from proratio.session import stage
-
+    """The head of the document, and a line per unit in the order of its key."""
     units = stage(d.dashboard_units)
     validation = serving.error_metrics(d.comparisons)
     head = serving.summary_document(
         LABELS, serving.development_label(units, d.developments.select("development_id", "name"), d.bound), units,
         serving.kpis(units, validation), validation,
     )
-    pages = serving.document_pages(units, "development_id", ["tower", "unit_code"], UNIT_FIELDS, d.bound)
+    lines = serving.document_lines(units, ["development_id", "tower", "unit_code"], UNIT_FIELDS)
     return head.select(
-        F.lit("head").alias("section"), F.lit(None).cast("int").alias("development_id"), F.lit(0).cast("bigint").alias("page"),
-        "document",
-    ).unionByName(pages.select(F.lit("units").alias("section"), "development_id", F.col("page").cast("bigint"), "document"))
+        F.lit("head").alias("section"), F.lit(None).cast("int").alias("development_id"), F.lit(None).cast("string").alias("tower"),
+        F.lit(None).cast("string").alias("unit_code"), "document",
+    ).unionByName(lines.select(F.lit("unit").alias("section"), "development_id", "tower", "unit_code", "document"))
+
+
+LINE_FIELDS = ["tower", "unit_code", "typology", "floor", "position", "private_area_m2", "system_price", "adjustment", "final_price", "status"]
+
+
+@query(
+    "document_lines",
+    f"""WITH {sql.CURRENT} SELECT development_id, tower, unit_code, '{{"tower":"' || tower || '","unit_code":"' || unit_code || '","typology":"' || typology
+      || '","floor":' || floor || ',"position":"' || position || '","private_area_m2":' || private_area_m2 || ',"system_price":' || system_price
+      || ',"adjustment":' || adjustment || ',"final_price":' || final_price || ',"status":"' || status || '"}}' AS document FROM enriched""",
+)
+def document_lines(d):
+    return serving.document_lines(d.dashboard_units, ["development_id", "tower", "unit_code"], LINE_FIELDS)
 
 
 @query(
@@ -367,8 +398,8 @@ _rule("rule_weighted_sum", ["weighted_area"], f"{sql.dec('w4', 4)} AS weighted_a
 _rule("rule_lookup", ["floor_factor"], f"CASE WHEN f2 >= 0 THEN 1 ELSE -1 END * {sql.dec('abs(f2)', 2)} AS floor_factor")
 _rule(
     "rule_lookup_composite", ["slot_factor"],
-    "CAST(CASE floor || '-' || position WHEN '1-F' THEN 0.05 WHEN '2-O' THEN 0.10 WHEN '3-P' THEN 0.02 "
-    "WHEN '10-F' THEN 0.01 END AS DECIMAL(12,6)) AS slot_factor",
+    "CAST(CASE floor || '-' || position WHEN '1-F' THEN 0.07 WHEN '4-O' THEN 0.12 WHEN '6-P' THEN 0.035 "
+    "WHEN '9-F' THEN 0.015 END AS DECIMAL(12,6)) AS slot_factor",
 )
 _rule("rule_multiply_factors", ["adjusted_area"], f"{sql.dec('adj8', 8)} AS adjusted_area")
 _rule("rule_ratio", ["round(share, 12) AS share"], f"{sql.dec(sql.half_up('adj8 * 1000000000000::HUGEINT', 'tot8'), 12)} AS share")
@@ -406,9 +437,9 @@ def rule_blocked(d):
 
 @query(
     "rule_result_hash",
-    f"""WITH {sql.RULES} SELECT group_id, sha256(string_agg(unit_id || '|' || coalesce(CAST({sql.dec('w4', 6)} AS VARCHAR), '')
-      || '|' || coalesce(CAST({sql.dec('adj8', 8)} AS VARCHAR), ''), chr(10) ORDER BY unit_id)) AS result_hash
-    FROM (SELECT group_id, unit_id, w4 * 100 AS w4, adj8 FROM rules) GROUP BY 1""",
+    f"""WITH {sql.RULES}, lines AS (SELECT group_id, sha256(unit_id || '|' || unit_id || '|' || coalesce(CAST({sql.dec('w4 * 100', 6)} AS VARCHAR), '')
+      || '|' || coalesce(CAST({sql.dec('adj8', 8)} AS VARCHAR), '')) AS h FROM rules)
+    SELECT group_id, sha256(count(*) || ',' || {sql.digest_sums('h')}) AS result_hash FROM lines GROUP BY 1""",
 )
 def rule_result_hash(d):
     return rulegraph.result_hash(d.evaluated, ["weighted_area", "adjusted_area"], d.bound)

@@ -38,13 +38,18 @@ all_units AS (SELECT c_nationkey AS development_id, c_mktsegment AS tower, o_ord
 units AS (SELECT * FROM all_units WHERE private_area_m2 > 0)"""
 
 
-def allocation(unc: int = 40, bands=(100, 105, 110), positions=(100, 102, 104), multiple: int = 1, prefix: str = "") -> str:
+def digest_sums(h: str) -> str:
+    """Sums of the eight 32-bit words of hex digests, as text between commas."""
+    return " || ',' || ".join(f"CAST(sum(CAST('0x' || substr({h}, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+def allocation(unc: int = 35, bands=(97, 103, 108), positions=(99, 101, 107), multiple: int = 1, prefix: str = "") -> str:
     """The allocation in whole cents; weights are whole numbers of the eighth place."""
     p = prefix
     return f"""
-{p}weights AS (SELECT *, CASE WHEN floor BETWEEN 1 AND 3 THEN 'LOW' WHEN floor BETWEEN 4 AND 7 THEN 'MID'
-      WHEN floor BETWEEN 8 AND 10 THEN 'HIGH' END AS floor_band,
-    CASE WHEN floor BETWEEN 1 AND 3 THEN {bands[0]} WHEN floor BETWEEN 4 AND 7 THEN {bands[1]} ELSE {bands[2]} END AS fp,
+{p}weights AS (SELECT *, CASE WHEN floor BETWEEN 1 AND 2 THEN 'GARDEN' WHEN floor BETWEEN 3 AND 6 THEN 'CENTRE'
+      WHEN floor BETWEEN 7 AND 10 THEN 'SKY' END AS floor_band,
+    CASE WHEN floor BETWEEN 1 AND 2 THEN {bands[0]} WHEN floor BETWEEN 3 AND 6 THEN {bands[1]} ELSE {bands[2]} END AS fp,
     CASE position WHEN 'F' THEN {positions[0]} WHEN 'O' THEN {positions[1]} WHEN 'P' THEN {positions[2]} END AS pp,
     CAST(private_area_m2 * 100 AS HUGEINT) * 100 + CAST(uncovered_area_m2 * 100 AS HUGEINT) * {unc} AS a4
   FROM units),
@@ -52,7 +57,7 @@ def allocation(unc: int = 40, bands=(100, 105, 110), positions=(100, 102, 104),
   FROM {p}weights GROUP BY 1),
 {p}rounded AS (SELECT w.*, a4 * fp * pp AS w8, tw, tc, {half_up('tc * (a4 * fp * pp)', 'tw')} AS rc,
     {half_even('(a4 * fp * pp) * 1000000', 'tw')} AS ppm,
-    row_number() OVER (PARTITION BY w.development_id ORDER BY a4 * fp * pp DESC, tower, unit_code) AS rn
+    row_number() OVER (PARTITION BY w.development_id ORDER BY a4 * fp * pp DESC, tower NULLS FIRST, unit_code) AS rn
   FROM {p}weights w JOIN {p}totals t ON w.development_id = t.development_id),
 {p}closed AS (SELECT *, tc - (sum(rc) OVER (PARTITION BY development_id))::HUGEINT AS res FROM {p}rounded),
 {p}alloc AS (SELECT development_id, tower, typology, unit_id, unit_code, floor, position, private_area_m2,
@@ -77,12 +82,12 @@ events_o AS (SELECT user_id AS unit_id, CAST(value AS {M}) AS override_delta, ts
   FROM events WHERE event_type = 'purchase'),
 overrides AS (SELECT a.development_id, a.tower, a.unit_code, e.unit_id, override_delta, decided_at, event_id,
     system_price AS previous_price, CAST(system_price + override_delta AS {M}) AS final_price,
-    override_delta AS vgv_impact, 'SC-' || a.development_id || ':RUN-WITH-OVERRIDE' AS run_id
+    override_delta AS vgv_impact, 'SC-' || a.development_id || ':DECIDED' AS run_id
   FROM events_o e JOIN alloc a ON a.unit_id = e.unit_id),
 newest AS (SELECT * FROM overrides QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY decided_at DESC, event_id DESC) = 1)"""
 
 CURRENT = ALLOC + "," + OVERRIDES + f""",
-current AS (SELECT 'SC-' || a.development_id || ':RUN-WITH-OVERRIDE' AS run_id, a.*, n.final_price AS override_final_price,
+current AS (SELECT 'SC-' || a.development_id || ':DECIDED' AS run_id, a.*, n.final_price AS override_final_price,
     coalesce(n.final_price, a.system_price) AS current_final_price
   FROM alloc a JOIN scenarios s ON s.development_id = a.development_id AND s.status = 'ACTIVE'
   LEFT JOIN newest n ON n.unit_id = a.unit_id),
@@ -100,9 +105,9 @@ rule_in AS (SELECT unit_id, development_id AS group_id, private_area_m2 AS close
     CASE WHEN unit_id % 333 = 0 AND development_id % 6 = 1 THEN NULL WHEN unit_id % 50 = 0 THEN 10025 ELSE 0 END AS addend,
     (development_id * 10 + 5000)::HUGEINT AS rate, order_total FROM units),
 keyed AS (SELECT *, CASE WHEN CAST(code AS INTEGER) < 1000 THEN substr(code, 1, 1) ELSE substr(code, 1, 2) END AS fkey FROM rule_in),
-rule0 AS (SELECT k.*, CASE WHEN f IS NOT NULL THEN f - 5 WHEN fkey = '3' THEN 0 END AS f2,
+rule0 AS (SELECT k.*, CASE WHEN f IS NOT NULL THEN f - 5 WHEN fkey = '3' THEN 2 END AS f2,
     (closed_area * 100 + terrace_area * 100)::HUGEINT AS total2,
-    ((closed_area * 100)::HUGEINT * 100 + (terrace_area * 100)::HUGEINT * 40) AS w4
+    ((closed_area * 100)::HUGEINT * 100 + (terrace_area * 100)::HUGEINT * 35) AS w4
   FROM keyed k LEFT JOIN floors ON g = group_id AND CAST(f AS VARCHAR) = fkey),
 rule1 AS (SELECT *, w4 * (100 + f2) * 100 AS adj8 FROM rule0),
 groups AS (SELECT group_id, CASE WHEN count(*) = count(adj8) THEN sum(adj8)::HUGEINT END AS tot8, min(rate) AS rate0 FROM rule1 GROUP BY 1),

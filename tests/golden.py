@@ -1,4 +1,7 @@
-"""The published synthetic scenario, rebuilt from its description: 2 towers of 10 floors with 2 units each."""
+"""The published synthetic scenario, rebuilt from its description: 2 towers of 10 floors with 2 units each.
+
+Fixed values: keys, areas, bands, factors, target and hash must be these for the published hash.
+"""
 
 HASH = "f065d10503bd9ca6480fc920baf3e5519ef4ef55036e95766574b80dfb49082f"
 

@@ -42,7 +42,7 @@ def test_golden_scenario(spark, tmp_path):
     ]
     check = allocation.reconciliation(found).collect()[0]
     assert (check["severity"], check["difference"]) == ("INFO", Decimal("0.00"))
-    assert allocation.logical_hash(found, 1).collect()[0]["logical_hash"] == HASH
+    assert allocation.published_hash(found).collect()[0]["logical_hash"] == HASH
 
 
 def test_golden_override(spark, tmp_path):
@@ -62,12 +62,37 @@ def test_golden_override(spark, tmp_path):
     assert allocation.apply_overrides(found, stray, keys).count() == 0
 
 
-def test_repeated_run_gives_the_same_hash_and_blocks_change_only_the_form(spark, tmp_path):
+def test_hash_follows_values_at_any_size(spark, tmp_path):
     found = priced(spark, tmp_path)
     once = allocation.logical_hash(found, 1).collect()[0]["logical_hash"]
     assert allocation.logical_hash(found.repartition(7), 1).collect()[0]["logical_hash"] == once
-    cut = allocation.logical_hash(found, 1, block=7).collect()[0]["logical_hash"]
-    assert cut == allocation.logical_hash(found.repartition(3), 1, block=7).collect()[0]["logical_hash"] != once
+    assert allocation.logical_hash(found.where("unit_code <> '0101'"), 1).collect()[0]["logical_hash"] != once
+    for tower in (F.repeat(F.lit("x"), 3000), F.lit(None).cast("string")):
+        other = allocation.logical_hash(found.withColumn("tower", tower), 1).collect()[0]["logical_hash"]
+        assert other not in (None, once)
+
+
+def three_units(spark, positions=("A", "A", "A"), tower=None):
+    rows = [("d", tower, f"u{i}", "T", 1, p, Decimal("50.00"), Decimal("0.00")) for i, p in enumerate(positions)]
+    units = spark.createDataFrame(rows, "development_id string, tower string, unit_code string, typology string, floor int, position string,"
+                                  " private_area_m2 decimal(12,2), uncovered_area_m2 decimal(12,2)")
+    return units, spark.createDataFrame([("d", Decimal("100.00"))], "development_id string, target_value decimal(18,2)")
+
+
+def test_a_unit_without_a_tower_takes_the_residual(spark, tmp_path):
+    units, targets = three_units(spark)
+    found = allocation.allocate(units, targets, load(spark, tmp_path)[3])
+    assert sorted(r["system_price"] for r in found.collect()) == [Decimal("33.33"), Decimal("33.33"), Decimal("33.34")]
+    assert allocation.reconciliation(found).collect()[0]["severity"] == "INFO"
+
+
+def test_an_uncalibrated_unit_blocks_its_development(spark, tmp_path):
+    units, targets = three_units(spark, ("A", "nowhere", "A"), "t")
+    config = load(spark, tmp_path)[3]
+    found = allocation.allocate(units, targets, config)
+    assert [r["system_price"] for r in found.collect()] == [None] * 3
+    assert allocation.reconciliation(found).collect()[0]["severity"] == "ERROR"
+    assert [tuple(r)[2:] for r in allocation.unpriced(allocation.unit_weights(units, config)).collect()] == [("u1", "position_factor")]
 
 
 def test_double_target_doubles_all_but_the_residual_unit(spark, tmp_path):

@@ -124,11 +124,23 @@ def test_headers_of_early_and_late_sheets(spark):
         assert got == {"early": (3, 1.0), "late": (42, 1.0)}
 
 
-def test_first_texts_of_dense_and_sparse_columns(spark):
+def test_personal_data_is_found_in_any_row(spark):
     from proratio.operators import profiling
 
-    rows = [("w", "s", "D", "string", r, 1, f"d{r}") for r in range(2, 900)]
-    rows += [("w", "s", "S", "string", r, 1, f"s{r}") for r in range(2, 5000, 40)]
-    data = spark.createDataFrame(rows, "workbook_id string, sheet_name string, column_letters string, cell_type string, row_number int, header_row int, value string")
-    got = {c: {r["value"] for r in profiling.first_texts(data).where(F.col("column_letters") == c).collect()} for c in "DS"}
-    assert got == {"D": {f"d{r}" for r in range(2, 52)}, "S": {f"s{r}" for r in range(2, 2002, 40)}}
+    rows = [("w", "s", r, i, c, f"{c}{r}", "string", ("name" if r == 1 else "a@b.org" if (c, r) == ("B", 150) else f"text {r}"), None, None)
+            for r in range(1, 200) for i, c in ((1, "A"), (2, "B"))]
+    cells = spark.createDataFrame(rows, "workbook_id string, sheet_name string, row_number int, column_index int, column_letters string,"
+                                  " cell_ref string, cell_type string, raw_value string, cached_value string, formula_expression string")
+    headers = spark.createDataFrame([("w", "s", 1, 1.0)], "workbook_id string, sheet_name string, header_row int, header_confidence double")
+    found = {r["column_letters"]: r["potencial_pii"] for r in profiling.field_profile(cells, headers, 1).collect()}
+    assert found == {"A": "NAO", "B": "SIM"}
+
+
+def test_long_formulas_stay_whole(spark):
+    formula = "A1*0.6" + "+A1" * 200
+    rows = [("w", "s", r, 2, "B", f"B{r}", "number", None, "1", formula) for r in range(1, 9)]
+    rows += [("w", "s", 9, 2, "B", "B9", "number", None, "1", formula + "+7")]
+    cells = spark.createDataFrame(rows, "workbook_id string, sheet_name string, row_number int, column_index int, column_letters string,"
+                                  " cell_ref string, cell_type string, raw_value string, cached_value string, formula_expression string")
+    assert formula in {r["used_by"] for r in formulas.embedded_parameters(cells).collect()}
+    assert len(formulas.consistency_flags(cells, 1).collect()[0]["deviation_detail"]) > 600

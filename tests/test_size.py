@@ -53,13 +53,13 @@ def test_allocation_without_broadcast(spark, tmp_path, nothing_fits):
     rows, units, targets, config = load(spark, tmp_path)
     found = allocation.allocate(units, targets, config)
     assert allocation.reconciliation(found).collect()[0]["severity"] == "INFO"
-    assert allocation.logical_hash(found, targets).collect()[0]["logical_hash"] == HASH
+    assert allocation.published_hash(found).collect()[0]["logical_hash"] == HASH
 
 
 def test_rule_graph_without_broadcast(spark, nothing_fits):
     units = spark.createDataFrame(UNITS, SCHEMA)
     got = {r["unit_id"]: r for r in rulegraph.evaluate(units, rulegraph.Ruleset(CHAIN)).collect()}
-    assert round(got["w1"]["price"], 6) == 23650 and round(got["w2"]["price"], 6) == 51050
+    assert round(got["p1"]["price"], 6) == 757 and round(got["p2"]["price"], 6) == 340
 
 
 def test_runs_and_headers_without_broadcast(spark, nothing_fits):
@@ -71,12 +71,10 @@ def test_runs_and_headers_without_broadcast(spark, nothing_fits):
     assert profiling.header_rows(cells, 10).count() == 1
 
 
-def test_pages_divide_a_large_group(spark):
+def test_a_document_has_a_line_per_unit(spark):
     units = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").cast("string").alias("unit"))
-    pages = serving.document_pages(units, "g", ["unit"], ["unit"], 1, page_size=100).collect()
-    assert sum(p["items"] for p in pages) == 1000 and 5 <= len(pages) <= 10 and max(p["items"] for p in pages) < 200
-    one = serving.document_pages(units, "g", ["unit"], ["unit"], 1).collect()
-    assert len(one) == 1 and one[0]["document"].startswith('[{"unit":"0"},{"unit":"1"},{"unit":"10"}')
+    lines = {r["unit"]: r["document"] for r in serving.document_lines(units, ["g", "unit"], ["unit"]).collect()}
+    assert len(lines) == 1000 and lines["10"] == '{"unit":"10"}'
 
 
 def test_filters_and_columns_reach_the_scan(spark):

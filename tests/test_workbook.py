@@ -273,8 +273,14 @@ def test_append_swallows_repeats_within_the_batch(spark):
 def test_csv_and_documents(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_bytes(b'a,b\r\n1,"x ""q"", y"\r\n2,"line\nbreak"\r\n3\r\n4,u,v\r\n')
-    got = {tuple(r) for r in files.read_csv(spark, str(path), "a int, b string").collect()}
+    got = {tuple(r) for r in files.read_csv(spark, str(path), "a int, b string", embedded_newlines=True).collect()}
     assert got == {(1, 'x "q", y'), (2, "line\nbreak")}
+    path = tmp_path / "odd.csv"
+    path.write_text("a,b,c\n1,2,3\n4,5\n6,x,8\n9,10,11,12\n")
+    rows = files.read_csv(spark, str(path), "a int, b int, c int")
+    assert {tuple(r) for r in rows.collect()} == {(1, 2, 3), (6, None, 8)}
+    assert rows.count() == 2 and sorted(r["a"] for r in rows.select("a").collect()) == [1, 6]
+    assert {r["row"] for r in files.csv_misfits(spark, str(path), "a int, b int, c int").collect()} == {"4,5", "9,10,11,12"}
     files.write_documents(spark.createDataFrame([("k", '{"a":1}')], "part string, document string"), str(tmp_path / "docs"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "docs")).collect()] == ['{"a":1}']
     files.write_reports({"r": spark.createDataFrame([(1, 'q"')], "a int, b string")}, str(tmp_path / "rep"))
