@@ -67,8 +67,11 @@ def revisit(page_id, url, digest: str, size: int, first: int) -> bytes:
                                ("WARC-Refers-To", _record_id(first, digest)), ("Refers-To-Page-Id", str(first))], _http(size))
 
 
-def members(pages: DataFrame) -> DataFrame:
-    """One compressed response record per page: page_id, url, digest, size, member. Null html is an empty payload."""
+def members(pages: DataFrame, whole: bool = True) -> DataFrame:
+    """One compressed response record per page: page_id, url, digest, size, member. Null html is an empty payload.
+
+    Without ``whole`` the records themselves are left out.
+    """
     def make(batches):
         for batch in batches:
             ids, urls, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -77,7 +80,7 @@ def members(pages: DataFrame) -> DataFrame:
                 payload = text.encode("utf-8", "surrogatepass")
                 digests.append(_base32(hashlib.sha1(payload).digest()))
                 sizes.append(len(payload))
-                made.append(response(page_id, url, payload, digests[-1]))
+                made.append(response(page_id, url, payload, digests[-1]) if whole else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())],
                                              ["page_id", "url", "digest", "size", "member"])
 
@@ -142,8 +145,8 @@ def write(pages: DataFrame, folder: str, least: int = 0, shard: int = SHARD, rol
     smallest page_id is a response and others revisit it; rows that share that id are
     all responses. A row without an id revisits where another has one.
     """
-    made = stored(members(pages), "members")
-    narrow = made.select("page_id", "digest", "size")
+    # Digests first, and stored; records are made on the way to their shard, so they lie on disk only there and in the files.
+    narrow = stored(members(pages, whole=False).drop("member"), "digests")
     firsts = narrow.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     # Stored, so that the join below may deal out the rows of one payload.
     firsts = stored(firsts.filter((F.col("n") > 1) & F.col("first").isNotNull()).drop("n"), "firsts")
@@ -158,11 +161,11 @@ def write(pages: DataFrame, folder: str, least: int = 0, shard: int = SHARD, rol
         found = np.searchsorted(borders, ids.fillna(0).astype("int64"), side="right")
         return pd.Series(np.where(known, found, 0))
 
-    rows = made.withColumn("kind", F.lit(1)).withColumn("first", F.lit(None).cast("long")).unionByName(
+    rows = members(pages).withColumn("kind", F.lit(1)).withColumn("first", F.lit(None).cast("long")).unionByName(
         again.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     # A null id sorts as itself; pandas would make long ids with nulls floats, so nulls go in as the smallest.
     rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), F.lit(0).cast("long")).otherwise(shard_of(F.coalesce("page_id", F.lit(0).cast("long")))))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind")
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     rows = rows.select("shard", "page_id", "digest", "kind", "size", "url", "first", "member")
     manifest = f"{folder}/manifest"
     _make(folder)
