@@ -75,10 +75,6 @@ def blank(column: Column) -> Column:
     return F.coalesce(F.trim(column) == "", F.lit(True))
 
 
-def empty_to_null(column: Column) -> Column:
-    return F.when(column != "", column)
-
-
 def effective_value(raw: str = "raw_value", cached: str = "cached_value") -> Column:
     """A formula keeps its value in the cache, a plain cell in the raw text."""
     return F.coalesce(F.col(raw), F.col(cached))

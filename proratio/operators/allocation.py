@@ -243,8 +243,10 @@ def allocate_weights(columns: list[str], weights: DataFrame, targets: DataFrame,
     price_c = F.col("rounded_c") + F.when(takes, F.col("residual_c")).otherwise(F.lit(0))
     million, hundred = power(6), F.lit("100").cast("decimal(3,0)")
     area_c = whole(F.col("private_area_m2"), AREA_SCALE, AREA_DIGITS)
+    # Sixteen digits of cents and an area of one hundredth: beyond, the whole-number quotient would wrap.
+    fits = F.abs(F.col("price_c")) < F.lit(10**16)
     per_area = mul_div(
-        F.col("price_c").cast("decimal(18,0)"), hundred, area_c, digits=(18, 3, AREA_DIGITS),
+        F.when(fits | F.col("price_c").isNull(), F.col("price_c")).otherwise(F.raise_error(F.lit("a price of over 16 digits of cents")).cast("bigint")).cast("decimal(18,0)"), hundred, area_c, digits=(18, 3, AREA_DIGITS),
         half=div(area_c, F.lit(2).cast("decimal(1,0)")).cast("decimal(12,0)"),
     )
     return closed.withColumn("price_c", price_c).select(
@@ -320,8 +322,8 @@ def reconciliation(allocated: DataFrame) -> DataFrame:
     )
 
 
-def adjustment_trail(allocated: DataFrame) -> DataFrame:
-    """Three ordered steps per unit, each with what it started from and the source of its factor."""
+def adjustment_steps() -> Column:
+    """The three ordered steps of a priced unit, each with what it started from and the source of its factor."""
     value, rate = "decimal(18,6)", "decimal(12,6)"
     after_floor = (F.col("weighted_area_m2") * F.col("floor_factor")).cast(value)
 
@@ -332,7 +334,7 @@ def adjustment_trail(allocated: DataFrame) -> DataFrame:
             result.cast(value).alias("result_value"), source.alias("source_set"), entry.alias("source_key"),
         )
 
-    steps = F.array(
+    return F.array(
         step(1, "AREA_WEIGHTING", F.col("private_area_m2"), F.lit(None), F.col("weighted_area_m2"),
              F.lit("PARAMETER"), F.lit(UNCOVERED)),
         step(2, "FLOOR_PREMIUM", F.col("weighted_area_m2"), F.col("floor_factor"), after_floor,
@@ -340,7 +342,11 @@ def adjustment_trail(allocated: DataFrame) -> DataFrame:
         step(3, "POSITION_PREMIUM", after_floor, F.col("position_factor"), F.col("adjustment_weight"),
              F.lit(POSITION_SET), F.col("position")),
     )
-    return allocated.select("development_id", "tower", "unit_code", F.inline(steps))
+
+
+def adjustment_trail(allocated: DataFrame) -> DataFrame:
+    """The steps of every unit as rows."""
+    return allocated.select("development_id", "tower", "unit_code", F.inline(adjustment_steps()))
 
 
 def apply_overrides(prices: DataFrame, events: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:

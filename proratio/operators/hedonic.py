@@ -29,12 +29,6 @@ CENTRE_FLOOR = 10
 TEST_SHARE = 5
 READ_LIMITS = (5000, 50, 20000)
 
-VIEW = [
-    "id", "empreendimento", "apartamento", "bairro", "torre", "andar", "area", "quartos", "vagas", "suite", "varanda_m2",
-    "cobertura", "vista", "orientacao", "posicao", "padrao_score", "lazer_score", "localizacao_score", "fase_obra",
-    "meses_lancamento", "discount_pct", "preco_m2", "origem", "reference_date",
-]
-
 
 # --- tables and view ------------------------------------------------------
 
@@ -133,7 +127,9 @@ def features() -> dict[str, Column]:
     }
     for column, values in CATEGORIES.items():
         for v in values[1:]:
-            dummy = F.when(F.col(column) == v, 1.0).otherwise(0.0)
+            # A value outside the list is an error, not the baseline; a missing one has no row in the fit.
+            unknown = F.raise_error(F.concat(F.lit(f"unknown {column}: "), F.col(column))).cast("double")
+            dummy = F.when(F.col(column) == v, 1.0).when(F.col(column).isin(values), 0.0).when(F.col(column).isNotNull(), unknown)
             found[f"{column}_{v}"] = dummy
             if column == "vista":
                 found[f"andar_x_{v}"] = floor * dummy

@@ -233,11 +233,3 @@ def pending_by_workbook(tables: dict[str, DataFrame]) -> DataFrame:
 
 def review_counts(review: DataFrame) -> DataFrame:
     return review.groupBy("confidence", "status").agg(F.count("*").alias("n"))
-
-
-def already_promoted(runs: DataFrame, batch: str, version: str) -> bool:
-    """Whether this batch and mapping version has a completed promotion."""
-    return bool(
-        runs.where((F.col("ingest_batch_id") == batch) & (F.col("mapping_version") == version) & (F.col("status") == "COMPLETED"))
-        .limit(1).collect()
-    )

@@ -64,6 +64,16 @@ class Ruleset:
                 raise RulesetError(f"rule {output}: lookup keys are read from the input record, not from {derived}")
         self.order = self._order()
 
+    def only(self, outputs: list[str]) -> "Ruleset":
+        """The rules these outputs need, blocked ones included."""
+        wanted, open_ = set(), [o for o in outputs if o in self.rules]
+        while open_:
+            output = open_.pop()
+            if output not in wanted:
+                wanted.add(output)
+                open_ += [u for u in self.uses[output] if u in self.rules]
+        return Ruleset({"inputs": self.inputs, "rules": [r for o, r in self.rules.items() if o in wanted]})
+
     @staticmethod
     def version(text: bytes) -> str:
         return f"sha256:{hashlib.sha256(text).hexdigest()[:16]}"

@@ -160,20 +160,21 @@ def summary_document(meta: dict[str, str], label: DataFrame, units: DataFrame, f
     )
 
 
-def lineage_trace(results: DataFrame, trail: DataFrame, runs: DataFrame, overrides: DataFrame, validations: DataFrame,
+def lineage_trace(results: DataFrame, steps: Column, runs: DataFrame, overrides: DataFrame, validations: DataFrame,
                   tower_rows: DataFrame, run_bound) -> DataFrame:
     """Every priced unit with all that made its price: run, scenario, tower, steps, factor sources, override, validation.
 
-    Runs, towers and validations are attached; steps and overrides join on the unit.
+    Runs, towers and validations are attached, overrides join on the unit, and the
+    steps (``allocation.adjustment_steps``) are worked out from the result's own columns.
     """
-    unit = ["development_id", "tower", "unit_code"]
     decided = latest_overrides(overrides).select("run_id", "unit_id", F.col("final_price").alias("override_final_price"))
     run_rows = runs.select("run_id", "scenario_id", "status", "completed_at")
     checks = validations.select("development_id", "severity", "difference")
     traced = attach(results, run_rows, "run_id", run_bound, "inner")
     traced = attach(traced, checks, "development_id", run_bound, "left")
     traced = attach(traced, tower_rows.select("development_id", "tower", "tower_id"), ["development_id", "tower"], tower_rows)
-    return traced.join(decided, ["run_id", "unit_id"], "left").join(trail, unit).select(
+    traced = traced.join(decided, ["run_id", "unit_id"], "left")
+    return traced.select("*", F.inline(steps)).select(
         "scenario_id", "run_id", "tower_id", "unit_id", "sequence_order", "adjustment_type", "source_set", "source_key",
         "result_value", "system_price", "override_final_price", "severity",
     )

@@ -29,10 +29,15 @@ class MappingError(ValueError):
 
 
 def check_mapping(mapping: DataFrame) -> None:
-    """Refuse entries whose way of extraction is not known."""
+    """Refuse entries whose way of extraction, or a field of which, is not known."""
     wrong = mapping.where(~F.col("extraction").isin(EXTRACTIONS) & (F.col("confidence") == "HIGH")).limit(1).collect()
     if wrong:
         raise MappingError(f"unknown extraction {wrong[0]['extraction']!r}")
+    named = mapping.where("confidence = 'HIGH' and extraction = 'row_range'").select("anchor_field", F.explode("columns").alias("field", "column_letters"))
+    # A field that only anchors rows needs no column of its own.
+    extra = named.where(~F.col("field").isin(FIELDS) & ~F.col("field").eqNullSafe(F.col("anchor_field"))).limit(1).collect()
+    if extra:
+        raise MappingError(f"unknown field {extra[0]['field']!r}; known are {', '.join(FIELDS)}")
 
 
 def extract_rows(cells: DataFrame, mapping: DataFrame, bound) -> DataFrame:

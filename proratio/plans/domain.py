@@ -248,7 +248,11 @@ class Domain:
 
     @cached_property
     def evaluated(self) -> DataFrame:
-        return rulegraph.evaluate(self.rule_units, RULESET, tables={"floor_factor": self.floor_table}, bound=self.bound)
+        return self.evaluated_rules(list(RULESET.rules))
+
+    def evaluated_rules(self, outputs: list[str]) -> DataFrame:
+        """Only the rules that ``outputs`` need."""
+        return rulegraph.evaluate(self.rule_units, RULESET.only(outputs), tables={"floor_factor": self.floor_table}, bound=self.bound)
 
     @cached_property
     def reproduced(self) -> DataFrame:

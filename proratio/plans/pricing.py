@@ -385,7 +385,7 @@ def units_table_page(d):
 
 def _rule(name: str, columns: list[str], expression: str, extra: str = ""):
     def plan(d):
-        rows = d.evaluated
+        rows = d.evaluated_rules([c.split()[-1] for c in columns])
         if extra:
             rows = rows.where(extra)
         return rows.select("unit_id", *[F.expr(c) for c in columns])
@@ -442,7 +442,8 @@ def rule_blocked(d):
     SELECT group_id, sha256(count(*) || ',' || {sql.digest_sums('h')}) AS result_hash FROM lines GROUP BY 1""",
 )
 def rule_result_hash(d):
-    return rulegraph.result_hash(d.evaluated, ["weighted_area", "adjusted_area"], d.bound)
+    fields = ["weighted_area", "adjusted_area"]
+    return rulegraph.result_hash(d.evaluated_rules(fields), fields)
 
 
 # --- reproduction ---

@@ -20,11 +20,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored entity with its declared types."""
-    return spark.read.schema(schema).parquet(path)
-
-
 # One declaration per entity: names, types and order of the stored columns.
 SCHEMAS: dict[str, str] = {
     "core.developments": "id string, business_key string, name string, city string, state string, bairro string,"
