@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -26,6 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of a local session import this package from where the driver did.
+
+    On a cluster it is installed on the machines, or given with ``--py-files``.
+    """
+    context, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = context.environment.get("PYTHONPATH", "")
+    if context.master.startswith("local[") and root not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [known])])
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 

@@ -11,12 +11,14 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from proratio.llm import masked_lm, merkle, mixing, packing, simhash, topk, toxicity, urls, warc, wordpiece
+from proratio.llm.common import importable
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark, folder, name):
+    importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ class Model:
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    curve: tuple[float, float, float] = (-4.0, 1.0, 1.0)
+    curve: tuple[float, ...] = (-4.0, 2.0, 1.0, 0.5)
 
 
 class Transducer:
@@ -145,18 +146,17 @@ class Scorer:
                 known = ("O", 0.0)
         return known
 
-    def features(self, text: str) -> tuple[float, float]:
-        """Sum of the clause weights on a log scale, and the greatest of them."""
+    def features(self, text: str) -> tuple[float, float, float]:
+        """Whether a clause matched, the sum of the clause weights on a log scale, and the greatest of them."""
         low = text.lower()
         if not self.found.search(low):
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         clauses = self.grammar.clauses(map(self.symbol, _TOKEN.findall(low)))
-        return (float(np.log1p(sum(clauses))), min(float(max(clauses)), 12.0)) if clauses else (0.0, 0.0)
+        return (1.0, float(np.log1p(sum(clauses))), min(float(max(clauses)), 12.0)) if clauses else (0.0, 0.0, 0.0)
 
     def score(self, text: str) -> float:
-        total, top = self.features(text)
-        c, a, b = self.model.curve
-        return float(1 / (1 + np.exp(-(c + a * total + b * top))))
+        c, *slopes = self.model.curve
+        return float(1 / (1 + np.exp(-(c + sum(a * x for a, x in zip(slopes, self.features(text)))))))
 
 
 def _terms(text: str) -> set[str]:
@@ -171,30 +171,59 @@ def _g(t, c, n_t, n_c):
     return np.where(t * n_c > c * n_t, 2 * own, 0)
 
 
+def _signatures(text: str) -> list[int]:
+    """Three minima of hashes of word triples: copies of a text share most of them."""
+    words = _WORD.findall(text.lower())
+    triples = {" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))}
+    hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in triples), np.uint64, len(triples))
+    return [int((hashes * np.uint64(odd)).min() >> np.uint64(1)) for odd in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+def copy_weights(sample: DataFrame) -> dict[int, float]:
+    """By row of the sample: one over the number of rows that share a signature with it.
+
+    A text that occurs many times would else make each of its words look like a sign
+    of its label. The sample is bounded, and so is this: four numbers a row.
+    """
+    def sign(batches):
+        for batch in batches:
+            found = [_signatures(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[i] for f in found], pa.int64()) for i in range(3)]], ["row", "a", "b", "c"])
+
+    rows = sample.select("row", "text").mapInArrow(sign, "row long, a long, b long, c long").toPandas()
+    if not len(rows):
+        return {}
+    sizes = pd.concat([rows.groupby(c)[c].transform("size") for c in "abc"], axis=1).max(axis=1)
+    return dict(zip(rows.row.tolist(), (1.0 / sizes).tolist()))
+
+
 def induce(sample: DataFrame) -> Model:
-    """The lexicon from (text, toxic): terms far more common in toxic documents than chance allows.
+    """The lexicon from (row, text, toxic): terms far more common in toxic documents than chance allows.
 
-    Document frequencies are counted per task and summed by Spark; only terms that
-    pass reach the driver. A stem replaces the words and longer stems it covers when
-    it is as pure as they are.
+    Document frequencies, with copies weighed as one document, are counted per task and
+    summed by Spark; only terms that pass reach the driver. A stem replaces the words
+    and longer stems it covers when it is as pure as they are.
     """
     model = Model(words={w: 4.0 for w in INSULTS.split()})
-    n_t, n_c = (int(x or 0) for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    weights = copy_weights(sample)
+    labels = dict(sample.select("row", "toxic").toPandas().itertuples(index=False))
+    n_t = sum(w for r, w in weights.items() if labels[r])
+    n_c = sum(w for r, w in weights.items() if not labels[r])
     if not n_t or not n_c:
         return model
 
     def count(batches):
-        counts: dict[str, list[int]] = {}
+        counts: dict[str, list[float]] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row, text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
                 for term in _terms(text):
-                    counts.setdefault(term, [0, 0])[toxic] += 1
+                    counts.setdefault(term, [0.0, 0.0])[toxic] += weights[row]
             if len(counts) > 400_000:
                 yield from _counted(counts)
                 counts = {}
         yield from _counted(counts)
 
-    sums = sample.select("text", "toxic").mapInArrow(count, "term string, t long, c long").groupBy("term").agg(
+    sums = sample.select("row", "text", "toxic").mapInArrow(count, "term string, t double, c double").groupBy("term").agg(
         F.sum("t").alias("t"), F.sum("c").alias("c"))
     sums = stored(sums, "terms")
     least = 2 * np.log(max(1, sums.count()) / CHANCE)
@@ -217,36 +246,30 @@ def induce(sample: DataFrame) -> Model:
 def _counted(counts):
     yield pa.RecordBatch.from_pydict({
         "term": pa.array(list(counts), pa.string()),
-        "t": pa.array([v[1] for v in counts.values()], pa.int64()), "c": pa.array([v[0] for v in counts.values()], pa.int64()),
+        "t": pa.array([v[1] for v in counts.values()], pa.float64()), "c": pa.array([v[0] for v in counts.values()], pa.float64()),
     })
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge; non-negative slopes."""
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression by Newton steps with a small ridge. A slope below 0 is left out: more or worse clauses never lower a score."""
     if not len(y) or y.min() == y.max():
         return Model().curve
-    a = np.c_[np.ones(len(x)), x]
-    w = np.zeros(3)
-    ridge = np.diag([1e-6, 1e-2, 1e-2])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+    use = list(range(x.shape[1]))
+    while True:
+        a = np.c_[np.ones(len(x)), x[:, use]]
+        w, ridge = np.zeros(a.shape[1]), np.diag([1e-6] + [1e-2] * len(use))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
+            w = w + np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-8:
+                break
+        if not use or w[1:].min() >= 0:
             break
-    # A slope below 0 would let a worse clause lower the score: fit the other one alone then.
-    for i, j in ((1, 2), (2, 1)):
-        if w[i] < 0:
-            keep = np.array([0, j])
-            b = a[:, keep]
-            v = np.zeros(2)
-            for _ in range(50):
-                p = 1 / (1 + np.exp(-np.clip(b @ v, -30, 30)))
-                v = v + np.clip(np.linalg.solve((b * (p * (1 - p))[:, None]).T @ b + np.diag([1e-6, 1e-2]), b.T @ (y - p) - np.array([0, 1e-2 * v[1]])), -5, 5)
-            w = np.zeros(3)
-            w[0], w[j] = v[0], max(v[1], 0.0)
-            break
-    return tuple(float(v) for v in w)
+        use.pop(int(np.argmin(w[1:])))
+    full = np.zeros(1 + x.shape[1])
+    full[[0, *[1 + i for i in use]]] = w
+    return tuple(float(v) for v in full)
 
 
 def held_out(name: str = "doc_id"):
@@ -263,21 +286,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = rows.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` pairs of numbers: proven small, so the texts need no shuffle.
-    chosen = stored(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(rows), "doc_id").select("text", "toxic"), "labelled")
+    chosen = stored(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(rows), "doc_id").select(
+        F.monotonically_increasing_id().alias("row"), "text", "toxic"), "labelled")
     model = induce(chosen)
 
     def measure(batches):
         scorer = Scorer(model)
         for batch in batches:
-            found = [scorer.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({
-                "a": pa.array([f[0] for f in found], pa.float64()), "b": pa.array([f[1] for f in found], pa.float64()), "y": batch.column(1),
-            })
-
-    # As many rows as the sample has: three numbers each.
-    seen = chosen.mapInArrow(measure, "a double, b double, y int").groupBy("a", "b", "y").count().toPandas()
-    seen = seen.loc[seen.index.repeat(seen["count"])]
-    model.curve = fit_curve(seen[["a", "b"]].to_numpy(float), seen.y.to_numpy(float))
+            found = np.array([scorer.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*[pa.array(found[:, i]) for i in range(3)], batch.column(1)], ["m", "a", "b", "y"])
+
+    # As many rows as the sample has: four numbers each.
+    seen = chosen.select("text", "toxic").mapInArrow(measure, "m double, a double, b double, y int").toPandas()
+    model.curve = fit_curve(seen[["m", "a", "b"]].to_numpy(float), seen.y.to_numpy(float))
     return model
 
 

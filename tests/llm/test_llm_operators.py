@@ -128,13 +128,16 @@ def test_clauses_are_scored_by_the_composed_transducers():
     assert weigh("Not one of the many people is an idiot.") == [4.0]  # out of the negation's reach
     assert weigh("They said he is an idiot.") == [2.0]
     assert weigh("An idiot. Not here. vequaire") == [4.0, 3.0]
-    assert weigh("idiotic") == [] and scorer.features("idiotic") == (0.0, 0.0)
+    assert weigh("idiotic") == [] and scorer.features("idiotic") == (0.0, 0.0, 0.0)
 
 
 def test_induction_finds_planted_words_and_stems(spark):
     rng = random.Random(3)
     rows = [(words(rng, 40) + (f" blorg krunz{rng.randrange(40)}x" if toxic else ""), toxic) for toxic in [1] * 60 + [0] * 300]
-    model = toxicity.induce(spark.createDataFrame(rows, "text string, toxic int"))
+    copied = words(rng, 40) + " zindle zandle"
+    rows += [(copied, 1)] * 40  # many copies of one toxic text tell no more than one
+    model = toxicity.induce(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row long, text string, toxic int"))
+    assert "zindle" not in model.words and not any("zindle".startswith(s) for s in model.stems)
     assert "blorg" in model.words or any("blorg".startswith(s) for s in model.stems)
     assert any("krunz".startswith(s[:5]) for s in model.stems)
     assert not {"river", "stone", "cloud"} & set(model.words)
