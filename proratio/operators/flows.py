@@ -33,6 +33,14 @@ CANONICAL = {
     " factor decimal(12,6), development_id string",
     "pricing.unit_price_results": "id string, run_id string, unit_id string, system_calculated_price decimal(18,2),"
     " system_calculated_price_per_m2 decimal(12,2), result_origin string, development_id string",
+    "audit.data_sources": "id string, code string, name string, origin_type string, development_id string",
+    "pricing.scenarios": "id string, development_id string, code string, status string",
+    "pricing.parameter_sets": "id string, scenario_id string, code string, version int, status string, development_id string",
+    "pricing.calibration_sets": "id string, scenario_id string, code string, dimension string, version int, status string, development_id string",
+    "pricing.runs": "id string, scenario_id string, parameter_set_id string, code string, status string, run_type string, development_id string",
+    "pricing.run_calibration_sets": "id string, run_id string, calibration_set_id string, development_id string",
+    "audit.candidate_entities": "id string, workbook_id string, sheet_name string, source_row int, entity_table string, entity_id string,"
+    " development_id string",
     "audit.data_lineage": "entity_schema string, entity_table string, entity_id string, development_id string, derived_from string",
 }
 STAGING = ["unit_candidates", "parameter_candidates", "calibration_candidates", "price_output_candidates", "mapping_review"]

@@ -74,6 +74,83 @@ def developments(workbooks: DataFrame) -> DataFrame:
     )
 
 
+def _keyed(workbooks: DataFrame) -> DataFrame:
+    return workbooks.select("workbook_id").distinct().withColumn("development", development_key(F.col("workbook_id")))
+
+
+def data_sources(workbooks: DataFrame) -> DataFrame:
+    """The workbook a development's rows come from, as a source."""
+    return _keyed(workbooks).select(
+        entity_id(F.lit("audit.data_sources"), "development").alias("id"), F.col("development").alias("code"),
+        F.col("workbook_id").alias("name"), F.lit("real").alias("origin_type"), development_id().alias("development_id"),
+    )
+
+
+def scenarios(workbooks: DataFrame) -> DataFrame:
+    return _keyed(workbooks).select(
+        scenario_id().alias("id"), development_id().alias("development_id"), F.lit(SCENARIO).alias("code"), F.lit("ACTIVE").alias("status")
+    )
+
+
+def parameter_sets(workbooks: DataFrame) -> DataFrame:
+    return _keyed(workbooks).select(
+        entity_id(F.lit("pricing.parameter_sets"), scenario_id(), F.lit(PARAMETER_SET)).alias("id"), scenario_id().alias("scenario_id"),
+        F.lit(PARAMETER_SET).alias("code"), F.lit(1).alias("version"), F.lit("ACTIVE").alias("status"), development_id().alias("development_id"),
+    )
+
+
+def runs(workbooks: DataFrame) -> DataFrame:
+    """The run that imported prices hang on."""
+    return _keyed(workbooks).select(
+        run_id().alias("id"), scenario_id().alias("scenario_id"),
+        entity_id(F.lit("pricing.parameter_sets"), scenario_id(), F.lit(PARAMETER_SET)).alias("parameter_set_id"),
+        F.lit(RUN).alias("code"), F.lit("COMPLETED").alias("status"), F.lit("IMPORTED_REFERENCE_RUN").alias("run_type"),
+        development_id().alias("development_id"),
+    )
+
+
+def calibration_sets(candidates: DataFrame) -> DataFrame:
+    """One set per development and dimension that has an entry."""
+    dims = _calibrations(candidates).select("development", "dimension").distinct()
+    return dims.select(
+        _calibration_set().alias("id"), scenario_id().alias("scenario_id"), F.col("dimension").alias("code"), "dimension",
+        F.lit(1).alias("version"), F.lit("ACTIVE").alias("status"), development_id().alias("development_id"),
+    )
+
+
+def run_calibration_sets(candidates: DataFrame) -> DataFrame:
+    """Which sets the imported run of a development used: all it has."""
+    dims = _calibrations(candidates).select("development", "dimension").distinct()
+    return dims.select(
+        entity_id(F.lit("pricing.run_calibration_sets"), run_id(), _calibration_set()).alias("id"), run_id().alias("run_id"),
+        _calibration_set().alias("calibration_set_id"), development_id().alias("development_id"),
+    )
+
+
+def candidate_entities(unit_rows: DataFrame) -> DataFrame:
+    """Which candidate became which unit, by workbook, sheet and row."""
+    return unit_rows.select(
+        entity_id(F.lit("audit.candidate_entities"), "workbook_id", "sheet_name", "source_row", "id").alias("id"), "workbook_id", "sheet_name",
+        "source_row", F.lit("core.units").alias("entity_table"), F.col("id").alias("entity_id"), "development_id",
+    )
+
+
+def candidate_state(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates with the entity they became, or PENDING."""
+    place = ["workbook_id", "sheet_name", "source_row"]
+    return candidates.join(links.select(*place, "entity_id"), place, "left").withColumn(
+        "state", F.when(F.col("entity_id").isNotNull(), "PROMOTED").otherwise("PENDING"))
+
+
+def _calibrations(candidates: DataFrame) -> DataFrame:
+    filled = owned(candidates).where(~blank(F.col("category_key_guess")) & F.col("factor_value").isNotNull())
+    return filled.withColumn("dimension", F.coalesce(F.when(F.col("dimension_guess") != "", F.col("dimension_guess")), F.lit(DEFAULT_DIMENSION)))
+
+
+def _calibration_set() -> Column:
+    return entity_id(F.lit("pricing.calibration_sets"), scenario_id(), "dimension", F.lit("1"))
+
+
 def _labels(candidates: DataFrame, column: str, table: str) -> DataFrame:
     named = owned(candidates).where(F.col(column) != "").select("development", column).distinct()
     return named.select(
@@ -122,15 +199,12 @@ def parameters(candidates: DataFrame) -> DataFrame:
 
 def calibration_entries(candidates: DataFrame) -> DataFrame:
     """One entry per set and category, the first by sheet and place; later ones stay unpromoted."""
-    filled = owned(candidates).where(~blank(F.col("category_key_guess")) & F.col("factor_value").isNotNull())
-    dimension = F.coalesce(F.when(F.col("dimension_guess") != "", F.col("dimension_guess")), F.lit(DEFAULT_DIMENSION))
-    first = filled.groupBy("development", dimension.alias("dimension"), F.col("category_key_guess").alias("category_key")).agg(
+    first = _calibrations(candidates).groupBy("development", "dimension", F.col("category_key_guess").alias("category_key")).agg(
         F.min_by("factor_value", F.struct("workbook_id", "sheet_name", "source_row", "source_cell_ref")).alias("factor")
     )
-    set_id = entity_id(F.lit("pricing.calibration_sets"), scenario_id(), "dimension", F.lit("1"))
     return first.select(
         entity_id(F.lit("pricing.calibration_entries"), "development", "dimension", "category_key").alias("id"),
-        set_id.alias("calibration_set_id"), "dimension", "category_key",
+        _calibration_set().alias("calibration_set_id"), "dimension", "category_key",
         F.round("factor", 6).cast("decimal(12,6)").alias("factor"), development_id().alias("development_id"),
     )
 
@@ -187,6 +261,13 @@ def promote(tables: dict[str, DataFrame], workbooks: DataFrame, existing: dict[s
         "pricing.parameters": parameters(tables["parameter_candidates"]),
         "pricing.calibration_entries": calibration_entries(tables["calibration_candidates"]),
         "pricing.unit_price_results": prices(tables["price_output_candidates"], all_units),
+        "audit.data_sources": data_sources(workbooks),
+        "pricing.scenarios": scenarios(workbooks),
+        "pricing.parameter_sets": parameter_sets(workbooks),
+        "pricing.calibration_sets": calibration_sets(tables["calibration_candidates"]),
+        "pricing.runs": runs(workbooks),
+        "pricing.run_calibration_sets": run_calibration_sets(tables["calibration_candidates"]),
+        "audit.candidate_entities": candidate_entities(all_units),
     }
     fresh = {name: new_rows(df, existing.get(name)) for name, df in rows.items()}
     sources = {

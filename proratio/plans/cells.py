@@ -378,6 +378,53 @@ def promote_prices(d):
     return found.select("unit_id", "system_calculated_price", "system_calculated_price_per_m2", "result_origin")
 
 
+OWNERS = f"owners AS (SELECT DISTINCT workbook_id, {DEV.format(w='workbook_id')} AS k FROM sheets), scen AS (SELECT *, sha256('pricing.scenarios:' || k || ':IMPORTED_REFERENCE') AS s, sha256('core.developments:' || k) AS d FROM owners)"
+DIMENSIONS = """dims AS (SELECT DISTINCT k, s, d, coalesce(nullif(dimension_guess, ''), 'CALIBRATION') AS dim FROM calibration_candidates JOIN scen USING (workbook_id)
+    WHERE trim(category_key_guess) <> '' AND factor_value IS NOT NULL)"""
+
+
+@query("promote_scenarios", f"""WITH {STAGED}, {OWNERS} SELECT s AS id, d AS development_id, 'IMPORTED_REFERENCE' AS code, 'ACTIVE' AS status,
+    sha256('audit.data_sources:' || k) AS data_source_id, workbook_id AS source_name FROM scen""")
+def promote_scenarios(d):
+    x = cells(d)
+    sources = promotion.data_sources(x.workbooks).select("development_id", F.col("id").alias("data_source_id"), F.col("name").alias("source_name"))
+    return attach(promotion.scenarios(x.workbooks), sources, "development_id", x.sheet_bound, "inner").select(
+        "id", "development_id", "code", "status", "data_source_id", "source_name")
+
+
+@query("promote_sets", f"""WITH {STAGED}, {OWNERS}, {DIMENSIONS}
+    SELECT sha256('pricing.parameter_sets:' || s || ':IMPORTED_PARAMETERS') AS id, s AS scenario_id, 'IMPORTED_PARAMETERS' AS code, 1 AS version, 'ACTIVE' AS status FROM scen
+    UNION ALL SELECT sha256('pricing.calibration_sets:' || s || ':' || dim || ':1'), s, dim, 1, 'ACTIVE' FROM dims""")
+def promote_sets(d):
+    """Parameter sets and calibration sets."""
+    x = cells(d)
+    both = promotion.parameter_sets(x.workbooks).unionByName(promotion.calibration_sets(x.staged["calibration_candidates"]).drop("dimension"))
+    return both.select("id", "scenario_id", "code", "version", "status")
+
+
+@query("promote_runs", f"""WITH {STAGED}, {OWNERS}, {DIMENSIONS} SELECT sha256('pricing.runs:' || k || ':IMPORTED_REFERENCE_RUN') AS run_id, s AS scenario_id,
+    sha256('pricing.parameter_sets:' || s || ':IMPORTED_PARAMETERS') AS parameter_set_id, 'COMPLETED' AS status, sha256('pricing.calibration_sets:' || s || ':' || dim || ':1') AS calibration_set_id
+    FROM scen LEFT JOIN dims USING (k, s, d)""")
+def promote_runs(d):
+    """The imported run of each development and the sets it used."""
+    x = cells(d)
+    used = promotion.run_calibration_sets(x.staged["calibration_candidates"]).select("run_id", "calibration_set_id")
+    found = promotion.runs(x.workbooks).select(F.col("id").alias("run_id"), "scenario_id", "parameter_set_id", "status")
+    return found.join(used, "run_id", "left")
+
+
+@query("candidate_state", f"""WITH {STAGED} SELECT workbook_id, sheet_name, source_row, CASE WHEN source_row % 10 <> 0 THEN
+    sha256('core.units:' || {DEV.format(w='workbook_id')} || ':' || coalesce(tower_ref, '') || ':' || unit_ref) END AS entity_id,
+    CASE WHEN source_row % 10 <> 0 THEN 'PROMOTED' ELSE 'PENDING' END AS state FROM unit_candidates""")
+def candidate_state(d):
+    """Every tenth row waits for review; the others became units."""
+    x = cells(d)
+    waits = F.when(F.col("source_row") % 10 == 0, "REVIEW_REQUIRED").otherwise(F.col("mapping_status"))
+    candidates = x.staged["unit_candidates"].withColumn("mapping_status", waits)
+    links = promotion.candidate_entities(promotion.units(candidates))
+    return promotion.candidate_state(candidates, links).select("workbook_id", "sheet_name", "source_row", "entity_id", "state")
+
+
 @query("promotion_summary", f"""WITH {PRICED} SELECT 'unit_candidates' AS candidates, count(*) AS total, count(*) AS high_candidate, count(*) AS promoted FROM unit_candidates
     UNION ALL SELECT 'price_output_candidates', count(*), count(*), (SELECT count(*) FROM imported) FROM price_candidates""")
 def promotion_summary(d):
