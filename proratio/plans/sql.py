@@ -116,10 +116,10 @@ rule2 AS (SELECT r.*, tot8, tot8 * rate0 * 100 AS budget10, {half_up('adj8 * 100
 rules AS (SELECT *, {half_up('share20 * budget10', '100000000000000000000::HUGEINT')} + addend::HUGEINT * 100000000 AS price10 FROM rule2)"""
 
 COMPARE = RULES + f""",
-based AS (SELECT *, {half_up('price10', '100000000::HUGEINT')} AS base_c FROM rules),
-refs AS (SELECT *, CASE WHEN unit_id % 8 = 6 THEN NULL WHEN unit_id % 8 = 5 OR price10 IS NULL THEN (order_total * 100)::HUGEINT
-    WHEN unit_id % 8 = 2 THEN base_c + 1 WHEN unit_id % 8 = 3 THEN base_c + 75
-    WHEN unit_id % 8 = 4 THEN base_c + (base_c // 2000000) * 100 ELSE base_c END AS ref_c FROM based),
+based AS (SELECT *, {half_up('price10', '100000000::HUGEINT')} AS base_c, {half_up('adj8 * rate + addend::HUGEINT * 1000000', '1000000::HUGEINT')} AS own_c FROM rules),
+refs AS (SELECT *, CASE WHEN unit_id % 8 = 6 THEN NULL WHEN unit_id % 8 = 5 OR own_c IS NULL THEN (order_total * 100)::HUGEINT
+    WHEN unit_id % 8 = 2 THEN own_c + 1 WHEN unit_id % 8 = 3 THEN own_c + 75
+    WHEN unit_id % 8 = 4 THEN own_c + (own_c // 2000000) * 100 ELSE own_c END AS ref_c FROM based),
 deltas AS (SELECT *, {half_up('price10', '10000::HUGEINT')} - ref_c * 10000 AS d6 FROM refs),
 comparisons AS (SELECT group_id AS development_id, unit_id, CASE WHEN ref_c IS NOT NULL THEN 'IMPORTED-' || group_id END AS imported_run_id,
     {cents('ref_c')} AS source_reference_price, {cents('base_c')} AS reproduced_price, {cents('base_c - ref_c')} AS delta_absolute,
