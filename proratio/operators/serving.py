@@ -140,6 +140,25 @@ def kpis(units: DataFrame, validation: DataFrame) -> DataFrame:
     )
 
 
+def newest_reproduction(runs: DataFrame) -> DataFrame:
+    """(development_id, reproduction_run_id): the newest completed reproduction of each development; ties go to the higher id."""
+    done = runs.where("status = 'COMPLETED'").groupBy("development_id").agg(F.max(F.struct("completed_at", "id")).alias("r"))
+    return done.select("development_id", F.col("r.id").alias("reproduction_run_id"))
+
+
+def validation_block(comparisons: DataFrame, runs: DataFrame, units: DataFrame, bound) -> DataFrame:
+    """Comparisons of each development's newest completed reproduction, with the unit's tower and code.
+
+    ``bound`` proves the number of developments.
+    """
+    key = ["development_id", "reproduction_run_id"]
+    newest = attach(comparisons, newest_reproduction(runs), key, bound, "inner")
+    return newest.join(units.select("unit_id", "tower", "unit_code"), "unit_id").select(
+        *key, F.coalesce("tower", F.lit(NO_TOWER)).alias("tower"), "unit_code", "source_reference_price", "reproduced_price",
+        "delta_absolute", "match_classification",
+    )
+
+
 def document_lines(units: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One JSON line per unit beside its keys, whatever the number of units; readers order lines by the keys."""
     return units.select(*keys, F.to_json(F.struct(*fields)).alias("document"))

@@ -294,6 +294,18 @@ class Domain:
             F.concat(F.lit("IMPORTED-"), dev.cast("string")).alias("imported_run_id"),
         )
 
+    @cached_property
+    def reproduction_runs(self) -> DataFrame:
+        """Two reproductions of each development; in every third one the newer failed."""
+        rows = F.array(*[
+            F.struct(F.lit(n).alias("n"), F.lit(f"2026-03-0{n} 07:00:00").cast("timestamp").alias("completed_at")) for n in (1, 2)
+        ])
+        found = self.developments.select("development_id", F.inline(rows))
+        return found.select(
+            F.concat_ws("-", F.lit("REPRO"), "development_id", "n").alias("id"), "development_id", "completed_at",
+            F.when((F.col("n") == 2) & (F.col("development_id") % 3 == 0), "FAILED").otherwise("COMPLETED").alias("status"),
+        )
+
     @cached_property
     def comparisons(self) -> DataFrame:
         return reproduction.compare(self.reproduced, self.reference_prices)
