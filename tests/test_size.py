@@ -89,3 +89,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,purchase)]" in events and "props" not in events
     shares = plan(allocation.participation_by(d.allocated, "development_id"))
     assert "order_date" not in shares and "BroadcastHashJoin" in shares and "CartesianProduct" not in shares
+
+
+def test_plans_of_units_have_no_sorting_aggregate_and_no_trail_join(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    from proratio.plans.catalog import QUERIES
+
+    prices = plan(QUERIES["allocation_prices"](spark, "/root/testdata/sf0.001"))
+    assert "SortAggregate" not in prices
+    trace = plan(QUERIES["lineage_trace"](spark, "/root/testdata/sf0.001"))
+    # Only the overrides join on the unit; runs, checks and towers are broadcast.
+    assert trace.count("SortMergeJoin") + trace.count("ShuffledHashJoin") <= 2
