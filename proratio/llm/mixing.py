@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, s
 
     Adds _mix_block (number of the block in its source), _mix_slot, _mix_place (in the
     block) and _mix_on_target (no source has run dry before this slot). Order by slot
-    and place is the mix. Within a source documents follow a hash of their id. A null
+    and place is the mix. Within a source documents follow their id. A null
     source is a source; sources absent from ``weights`` get the smallest share;
     repeated rows and null ids are placed like others.
     """
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, s
 
     dry = here.select("source", F.ceil(F.col("n") / block).cast("long").alias("_mix_blocks"))
     dry = place(dry, "_mix_blocks").groupBy().agg(F.min("_mix_slot").alias("dry"))
-    numbered = ranked(docs, [F.xxhash64("doc_id"), "doc_id"], ["source"], "_mix_rank")
+    numbered = ranked(docs, ["doc_id"], ["source"], "_mix_rank")
     numbered = numbered.withColumn("_mix_block", F.expr(f"_mix_rank div {block}")).withColumn("_mix_place", F.col("_mix_rank") % block)
     return place(numbered, "_mix_block").withColumn("_mix_on_target", F.col("_mix_slot") < dry.scalar()).drop("_mix_rank")
 
