@@ -6,9 +6,12 @@ character's probability is blended from the longest context down to none, each o
 trusted as far as its context has been seen. The verdict is the sign of the
 length-normalised log-likelihood difference against a calibrated cut.
 
-Counts cover all URLs that a rule decides. They live in ``BUCKETS`` hashed cells per
-order and model, so the model's size is fixed whatever the input; a scalar subquery
-hands it to the tasks. DataFrame functions only.
+Counts cover all URLs that a rule decides and are exact: a table with a row per context
+and per character in context, which grows with the input. Each distinct window of
+``ORDER`` + 1 characters is weighed once by joins with that table, and a URL adds up
+its windows. ``train`` and ``difference`` are a form of fixed size, in ``BUCKETS`` hashed
+cells, in which unlike grams share counts; ``judge`` does not use them. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ BLEND = 2.0
 ALPHABET = 96
 #: Cells of the score histogram in which the cut is sought.
 STEPS = 2000
+#: Keys in more than one of so many rows are joined by broadcast: fewer than so many keys.
+HOT = 10_000
+#: Log ratios are kept in steps of 1 / UNIT, so that sums do not depend on their order.
+UNIT = 1 << 32
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
@@ -113,6 +120,63 @@ def difference(text: Column, counts: Column, own: Column | None = None) -> Colum
     return F.aggregate(found, F.lit(0.0), lambda total, x: total + x) / (F.length(text) - ORDER)
 
 
+def places(urls: DataFrame) -> DataFrame:
+    """(_row, accepted, window) for each character of each URL; ``accepted`` is null where no rule fits."""
+    at = F.explode(F.sequence(F.lit(1), F.length("text") - ORDER)).alias("at")
+    return urls.select("_row", "accepted", "text", at).select("_row", "accepted", F.substring(F.col("text"), F.col("at"), F.lit(ORDER + 1)).alias("window"))
+
+
+def attached(asked: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
+    """``asked`` joined with the stored ``table``, which has each key once and in ``n`` how many rows ask it.
+
+    At most HOT keys can be asked by more than one in HOT of the rows; those are broadcast.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * HOT > total
+    hot, cold = table.filter(is_hot), table.filter(~is_hot)
+    rest = asked.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return asked.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def ratios(windows: DataFrame) -> DataFrame:
+    """(window, n, free, own_1, own_0): log ratio of a window's last character, accepted to rejected, in units of 1 / UNIT.
+
+    ``windows``: (window, n, n_1, n_0), stored: occurrences in all, in accepted and in
+    rejected URLs. own_1 and own_0 are for a URL of that model: one observation of each
+    gram is taken out, so that it is scored as if it had not been seen.
+    """
+    keys = []
+    for order in range(ORDER + 1):
+        for kind, gram in enumerate((F.substring("window", ORDER - order + 1, order), F.substring("window", ORDER - order + 1, order + 1))):
+            keys.append(F.struct(F.lit(2 * order + kind).alias("kind"), gram.alias("gram")))
+    keyed = windows.select("window", "n", "n_1", "n_0", F.explode(F.array(*keys)).alias("k")).select("window", "n", "n_1", "n_0", "k.kind", "k.gram")
+    counts = stored(keyed.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("asked"), F.sum("n_1").alias("all_1"), F.sum("n_0").alias("all_0")), "grams")
+    found = attached(keyed.select("window", "n", "kind", "gram"), counts, ["kind", "gram"], "asked")
+    # Ten rows a window, side by side.
+    seen = found.groupBy("window", "n").agg(*[
+        F.sum(F.when(F.col("kind") == i, F.col(f"all_{m}")).otherwise(0)).cast("double").alias(f"c_{m}_{i}") for m in (0, 1) for i in range(2 * ORDER + 2)])
+
+    def likelihood(model, own):
+        p = F.lit(1.0 / ALPHABET)
+        for order in range(ORDER + 1):
+            context, gram = (F.greatest(F.col(f"c_{model}_{2 * order + kind}") - float(own == model), F.lit(0.0)) for kind in (0, 1))
+            p = (gram + F.lit(BLEND) * p) / (context + F.lit(BLEND))
+        return F.log(p)
+
+    return seen.select("window", "n", *[
+        F.round((likelihood(1, own) - likelihood(0, own)) * UNIT).cast("long").alias(name) for name, own in (("free", None), ("own_1", 1), ("own_0", 0))])
+
+
+def scores(urls: DataFrame) -> DataFrame:
+    """Stored ``urls`` (_row, text, accepted and others) with ``score``: the log-likelihood difference per character."""
+    one, zero = F.coalesce(F.sum("accepted"), F.lit(0)), F.coalesce(F.sum(1 - F.col("accepted")), F.lit(0))
+    windows = stored(places(urls).groupBy("window").agg(F.count(F.lit(1)).alias("n"), one.alias("n_1"), zero.alias("n_0")), "windows")
+    found = attached(places(urls), stored(ratios(windows), "ratios"), ["window"], "n")
+    value = F.when(F.col("accepted") == 1, F.col("own_1")).when(F.col("accepted") == 0, F.col("own_0")).otherwise(F.col("free"))
+    sums = found.groupBy("_row").agg(F.sum(value).alias("total"))
+    return urls.join(sums, "_row").withColumn("score", F.col("total") / UNIT / (F.length("text") - ORDER)).drop("total")
+
+
 def calibrated(scores: DataFrame) -> DataFrame:
     """One row, ``cut``: where accepted URLs below and rejected ones above, each as a share of its kind, are fewest.
 
@@ -142,13 +206,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """
     host, path = parts()
     urls = decided(pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path")), rules)
-    urls = urls.withColumn("text", _read("url"))
-    known = urls.filter(F.col("by_rule").isNotNull()).select("text", (F.col("by_rule") == "allow").cast("int").alias("accepted"))
-    model = stored(train(known), "urls")
-    # As a column first: a subquery may not stand inside a lambda; the optimizer puts it there.
-    seen = known.withColumn("counts", model.scalar()).select("accepted", difference(F.col("text"), F.col("counts"), F.col("accepted")).alias("score"))
-    cut = calibrated(seen)
-    score = F.when(F.col("by_rule").isNull(), difference(F.col("text"), F.col("counts")))
-    judged = urls.withColumn("counts", model.scalar()).select("page_id", "host", "path", "rule", "by_rule", score.alias("score"))
+    accepted = F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "allow").cast("int"))
+    urls = urls.withColumn("text", _read("url")).withColumn("accepted", accepted).drop("url").withColumn("_row", F.monotonically_increasing_id())
+    scored = stored(scores(stored(urls, "urls")), "scored")
+    cut = calibrated(scored.filter(F.col("accepted").isNotNull()))
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= cut.scalar(), "allow").otherwise("block"))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    score = F.when(F.col("by_rule").isNull(), F.col("score")).alias("score")
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), score)
