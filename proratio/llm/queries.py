@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proratio.llm import masked_lm, merkle, mixing, packing, simhash, topk, toxicity, turns, urls, warc, wordpiece
+from proratio.llm import leaks, masked_lm, merkle, mixing, packing, simhash, topk, toxicity, turns, urls, warc, wordpiece
 from proratio.llm.common import importable
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +63,10 @@ def op10_mixing(spark, folder):
     return mixed.select("doc_id", "source", *[F.col(f"_mix_{c}").alias(c) for c in ("block", "slot", "place", "on_target")])
 
 
+def op11_decontamination(spark, folder):
+    return leaks.contamination(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
+
+
 def op12_repair(spark, folder):
     rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return turns.repair_report(rows, turns.damaged(rows))
@@ -101,5 +105,6 @@ MIXING_SQL = f"""
 
 QUERIES = {f.__name__: f for f in (
     op1_pseudo_likelihood, op2_toxicity, op3_packing, op4_warc, op5_token_counts, op6_simhash, op7_topk, op8_urls, op9_merkle, op10_mixing,
-    op12_repair)}
-ORACLES: dict[str, str] = {"op4_warc": WARC_SQL, "op7_topk": TOPK_SQL, "op9_merkle": merkle.SQL, "op10_mixing": MIXING_SQL}
+    op11_decontamination, op12_repair)}
+ORACLES: dict[str, str] = {"op4_warc": WARC_SQL, "op7_topk": TOPK_SQL, "op9_merkle": merkle.SQL, "op10_mixing": MIXING_SQL,
+                           "op11_decontamination": leaks.SQL}
