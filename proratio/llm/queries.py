@@ -1,8 +1,8 @@
 """The registered queries: each applies one operator, with its production parameters, to its whole table.
 
-SQL expresses op4, op7, op9 and op10; fitted models, tokenizers, hashed fingerprints and
-their components are beyond it. ``tests/llm`` holds all ten against brute force, a round
-trip or held-out labels.
+SQL expresses op4, op7, op9, op10, op11 and op13; fitted models, tokenizers, hashed
+fingerprints, their components and cheapest edits are beyond it. ``tests/llm`` holds all
+against brute force, a round trip or held-out labels.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proratio.llm import leaks, masked_lm, merkle, mixing, packing, simhash, topk, toxicity, turns, urls, warc, wordpiece
+from proratio.llm import leaks, masked_lm, merkle, mixing, packing, phrases, simhash, topk, toxicity, turns, urls, warc, wordpiece
 from proratio.llm.common import importable
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,10 @@ def op12_repair(spark, folder):
     return turns.repair_report(rows, turns.damaged(rows))
 
 
+def op13_collocations(spark, folder):
+    return phrases.collocations(_table(spark, folder, "documents").select("lang", "text"))
+
+
 # Hex digits to base 32: five of them are 20 bits, four letters.
 _LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {n}) & 31) + 1, 1)" for n in (15, 10, 5, 0))
 WARC_SQL = f"""
@@ -105,6 +109,6 @@ MIXING_SQL = f"""
 
 QUERIES = {f.__name__: f for f in (
     op1_pseudo_likelihood, op2_toxicity, op3_packing, op4_warc, op5_token_counts, op6_simhash, op7_topk, op8_urls, op9_merkle, op10_mixing,
-    op11_decontamination, op12_repair)}
+    op11_decontamination, op12_repair, op13_collocations)}
 ORACLES: dict[str, str] = {"op4_warc": WARC_SQL, "op7_topk": TOPK_SQL, "op9_merkle": merkle.SQL, "op10_mixing": MIXING_SQL,
-                           "op11_decontamination": leaks.SQL}
+                           "op11_decontamination": leaks.SQL, "op13_collocations": phrases.SQL}

@@ -51,4 +51,4 @@ def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
 def test_all_queries_are_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and set(queries.QUERIES) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
