@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 from proratio.llm import common, queries, toxicity
-from test_llm_operators import DOCS, awkward_rows, check_packing, slow_fingerprint, slow_groups
+from test_llm_operators import DOCS, awkward_rows, check_packing
+from test_near_copies import slow_kept
 
 import __spark_entry__
 
@@ -13,9 +14,7 @@ def test_pipeline_against_brute_force(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     scorer = toxicity.Scorer(toxicity.fit(docs, labels))
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if scorer.score(r["text"]) < toxicity.CUT}
-    prints = {i: slow_fingerprint(t) for i, t in texts.items()}
-    groups = slow_groups(prints.values())
-    kept = {min(i for i in prints if groups[prints[i]] == g) for g in set(groups.values())}
+    kept = slow_kept(texts)
     rows = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in rows} == kept
     check_packing(rows, {i: texts[i] for i in kept})
