@@ -163,8 +163,8 @@ def classify(delta: Column, percent: Column) -> Column:
     )
 
 
-def compare(reproduced: DataFrame, reference: DataFrame) -> DataFrame:
-    """Reproduced against reference price per unit, stored at cents.
+def compare(reproduced: DataFrame, reference: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Reproduced against reference price per unit, stored at cents. ``carry`` names more columns of ``reproduced`` to keep.
 
     The class is taken from the unrounded difference, so a stored difference of
     0.00 may be WITHIN_1_CENT. A unit without a reference stays, BLOCKED.
@@ -177,7 +177,7 @@ def compare(reproduced: DataFrame, reference: DataFrame) -> DataFrame:
     kind = classify(delta, raw_percent)
     stored = F.round(price, 2).cast(PRICE)
     return joined.select(
-        "development_id", "unit_id", "imported_run_id", "source_reference_price",
+        "development_id", *carry, "unit_id", "imported_run_id", "source_reference_price",
         stored.alias("reproduced_price"),
         (stored - F.col("source_reference_price")).cast(PRICE).alias("delta_absolute"),
         percent.alias("delta_percent"),

@@ -7,6 +7,7 @@ derived from whole tables; nothing is invented but small configuration.
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 from functools import cached_property
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from proratio.operators import allocation, reproduction, rulegraph, serving
 from proratio.operators.allocation import AllocationConfig
-from proratio.session import counted, spread, stage
+from proratio.session import checkpoint_root, counted, spread, stage
+from proratio.sources.publish import Manifest
 from proratio.sources.tables import read_table
 
 CONFIG = AllocationConfig(
@@ -129,6 +131,30 @@ class Domain:
         """Units that can be allocated; ``allocation.violations`` lists the others."""
         return self.all_units.where("private_area_m2 > 0")
 
+    @cached_property
+    def towers(self) -> DataFrame:
+        """The towers there are, from the customers and not from the units."""
+        return self.table("customer").select(F.col("c_nationkey").alias("development_id"), F.col("c_mktsegment").alias("tower")).distinct()
+
+    @cached_property
+    def typologies(self) -> DataFrame:
+        """Every development offers the priorities that occur in any."""
+        kinds = self.table("orders").select(F.col("o_orderpriority").alias("typology")).distinct().groupBy().agg(F.collect_set("typology").alias("all"))
+        return self.developments.select("development_id").withColumn("typology", F.explode(kinds.scalar()))
+
+    def manifest(self) -> Manifest:
+        """A manifest of its own for one query."""
+        return Manifest(self.spark, f"{checkpoint_root(self.spark)}/proratio/{uuid.uuid4().hex}")
+
+    @cached_property
+    def completed_runs(self) -> DataFrame:
+        """(development_id, run_id, code, completed_at) of the completed runs."""
+        return self.runs.where("status = 'COMPLETED'").select("development_id", "run_id", F.col("run_code").alias("code"), "completed_at")
+
+    @property
+    def run_bound(self) -> int:
+        return self.bound * len(RUNS)
+
     @cached_property
     def targets(self) -> DataFrame:
         return self.units.groupBy("development_id").agg(

@@ -7,9 +7,9 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from proratio.operators import allocation, reproduction, rulegraph, serving
+from proratio.operators import allocation, reproduction, reproduction_runs, rulegraph, runs, serving
 from proratio.plans import sql
-from proratio.plans.domain import CONFIG, LABELS, RULESET
+from proratio.plans.domain import CONFIG, LABELS, OVERRIDE_RUN, RULESET
 from proratio.plans.registry import query
 from proratio.session import stage
 
@@ -26,6 +26,8 @@ PRICE_COLUMNS = [
 
 @query("allocation_prices", f"WITH {sql.ALLOC} SELECT {', '.join(PRICE_COLUMNS)} FROM alloc")
 def allocation_prices(d):
+    """Refused as a whole if any unit, target or factor is invalid."""
+    allocation.require_valid(d.units, d.targets, CONFIG, towers=d.towers, typologies=d.typologies)
     return d.allocated.select(*PRICE_COLUMNS)
 
 
@@ -39,10 +41,7 @@ def allocation_prices(d):
     FROM all_units GROUP BY development_id, tower, unit_code HAVING count(*) > 1""",
 )
 def allocation_violations(d):
-    towers = d.table("customer").select(
-        F.col("c_nationkey").alias("development_id"), F.col("c_mktsegment").alias("tower")
-    ).distinct()
-    return allocation.violations(d.all_units, d.targets, CONFIG, towers=towers)
+    return allocation.violations(d.all_units, d.targets, CONFIG, towers=d.towers)
 
 
 @query(
@@ -156,25 +155,45 @@ def run_results(d):
     return d.results.select("run_id", "unit_id", "system_price", "participation_share")
 
 
+RUN_FIELDS = ["run_id", "units", "adjustments", "target_value", "total", "difference", "severity", "logical_hash", "overrides", "override_impact", "final_total"]
+
+
+@query("allocation_run_stored", f"WITH {sql.ALLOC},{sql.OVERRIDES},{sql.stored_runs('alloc', 'overrides')} SELECT {', '.join(RUN_FIELDS)} FROM stored")
+def allocation_run_stored(d):
+    """Runs of every development validated, written, audited and read back from their stored tables."""
+    manifest = d.manifest()
+    events = d.override_events.join(d.units.select("unit_id"), "unit_id", "left_semi")
+    runs.store(manifest, "given", d.units, d.targets, CONFIG, d.completed_runs, events, override_code=OVERRIDE_RUN, keys=["unit_id"],
+               bound=d.run_bound, towers=d.towers, typologies=d.typologies)
+    return runs.summary(runs.read(manifest), d.run_bound).select(*RUN_FIELDS)
+
+
+TAMPERED = f"""{sql.ALLOC},{sql.OVERRIDES},{sql.stored_runs('alloc', 'overrides')},
+    changed AS (SELECT * REPLACE (CAST(CASE WHEN unit_id % 1000 = 7 AND development_id % 4 = 1 THEN system_price + 0.01 ELSE system_price END AS {M}) AS system_price) FROM alloc),
+    fewer AS (SELECT * FROM overrides WHERE NOT (event_id % 2 = 0 AND development_id % 4 = 2)),{sql.stored_runs('changed', 'fewer', 't_')}"""
+COMPARED = ["units", "total", "severity", "logical_hash", "overrides", "override_impact"]
+
+
 @query(
     "verify_run",
-    f"""WITH {sql.ALLOC}, x AS (SELECT development_id, count(*) AS units_count, sum(order_total) AS total_system_price,
-      max(system_price) AS max_price FROM alloc GROUP BY 1),
-    e AS (SELECT development_id, count(*) AS units_count, sum(order_total) AS total_system_price, max(order_total) AS max_price FROM units GROUP BY 1)
-    SELECT development_id, 'max_price' AS field, CAST(e.max_price AS VARCHAR) AS expected, CAST(x.max_price AS VARCHAR) AS actual
-    FROM e JOIN x USING (development_id) WHERE e.max_price <> x.max_price""",
+    f"""WITH {TAMPERED}, fields AS (""" + " UNION ALL ".join(
+        f"SELECT run_id, '{f}' AS field, CAST(e.{f} AS VARCHAR) AS expected, CAST(t.{f} AS VARCHAR) AS actual FROM stored e JOIN t_stored t USING (run_id)" for f in COMPARED
+    ) + ") SELECT * FROM fields WHERE expected IS DISTINCT FROM actual",
 )
 def verify_run(d):
-    """Unit counts and totals agree with the source; the largest price does not, and is listed."""
-    expected = d.units.groupBy("development_id").agg(
-        F.count("*").alias("units_count"), F.sum("order_total").cast(M).alias("total_system_price"),
-        F.max("order_total").alias("max_price"),
-    )
-    actual = d.allocated.groupBy("development_id").agg(
-        F.count("*").alias("units_count"), F.sum("system_price").cast(M).alias("total_system_price"),
-        F.max("system_price").alias("max_price"),
-    )
-    return allocation.verify(expected, actual, ["development_id"], ["units_count", "total_system_price", "max_price"])
+    """Stored runs in which some prices and decisions were changed by a writer without the gate, against what they should be."""
+    priced = d.stored_allocation
+    cent = F.lit("0.01").cast("decimal(18,2)")
+    changed = stage(priced.withColumn("system_price", F.when(
+        (F.col("unit_id") % 1000 == 7) & (F.col("development_id") % 4 == 1), (F.col("system_price") + cent).cast(M)).otherwise(F.col("system_price"))))
+    decided = allocation.apply_overrides(priced, d.override_events, ["unit_id"], carry=("development_id", "tower", "unit_code")).withColumn(
+        "run_id", F.concat(F.lit("SC-"), F.col("development_id").cast("string"), F.lit(f":{OVERRIDE_RUN}")))
+    kept = decided.where("not (event_id % 2 = 0 and development_id % 4 = 2)")
+    manifest = d.manifest()
+    manifest.publish("allocation:changed", lambda: runs.tables_of(changed, d.completed_runs, kept, d.run_bound))
+    expected = runs.summary(runs.tables_of(priced, d.completed_runs, decided, d.run_bound), d.run_bound)
+    actual = runs.summary(runs.read(manifest), d.run_bound)
+    return allocation.verify(stage(expected), stage(actual), ["run_id"], COMPARED)
 
 
 VARIANTS = {
@@ -497,19 +516,70 @@ def reproduction_trail(d):
     return reproduction.trail(d.evaluated, steps).drop("ordinal")
 
 
+RULESET_VERSION = "sha256:0"
+UNIT_SCHEMA = (
+    "development_id bigint, unit_id bigint, ordinal bigint, closed_area decimal(12,2), terrace_area decimal(12,2), unit_code_raw string, floor_text string,"
+    " position_code_raw string, override_amount_derived string, UNCOVERED_AREA_FACTOR string, TARGET_PRICE_PER_M2 decimal(18,6)"
+)
+
+
+def _reproduce(d, manifest, attempt: str = "", chosen=None):
+    return reproduction_runs.reproduce(
+        manifest, RULESET_VERSION, RULESET, UNIT_SCHEMA, {"floor_factor": d.floor_table}, variants=list(sql.VARIANTS), forced_output="floor_factor",
+        forced_key="1", forced=F.col("unit_id") % 100 < 4, attempt=attempt, chosen=chosen)
+
+
+def _stored_inputs(d):
+    """A manifest that holds the units and imported prices of every development."""
+    manifest = d.manifest()
+    units = d.rule_units.withColumnRenamed("group_id", "development_id")
+    imported = d.reference_prices.join(d.units.select("unit_id", "development_id"), "unit_id")
+    reproduction_runs.store_inputs(manifest, runs.typed(units, UNIT_SCHEMA), runs.typed(imported, reproduction_runs.IMPORTED_SCHEMA))
+    return manifest
+
+
 @query(
     "anomaly_variants",
-    f"""WITH {sql.UNITS}, v AS (SELECT unit_id, floor, var FROM units, (VALUES ('as_implemented_in_source'), ('consistent_rule_variant')) t(var)),
-    k AS (SELECT *, CASE WHEN var = 'as_implemented_in_source' AND unit_id % 100 < 4 THEN '1' ELSE CAST(floor AS VARCHAR) END AS fkey FROM v)
-    SELECT var AS variant, fkey AS floor_key, count(*) AS units FROM k GROUP BY 1, 2""",
+    f"""WITH {sql.VARIANT_COMPARE} SELECT variant, fkey AS floor_key, count(*) AS units, count(reproduced_price) AS priced,
+    CAST(sum(reproduced_price) AS {M}) AS total FROM v_compared GROUP BY 1, 2""",
 )
 def anomaly_variants(d):
-    """Two variants of every unit: listed source rows forced to floor 1, or left consistent."""
-    rows = reproduction.with_variants(
-        d.rule_units, ["as_implemented_in_source", "consistent_rule_variant"], "1", F.col("unit_id") % 100 < 4
-    )
-    key = F.coalesce("forced_key", F.regexp_replace("floor_text", r"\.0$", ""))
-    return rows.groupBy("variant", key.alias("floor_key")).agg(F.count("*").alias("units"))
+    """Every unit priced in two variants by one evaluation: listed source rows forced to floor 1, or left consistent."""
+    units = d.rule_units.withColumnRenamed("group_id", "development_id")
+    rows = reproduction_runs.priced(units, RULESET, {"floor_factor": d.floor_table}, list(sql.VARIANTS), "unit_price", "floor_factor", "1",
+                                    F.col("unit_id") % 100 < 4, d.bound)
+    rows = rows.join(d.rule_units.select("unit_id", F.regexp_replace("floor_text", r"\.0$", "").alias("own_key")), "unit_id")
+    price = F.round("unit_price", 2).cast(M)
+    return rows.groupBy("variant", F.coalesce("forced_key", "own_key").alias("floor_key")).agg(
+        F.count("*").alias("units"), F.count(price).alias("priced"), F.sum(price).cast(M).alias("total"))
+
+
+@query(
+    "reproduction_run_stored",
+    f"""WITH {sql.VARIANT_COMPARE} SELECT development_id, variant, match_classification, count(*) AS units, CAST(sum(reproduced_price) AS {M}) AS total
+    FROM v_compared GROUP BY 1, 2, 3""",
+)
+def reproduction_run_stored(d):
+    """Both variants of all developments reproduced from stored units, compared with stored imports, stored and read back."""
+    manifest = _stored_inputs(d)
+    _reproduce(d, manifest)
+    return reproduction_runs.comparisons(manifest, RULESET_VERSION).groupBy("development_id", "variant", "match_classification").agg(
+        F.count("*").alias("units"), F.sum("reproduced_price").cast(M).alias("total"))
+
+
+@query(
+    "reproduction_resume",
+    f"""WITH {sql.VARIANT_COMPARE} SELECT development_id, variant, CASE WHEN CAST(development_id AS BIGINT) % 3 = 0 THEN 'first' ELSE 'second' END AS attempt,
+    count(*) AS units, count(reproduced_price) AS calculated FROM v_compared GROUP BY 1, 2, 3""",
+)
+def reproduction_resume(d):
+    """A first call gets as far as every third development, a second one does the rest, and a third one finds nothing to do."""
+    manifest = _stored_inputs(d)
+    _reproduce(d, manifest, "first", d.developments.where("development_id % 3 = 0"))
+    _reproduce(d, manifest, "second")
+    _reproduce(d, manifest, "third")
+    return reproduction_runs.comparisons(manifest, RULESET_VERSION).groupBy("development_id", "variant", "attempt").agg(
+        F.count("*").alias("units"), F.count("reproduced_price").alias("calculated"))
 
 
 @query(

@@ -136,3 +136,61 @@ metrics AS (SELECT count(*) AS units_analyzed,
     CAST(coalesce(max(abs(delta_absolute)), 0) AS {M}) AS max_absolute_error,
     round(sqrt(coalesce(avg(CAST(delta_absolute AS DOUBLE) * CAST(delta_absolute AS DOUBLE)), 0)), 2) AS rmse
   FROM comparisons)"""
+
+
+def hashes(source: str, p: str = "") -> str:
+    """CTE ``hashes``: the logical hash of each development of an allocation."""
+    return f"""{p}units_h AS (SELECT development_id, target_value, system_price, sha256(
+      '{{"combined_weight_factor":"' || CAST(CAST(combined_weight_factor AS DECIMAL(12,6)) AS VARCHAR)
+      || '","participation_share":"' || CAST(CAST(participation_share AS DECIMAL(9,6)) AS VARCHAR)
+      || '","system_calculated_price":"' || CAST(system_price AS VARCHAR)
+      || '","system_calculated_price_per_m2":"' || CAST(price_per_m2 AS VARCHAR)
+      || '","tower_business_key":"' || tower || '","unit_code":"' || unit_code
+      || '","weighted_area_m2":"' || CAST(CAST(weighted_area_m2 AS DECIMAL(16,4)) AS VARCHAR) || '"}}') AS h FROM {source}),
+    {p}hashes AS (SELECT development_id, sha256('{{"algorithm":"REFERENCE_ALLOCATION_V1","target_vgv":"' || CAST(max(target_value) AS VARCHAR) || '","total_system_price":"'
+      || CAST(CAST(sum(system_price) AS {M}) AS VARCHAR) || '","units":"' || count(*) || ',' || {digest_sums('h')} || '"}}') AS logical_hash
+    FROM {p}units_h GROUP BY 1)"""
+
+
+def stored_runs(source: str, overrides: str, p: str = "") -> str:
+    """CTE ``stored``: what each run's tables amount to; decisions lie under the code DECIDED."""
+    return hashes(source, p) + f""",
+    {p}sums AS (SELECT development_id, count(*) AS units, max(target_value) AS target_value, CAST(sum(system_price) AS {M}) AS total FROM {source} GROUP BY 1),
+    {p}decided AS (SELECT development_id, count(*) AS n, sum(vgv_impact) AS impact FROM {overrides} GROUP BY 1),
+    {p}stored AS (SELECT 'SC-' || s.development_id || ':' || code AS run_id, units, units * 3 AS adjustments, target_value, total,
+      CAST(total - target_value AS {M}) AS difference, CASE WHEN total = target_value THEN 'INFO' ELSE 'ERROR' END AS severity, logical_hash,
+      CASE WHEN code = 'DECIDED' THEN coalesce(n, 0) ELSE 0 END AS overrides,
+      CAST(CASE WHEN code = 'DECIDED' THEN coalesce(impact, 0) ELSE 0 END AS {M}) AS override_impact,
+      CAST(total + CASE WHEN code = 'DECIDED' THEN coalesce(impact, 0) ELSE 0 END AS {M}) AS final_total
+    FROM {p}sums s JOIN {p}hashes USING (development_id) LEFT JOIN {p}decided d ON d.development_id = s.development_id, (VALUES ('PLAIN'), ('DECIDED')) r(code))"""
+
+
+VARIANTS = ("as_implemented_in_source", "consistent_rule_variant")
+
+
+def _variant_rules() -> str:
+    """The rule graph once per variant: in the first one, listed units look up floor 1."""
+    import re
+
+    text = RULES.split(UNITS + ",", 1)[1]
+    text = re.sub(r"\b(floors|rule_in|keyed|rule0|rule1|groups|rule2|rules)\b", r"v_\1", text)
+    values = ", ".join(f"('{v}')" for v in VARIANTS)
+    for old, new in (
+        ("order_total FROM units)", f"order_total, var FROM units, (VALUES {values}) t(var))"),
+        ("CASE WHEN CAST(code AS INTEGER) < 1000", f"CASE WHEN var = '{VARIANTS[0]}' AND unit_id % 100 < 4 THEN '1' WHEN CAST(code AS INTEGER) < 1000"),
+        ("(SELECT group_id, CASE WHEN count(*)", "(SELECT group_id, var, CASE WHEN count(*)"), ("FROM v_rule1 GROUP BY 1)", "FROM v_rule1 GROUP BY 1, 2)"),
+        ("USING (group_id)", "USING (group_id, var)"),
+    ):
+        assert old in text, old
+        text = text.replace(old, new)
+    return text
+
+
+# Both variants against the imported prices, which know of none.
+VARIANT_COMPARE = f"""{COMPARE},{_variant_rules()},
+v_deltas AS (SELECT v.*, r.ref_c, {half_up('v.price10', '100000000::HUGEINT')} AS base_c, {half_up('v.price10', '10000::HUGEINT')} - r.ref_c * 10000 AS d6
+  FROM v_rules v JOIN refs r ON r.unit_id = v.unit_id),
+v_compared AS (SELECT CAST(group_id AS VARCHAR) AS development_id, var AS variant, unit_id, fkey, {cents('base_c')} AS reproduced_price,
+    CASE WHEN d6 IS NULL THEN 'BLOCKED' WHEN d6 = 0 THEN 'EXACT' WHEN abs(d6) <= 10000 THEN 'WITHIN_1_CENT'
+      WHEN abs(d6) <= 1000000 THEN 'WITHIN_1_REAL' WHEN abs(d6) <= ref_c THEN 'WITHIN_0_01_PERCENT' ELSE 'DIVERGENT' END AS match_classification
+  FROM v_deltas)"""

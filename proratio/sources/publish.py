@@ -193,7 +193,8 @@ class Manifest:
         attempt = uuid.uuid4().hex[:12]
         folder = F.concat(F.substring(F.sha2("batch_id", 256), 1, 16), F.lit(f"-{attempt}"))
         incoming = open_(rows.withColumn("batch_id", batch.cast("string"))).withColumn(FOLDER, folder)
-        incoming.write.partitionBy(FOLDER).mode("append").parquet(f"{self.root}/{table}")
+        # Rebalanced: few files for a small batch, several tasks for a large one.
+        incoming.hint("rebalance", F.col(FOLDER)).write.partitionBy(FOLDER).mode("append").parquet(f"{self.root}/{table}")
         everything = self.spark.read.schema(f"{rows_ddl(rows)}, batch_id string, {FOLDER} string").parquet(f"{self.root}/{table}")
         written = everything.where(F.col(FOLDER).endswith(f"-{attempt}"))
         names = written.groupBy("batch_id", FOLDER).agg(F.count(F.lit(1)).alias("rows"))
