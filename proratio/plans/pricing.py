@@ -430,9 +430,9 @@ _rule("rule_sum", ["total_area"], f"{sql.dec('total2', 2)} AS total_area")
 _rule("rule_weighted_sum", ["weighted_area"], f"{sql.dec('w4', 4)} AS weighted_area")
 _rule("rule_lookup", ["floor_factor"], f"CASE WHEN f2 >= 0 THEN 1 ELSE -1 END * {sql.dec('abs(f2)', 2)} AS floor_factor")
 _rule(
-    "rule_lookup_composite", ["slot_factor"],
+    "rule_lookup_composite", ["corner_factor"],
     "CAST(CASE floor || '-' || position WHEN '1-F' THEN 0.07 WHEN '4-O' THEN 0.12 WHEN '6-P' THEN 0.035 "
-    "WHEN '9-F' THEN 0.015 END AS DECIMAL(12,6)) AS slot_factor",
+    "WHEN '9-F' THEN 0.015 END AS DECIMAL(12,6)) AS corner_factor",
 )
 _rule("rule_multiply_factors", ["adjusted_area"], f"{sql.dec('adj8', 8)} AS adjusted_area")
 _rule("rule_ratio", ["round(share, 12) AS share"], f"{sql.dec(sql.half_up('adj8 * 1000000000000::HUGEINT', 'tot8'), 12)} AS share")

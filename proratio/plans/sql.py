@@ -99,13 +99,13 @@ enriched AS (SELECT development_id, unit_id, tower, unit_code, typology, floor,
   FROM current)"""
 
 RULES = UNITS + f""",
-floors AS (SELECT n_nationkey AS g, f FROM nation, range(1, 11) t(f) WHERE f <> 3 AND NOT (f = 7 AND n_nationkey % 8 = 5)),
+floors AS (SELECT n_nationkey AS g, f FROM nation, range(1, 11) t(f) WHERE f <> 8 AND NOT (f = 7 AND n_nationkey % 8 = 5)),
 rule_in AS (SELECT unit_id, development_id AS group_id, private_area_m2 AS closed_area, uncovered_area_m2 AS terrace_area,
-    floor, position, CAST(floor * 100 + unit_id % 4 AS VARCHAR) AS code,
+    floor, position, CAST(floor * 1000 + unit_id % 4 AS VARCHAR) AS code,
     CASE WHEN unit_id % 333 = 0 AND development_id % 6 = 1 THEN NULL WHEN unit_id % 50 = 0 THEN 10025 ELSE 0 END AS addend,
     (development_id * 10 + 5000)::HUGEINT AS rate, order_total FROM units),
-keyed AS (SELECT *, CASE WHEN CAST(code AS INTEGER) < 1000 THEN substr(code, 1, 1) ELSE substr(code, 1, 2) END AS fkey FROM rule_in),
-rule0 AS (SELECT k.*, CASE WHEN f IS NOT NULL THEN f - 5 WHEN fkey = '3' THEN 2 END AS f2,
+keyed AS (SELECT *, CASE WHEN CAST(code AS INTEGER) < 10000 THEN substr(code, 1, 1) ELSE substr(code, 1, 2) END AS fkey FROM rule_in),
+rule0 AS (SELECT k.*, CASE WHEN f IS NOT NULL THEN f - 5 WHEN fkey = '8' THEN 6 END AS f2,
     (closed_area * 100 + terrace_area * 100)::HUGEINT AS total2,
     ((closed_area * 100)::HUGEINT * 100 + (terrace_area * 100)::HUGEINT * 35) AS w4
   FROM keyed k LEFT JOIN floors ON g = group_id AND CAST(f AS VARCHAR) = fkey),
@@ -177,7 +177,7 @@ def _variant_rules() -> str:
     values = ", ".join(f"('{v}')" for v in VARIANTS)
     for old, new in (
         ("order_total FROM units)", f"order_total, var FROM units, (VALUES {values}) t(var))"),
-        ("CASE WHEN CAST(code AS INTEGER) < 1000", f"CASE WHEN var = '{VARIANTS[0]}' AND unit_id % 100 < 4 THEN '1' WHEN CAST(code AS INTEGER) < 1000"),
+        ("CASE WHEN CAST(code AS INTEGER) < 10000", f"CASE WHEN var = '{VARIANTS[0]}' AND unit_id % 100 < 4 THEN '1' WHEN CAST(code AS INTEGER) < 10000"),
         ("(SELECT group_id, CASE WHEN count(*)", "(SELECT group_id, var, CASE WHEN count(*)"), ("FROM v_rule1 GROUP BY 1)", "FROM v_rule1 GROUP BY 1, 2)"),
         ("USING (group_id)", "USING (group_id, var)"),
     ):

@@ -1,6 +1,7 @@
 """The published synthetic scenario, rebuilt from its description: 2 towers of 10 floors with 2 units each.
 
-Fixed values: keys, areas, bands, factors, target and hash must be these for the published hash.
+Fixed values: towers, typologies, areas, bands, factors, target and hash must be these for the published hash.
+The rest (development, parameter set, override) is our own; the hash does not depend on it.
 """
 
 HASH = "f065d10503bd9ca6480fc920baf3e5519ef4ef55036e95766574b80dfb49082f"
@@ -17,12 +18,12 @@ def scenario(**changes) -> dict:
                 "floor": floor, "position_category": "ABCD"[index % 4],
             })
     found = {
-        "development": {"business_key": "DEMO-ALLOCATION-001", "name": "Demo", "city": "C", "state": "RF", "bairro": "B", "total_floors": 10},
+        "development": {"business_key": "HILLSIDE", "name": "Hillside", "city": "C", "state": "RF", "bairro": "B", "total_floors": 10},
         "towers": [{"business_key": "TOWER-1", "name": "One"}, {"business_key": "TOWER-2", "name": "Two"}],
         "typologies": [{"business_key": k, "private_area_m2": a, "uncovered_area_m2": u} for k, a, u in kinds],
         "units": units,
         "floor_bands": {"LOW": [1, 3], "MID": [4, 7], "HIGH": [8, 10]},
-        "parameter_set": {"code": "REFERENCE_ALLOCATION_V1", "version": 1, "parameters": [
+        "parameter_set": {"code": "AREAS", "version": 3, "parameters": [
             {"key": "UNCOVERED_AREA_FACTOR", "value_type": "NUMERIC", "numeric_value": "0.40"}]},
         "calibration_sets": [
             {"code": "FLOOR_BAND", "dimension": "FLOOR", "entries": [
@@ -31,8 +32,8 @@ def scenario(**changes) -> dict:
                 {"category_key": k, "factor": f} for k, f in zip("ABCD", ("1.00", "1.02", "1.04", "1.06"))]},
         ],
         "vgv_target": {"target_value": "10000000.00", "origin": "MANUAL"},
-        "override": {"run": "run2", "target_unit_code": "0101", "target_tower_business_key": "TOWER-1", "reason": "r",
-                     "override_delta": "50000.00", "decided_at": "2026-09-09T12:00:00+00:00"},
+        "override": {"run": "second", "target_unit_code": "0502", "target_tower_business_key": "TOWER-2", "reason": "view",
+                     "override_delta": "-1234.56", "decided_at": "2025-02-03T04:05:06+00:00"},
     }
     found.update(changes)
     return found

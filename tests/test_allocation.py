@@ -52,11 +52,11 @@ def test_golden_override(spark, tmp_path):
     events = source.overrides(rows)
     record = allocation.apply_overrides(found, events, keys)
     got = record.collect()[0]
-    assert (got["previous_price"], got["final_price"], got["vgv_impact"]) == (
-        Decimal("125066.70"), Decimal("175066.70"), Decimal("50000.00"))
+    before = by_unit(found)["TOWER-2", "0502"]["system_price"]
+    assert (got["previous_price"], got["final_price"], got["vgv_impact"]) == (before, before - Decimal("1234.56"), Decimal("-1234.56"))
     total = allocation.run_totals(found, record, 1).collect()[0]
     assert (total["system_vgv"], total["final_vgv"], total["vgv_delta_after_override"]) == (
-        Decimal("10000000.00"), Decimal("10050000.00"), Decimal("50000.00"))
+        Decimal("10000000.00"), Decimal("9998765.44"), Decimal("-1234.56"))
     stray = events.withColumn("unit_code", F.lit("9999"))
     assert allocation.override_errors(found, stray, keys).count() == 1
     assert allocation.apply_overrides(found, stray, keys).count() == 0
