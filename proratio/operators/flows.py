@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proratio.operators import promotion, staging
+from proratio.operators import promotion, references, staging
 from proratio.session import counted, stage
 from proratio.sources import mapping as mapping_source
 from proratio.sources import workbook
@@ -41,7 +41,8 @@ CANONICAL = {
     "pricing.run_calibration_sets": "id string, run_id string, calibration_set_id string, development_id string",
     "audit.candidate_entities": "id string, workbook_id string, sheet_name string, source_row int, entity_table string, entity_id string,"
     " development_id string",
-    "audit.data_lineage": "entity_schema string, entity_table string, entity_id string, development_id string, derived_from string",
+    "audit.data_lineage": "entity_schema string, entity_table string, entity_id string, development_id string, derived_from string,"
+    " data_source_id string",
 }
 STAGING = ["unit_candidates", "parameter_candidates", "calibration_candidates", "price_output_candidates", "mapping_review"]
 
@@ -109,4 +110,8 @@ def promote(manifest: Manifest, batch: str, mapping_version: str) -> bool:
         existing = {name: stored(manifest, name) for name in CANONICAL if name != "audit.data_lineage"}
         return promotion.promote(mine, books, existing)
 
-    return manifest.publish(f"promote:{batch}:{mapping_version}", tables)
+    def check(written):
+        # References lead to what is stored or in the batch; deferred ones are judged now that it is whole.
+        references.require(written, {name: stored(manifest, name) for name in CANONICAL})
+
+    return manifest.publish(f"promote:{batch}:{mapping_version}", tables, check)

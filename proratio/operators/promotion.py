@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proratio.functions.text import blank, development_key, entity_id, typed_value
+from proratio.session import attach
 
 SCENARIO = "IMPORTED_REFERENCE"
 PARAMETER_SET = "IMPORTED_PARAMETERS"
@@ -193,19 +194,20 @@ def parameters(candidates: DataFrame) -> DataFrame:
     return filled.withColumn("v", typed_value(F.col("value_text"), F.col("value_type_guess"))).select(
         entity_id(F.lit("pricing.parameters"), "development", "parameter_key_guess").alias("id"),
         entity_id(F.lit("pricing.parameter_sets"), scenario_id(), F.lit(PARAMETER_SET)).alias("parameter_set_id"),
-        F.col("parameter_key_guess").alias("key"), "v.*", development_id().alias("development_id"),
+        F.col("parameter_key_guess").alias("key"), "v.*", development_id().alias("development_id"), "workbook_id", "sheet_name", "source_cell_ref",
     )
 
 
 def calibration_entries(candidates: DataFrame) -> DataFrame:
     """One entry per set and category, the first by sheet and place; later ones stay unpromoted."""
+    place = F.struct("workbook_id", "sheet_name", "source_row", "source_cell_ref")
     first = _calibrations(candidates).groupBy("development", "dimension", F.col("category_key_guess").alias("category_key")).agg(
-        F.min_by("factor_value", F.struct("workbook_id", "sheet_name", "source_row", "source_cell_ref")).alias("factor")
+        F.min_by("factor_value", place).alias("factor"), F.min(place).alias("place")
     )
     return first.select(
         entity_id(F.lit("pricing.calibration_entries"), "development", "dimension", "category_key").alias("id"),
         _calibration_set().alias("calibration_set_id"), "dimension", "category_key",
-        F.round("factor", 6).cast("decimal(12,6)").alias("factor"), development_id().alias("development_id"),
+        F.round("factor", 6).cast("decimal(12,6)").alias("factor"), development_id().alias("development_id"), "place.*",
     )
 
 
@@ -219,23 +221,27 @@ def prices(candidates: DataFrame, unit_rows: DataFrame, ignore_sheet: bool = Fal
     key = ["workbook_id", "source_row"] if ignore_sheet else ["workbook_id", "sheet_name", "source_row"]
     matched = unit_rows.groupBy(*key).agg(F.min("id").alias("unit_id"))
     joined = priced.join(matched, key).select(
-        run_id().alias("run_id"), "unit_id", "price_value", "price_per_m2_value", "sheet_name", "source_row",
+        run_id().alias("run_id"), "unit_id", "price_value", "price_per_m2_value", "workbook_id", "sheet_name", "source_row",
         development_id().alias("development_id"),
     )
+    place = F.struct("workbook_id", "sheet_name", "source_row")
     # A unit has one imported price: the first candidate's.
     first = joined.groupBy("run_id", "unit_id", "development_id").agg(
-        F.min_by(F.struct("price_value", "price_per_m2_value"), F.struct("sheet_name", "source_row")).alias("p")
+        F.min_by(F.struct("price_value", "price_per_m2_value"), place).alias("p"), F.min(place).alias("place")
     )
     return first.select(
         entity_id(F.lit("pricing.unit_price_results"), "run_id", "unit_id").alias("id"), "run_id", "unit_id",
         F.col("p.price_value").alias("system_calculated_price"),
         F.col("p.price_per_m2_value").cast("decimal(12,2)").alias("system_calculated_price_per_m2"),
-        F.lit(ORIGIN).alias("result_origin"), "development_id",
+        F.lit(ORIGIN).alias("result_origin"), "development_id", "place.*",
     )
 
 
-def lineage(entities: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """One row per promoted entity: ``{schema.table: (rows, source)}``; rows carry id and development_id."""
+def lineage(entities: dict[str, tuple[DataFrame, str]], sources: DataFrame) -> DataFrame:
+    """One row per promoted entity, with the data source of its development: ``{schema.table: (rows, source)}``; rows carry id and development_id.
+
+    ``sources`` has the data source of each development (``id, development_id``).
+    """
     result = None
     for name, (rows, source) in entities.items():
         schema, table = name.split(".")
@@ -244,7 +250,8 @@ def lineage(entities: dict[str, tuple[DataFrame, str]]) -> DataFrame:
             F.col("development_id"), F.lit(source).alias("derived_from"),
         )
         result = one if result is None else result.unionByName(one)
-    return result
+    known = sources.select("development_id", F.col("id").alias("data_source_id"))
+    return attach(result, known, "development_id", known)
 
 
 def promote(tables: dict[str, DataFrame], workbooks: DataFrame, existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -277,7 +284,7 @@ def promote(tables: dict[str, DataFrame], workbooks: DataFrame, existing: dict[s
         "pricing.unit_price_results": "staging.price_output_candidates",
     }
     traced = {n: (fresh[n] if n != "core.developments" else fresh[n].withColumn("development_id", F.col("id")), s) for n, s in sources.items()}
-    fresh["audit.data_lineage"] = lineage(traced)
+    fresh["audit.data_lineage"] = lineage(traced, rows["audit.data_sources"])
     return fresh
 
 

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proratio.operators import formulas, profiling, promotion, staging
+from proratio.operators import formulas, lineage, profiling, promotion, references, staging
 from proratio.plans.registry import query
 from proratio.session import attach, counted, spread, stage
 from proratio.sources import mapping as mapping_source
@@ -354,7 +354,7 @@ def promote_labels(d):
     CASE WHEN value_type_guess IS NULL THEN value_text END AS text_value, CAST(NULL AS BOOLEAN) AS boolean_value, CAST(NULL AS DATE) AS date_value
     FROM parameter_candidates WHERE trim(value_text) <> ''""")
 def promote_parameters(d):
-    return promotion.parameters(cells(d).staged["parameter_candidates"]).drop("id", "parameter_set_id", "development_id")
+    return promotion.parameters(cells(d).staged["parameter_candidates"]).drop("id", "parameter_set_id", "development_id", "workbook_id", "sheet_name", "source_cell_ref")
 
 
 @query("promote_calibrations", f"""WITH {STAGED}, k AS (SELECT *, row_number() OVER (PARTITION BY workbook_id, dimension_guess, category_key_guess
@@ -461,6 +461,54 @@ def lineage_counts(d):
     return rows.groupBy("entity_schema", "entity_table", "derived_from").agg(F.count("*").alias("n"))
 
 
+CELL_LINES = f"""WITH {PRICED}, runs AS (SELECT DISTINCT workbook_id, {DEV.format(w='workbook_id')} AS k FROM sheets),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY workbook_id, dimension_guess, category_key_guess ORDER BY sheet_name, source_row NULLS FIRST, source_cell_ref NULLS FIRST) AS n
+      FROM calibration_candidates WHERE trim(category_key_guess) <> '' AND factor_value IS NOT NULL)
+    SELECT 'pricing.unit_price_results' AS start_kind, sha256('pricing.unit_price_results:' || sha256('pricing.runs:' || k || ':IMPORTED_REFERENCE_RUN') || ':' ||
+      sha256('core.units:' || k || ':' || coalesce(tower_ref, '') || ':' || unit_ref)) AS start_id,
+      workbook_id || '|' || sheet_name || '|D' || source_row AS cell, dd AS value
+      FROM price_candidates p JOIN unit_candidates u USING (workbook_id, sheet_name, source_row) JOIN runs USING (workbook_id) JOIN grid USING (workbook_id, sheet_name, source_row)
+      WHERE price_value IS NOT NULL
+    UNION ALL SELECT 'pricing.parameters', sha256('pricing.parameters:' || k || ':' || parameter_key_guess), workbook_id || '|' || sheet_name || '|' || source_cell_ref, value_text
+      FROM parameter_candidates JOIN runs USING (workbook_id) WHERE trim(value_text) <> ''
+    UNION ALL SELECT 'pricing.calibration_entries', sha256('pricing.calibration_entries:' || k || ':' || dimension_guess || ':' || category_key_guess),
+      workbook_id || '|' || sheet_name || '|' || coalesce(source_cell_ref, 'G' || source_row), coalesce(g, (SELECT max(value) FROM c WHERE c.workbook_id = f.workbook_id
+        AND c.sheet_name = f.sheet_name AND c.cell_ref = f.source_cell_ref))
+      FROM firsts f JOIN runs USING (workbook_id) LEFT JOIN grid USING (workbook_id, sheet_name, source_row) WHERE n = 1"""
+
+
+@query("lineage_to_cells", CELL_LINES)
+def lineage_to_cells(d):
+    """From every imported price, parameter and factor over its candidate to its cell."""
+    x = cells(d)
+    return lineage.to_cells(x.staged, x.mapping, x.cells, x.map_bound)
+
+
+ORPHANS = f"""WITH {PRICED}, planted AS (
+    SELECT 'core.units.tower_id' AS reference, count(*) AS rows FROM unit_candidates WHERE source_row % 97 = 0
+    UNION ALL SELECT 'core.units.tower_id+development_id', count(*) FROM unit_candidates WHERE source_row % 97 = 0
+    UNION ALL SELECT 'pricing.unit_price_results.run_id', count(*) FROM imported WHERE CAST(floor(price_value) AS BIGINT) % 50 = 0
+    UNION ALL SELECT 'pricing.parameters.parameter_set_id', count(*) FROM parameter_candidates WHERE trim(value_text) <> ''
+    UNION ALL SELECT 'audit.data_lineage.data_source_id', count(*) FROM parameter_candidates WHERE trim(value_text) <> ''
+    UNION ALL SELECT 'raw.cells.workbook_id+sheet_name', count(*) FROM c WHERE column_letters = 'E' AND row_number % 20 = 2)"""
+
+
+@query("stored_references", f"{ORPHANS} SELECT * FROM planted WHERE rows > 0")
+def stored_references(d):
+    """All references of a promoted batch: planted orphans, inline, composite and deferred, and one table written before its parent."""
+    x = cells(d)
+    found = promotion.promote(x.staged, x.workbooks)
+    lost = lambda column, when: F.when(when, F.lit("lost")).otherwise(F.col(column))
+    found["core.units"] = found["core.units"].withColumn("tower_id", F.when(F.col("source_row") % 97 == 0, F.lit("lost")).otherwise(F.col("tower_id")))
+    found["pricing.unit_price_results"] = found["pricing.unit_price_results"].withColumn(
+        "run_id", lost("run_id", F.floor("system_calculated_price").cast("bigint") % 50 == 0))
+    found["audit.data_lineage"] = found["audit.data_lineage"].withColumn("data_source_id", lost("data_source_id", F.col("entity_table") == "parameters"))
+    stray = (F.col("column_letters") == "E") & (F.col("row_number") % 20 == 2)
+    batch = {"raw.cells": x.cells.withColumn("sheet_name", lost("sheet_name", stray)), "pricing.parameters": found["pricing.parameters"]}
+    batch |= {name: found[name] for name in references.ORDER if name in found and name not in batch}
+    return references.report(references.orphans(batch, {"raw.sheets": x.sheets})).drop("keys")
+
+
 @query("idempotent_append", f"""WITH {STAGED} SELECT unit_ref AS unit_code, sheet_name FROM unit_candidates WHERE source_row % 3 <> 0""")
 def idempotent_append(d):
     """Every unit offered twice to a table that holds each third row already."""
