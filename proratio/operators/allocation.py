@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from proratio.functions.exact import div, half_even, half_of, mul_div, power, unscale, whole
 from proratio.functions.text import DIGEST_WORDS, digest_sums, fixed_text, json_object, json_string
-from proratio.session import attach, stage
+from proratio.session import attach, skew_join, stage
 
 ALGORITHM = "REFERENCE_ALLOCATION_V1"
 UNCOVERED = "UNCOVERED_AREA_FACTOR"
@@ -352,13 +352,14 @@ def adjustment_trail(allocated: DataFrame) -> DataFrame:
 def apply_overrides(prices: DataFrame, events: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """One priced record per override event: previous, proposed = final, impact.
 
+    A unit may have any share of the events: the join divides the rows of such a unit.
     The system price is never changed. Events that name no priced unit are left
     out here; ``override_errors`` lists them. ``carry`` names more columns of the
     priced unit to keep.
     """
     final = F.round(F.col("system_price") + F.col("override_delta"), 2).cast("decimal(18,2)")
     return (
-        events.join(prices.select(*keys, *carry, "system_price"), keys, "inner")
+        skew_join(events, prices.select(*keys, *carry, "system_price"), keys)
         .withColumn("previous_price", F.col("system_price"))
         .withColumn("proposed_price", final)
         .withColumn("final_price", final)

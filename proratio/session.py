@@ -3,6 +3,7 @@
 ``stage``   cuts lineage by writing a table to the shared checkpoint folder.
 ``attach``  joins a small keyed table onto a large one; it broadcasts only when a
             counted bound proves the small side is small.
+``skew_join`` joins two large tables; it measures which keys are hot, and divides those alone.
 ``rows_within`` is that bounded count.
 """
 
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 # columns, so this is at most some tens of megabytes per executor.
 BROADCAST_ROWS = 200_000
 
-# Tasks the rows of one key are divided among where a broadcast is not allowed.
+# Tasks the rows of a hot key are divided among where a broadcast is not allowed.
 SALTS = 32
+# A key is hot if it has more than one in so many of the rows; so there are fewer hot keys than this.
+HOT = 256
 
 _local_root: list[str] = []
 
@@ -108,15 +111,37 @@ def attach(big: DataFrame, small: DataFrame, on, bound, how: str = "left") -> Da
     dimension its keys come from). Within BROADCAST_ROWS the small side is
     broadcast, so ``big`` is not shuffled.
 
-    Beyond it the join is shuffled, with a salt: the rows of one key go to up to
-    SALTS tasks, each with its own copy of the small row. A key that holds a third
-    of all rows fills no task, and what groups by the key afterwards combines
-    rows first.
+    Beyond it the join is a ``skew_join``.
     """
     if fits(bound):
         return big.join(F.broadcast(small), on, how)
+    return skew_join(big, small, on, how)
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that more than one in ``HOT`` rows of ``df`` have, stored; counted where the rows are."""
+    total = df.count()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return stage(counts.where(F.col("_n") > max(total // HOT, SALTS)).select(*keys))
+
+
+def skew_join(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Shuffled join (inner, left, left_semi or left_anti) in which a key of ``big`` may hold any share of its rows.
+
+    The hot keys are measured first, and only their rows get a salt and only their rows
+    of ``small`` are copied, once per salt; all else joins as it is. Rows of ``big``
+    with a NULL key match nothing and are dealt out as well. Salts follow from a
+    row's values and partition, so a repeated task gives them again.
+    """
     keys = [on] if isinstance(on, str) else list(on)
-    # The partition is a salt that a repeated task gives again.
-    salted = big.withColumn("_salt", F.spark_partition_id() % SALTS)
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = hot_keys(big, keys)
+    values = [F.col(c) for c, kind in big.dtypes if not kind.startswith(("map", "variant", "interval"))]
+    salt = F.pmod(F.xxhash64(*values) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
+    none = F.lit(False)
+    for k in keys:
+        none = none | F.col(k).isNull()
+    marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_hot") | none, salt).otherwise(0)).drop("_hot")
+    copies = small.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

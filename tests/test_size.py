@@ -51,6 +51,41 @@ def test_hot_key_is_divided(spark, nothing_fits):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.fixture
+def shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_unit_with_a_third_of_all_decisions_fills_no_task(spark, shuffled):
+    events = spark.range(0, 48000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 2000).alias("unit_id"), F.lit("1.00").cast("decimal(18,2)").alias("override_delta"), F.col("id").alias("event_id"))
+    prices = spark.range(2000).select(F.col("id").alias("unit_id"), F.lit("10.00").cast("decimal(18,2)").alias("system_price"))
+    priced = allocation.apply_overrides(prices, events, ["unit_id"])
+    sizes = sorted(r["n"] for r in priced.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+    assert sum(sizes) == 48000 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    assert priced.select("event_id").distinct().count() == 48000
+
+
+def test_only_hot_keys_are_copied(spark, shuffled):
+    big = spark.range(0, 30000, 1, 8).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.range(30000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert [r["k"] for r in session.hot_keys(big.where("k is not null"), ["k"]).collect()] == [7]
+    joined = session.skew_join(big, small, "k", "left")
+    assert joined.count() == 30000 and joined.where("v is null").count() == big.where("k is null").count()
+    sizes = sorted(r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+    copied = small.join(session.hot_keys(big, ["k"]), "k").count()
+    assert copied == 1
+    for how, want in (("left_semi", 30000 - 3000), ("left_anti", 3000)):
+        assert session.skew_join(big, small, "k", how).count() == want
+
+
 def test_allocation_without_broadcast(spark, tmp_path, nothing_fits):
     rows, units, targets, config = load(spark, tmp_path)
     found = allocation.allocate(units, targets, config)
