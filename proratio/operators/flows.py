@@ -44,6 +44,7 @@ CANONICAL = {
     "audit.data_lineage": "entity_schema string, entity_table string, entity_id string, development_id string, derived_from string,"
     " data_source_id string",
 }
+CANONICAL["staging.rejects"] = staging.REJECTS
 STAGING = ["unit_candidates", "parameter_candidates", "calibration_candidates", "price_output_candidates", "mapping_review"]
 
 
@@ -84,20 +85,36 @@ def ingest(spark: SparkSession, folder: str, manifest: Manifest) -> str | None:
     return batch
 
 
-def stage_mapping(spark: SparkSession, path: str, manifest: Manifest) -> bool:
-    """Stage all candidates of a mapping file; its content is the batch identity, so staging again adds nothing."""
+#: Share of rejects among what a mapping yields beyond which its batch is refused.
+MAX_REJECTS = 0.5
+
+
+def stage_mapping(spark: SparkSession, path: str, manifest: Manifest, max_rejects: float = MAX_REJECTS) -> bool:
+    """Stage all candidates of a mapping file; its content is the batch identity, so staging again adds nothing.
+
+    What could not be staged is written with the batch, as ``staging.rejects``. If that
+    is more than ``max_rejects`` of all it yields, the batch is refused.
+    """
     version = mapping_source.mapping_version(spark, path)
     entries = stage(mapping_source.read_mapping(spark, path))
     bound = counted(entries.select(F.explode_outer("columns")))
 
     def tables():
-        found = staging.stage_candidates(stored(manifest, "raw.cells"), entries, bound)
-        return {f"staging.{name}": df.select(*[f.split()[0] for f in SCHEMAS[f"staging.{name}"].split(", ")]) for name, df in found.items()}
+        cells = stored(manifest, "raw.cells")
+        found = staging.stage_candidates(cells, entries, bound)
+        tables = {f"staging.{name}": df.select(*[f.split()[0] for f in SCHEMAS[f"staging.{name}"].split(", ")]) for name, df in found.items()}
+        rows = staging.extract_rows(cells, entries, bound)
+        return tables | {"staging.rejects": staging.rejects(cells, entries, rows, stored(manifest, "raw.sheets"), bound)}
 
     def check(written):
         sheets = stored(manifest, "raw.sheets")
         if staging.orphans(written["staging.unit_candidates"], sheets).limit(1).collect():
             raise staging.MappingError("staged units of a sheet that is not stored")
+        lost = written["staging.rejects"].count()
+        kept = sum(df.count() for name, df in written.items() if name != "staging.rejects")
+        if lost > max_rejects * (lost + kept):
+            reasons = written["staging.rejects"].groupBy("reason").count().orderBy("reason").collect()  # as many as there are reasons
+            raise staging.MappingError(f"{lost} of {lost + kept} rejected: " + ", ".join(f"{r['reason']} {r['count']}" for r in reasons))
 
     return manifest.publish(f"stage:{version}", tables, check)
 

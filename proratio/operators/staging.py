@@ -159,6 +159,45 @@ def unreadable_numbers(rows: DataFrame) -> DataFrame:
     return rows.select(*SHEET, "source_row", F.explode(F.array_compact(fields)).alias("e")).select(*SHEET, "source_row", "e.*")
 
 
+#: Categories a row range can be staged as.
+ROW_CATEGORIES = ["unit", "calibration", "price_output"]
+REJECTS = "workbook_id string, sheet_name string, source_row int, source_cell_ref string, category string, field string, text string, reason string"
+
+
+def rejects(cells: DataFrame, mapping: DataFrame, rows: DataFrame, sheets: DataFrame, bound) -> DataFrame:
+    """What a mapping asked for and staging could not give, a row each with its reason.
+
+    ``rows`` are the extracted rows (``extract_rows``). Reasons: ``not_a_number`` (a filled
+    field or cell that should be one), ``no_cell``, ``only_a_cached_value`` (a calibration
+    is read without its formula cache), ``unknown_category`` (a row range nothing
+    stages), ``no_sheet`` (an entry for a sheet that is not stored).
+    """
+    none = F.lit(None)
+
+    def listed(df, row, ref, field, text, reason):
+        return df.select(*SHEET, row.cast("int").alias("source_row"), ref.cast("string").alias("source_cell_ref"), "category",
+                         field.cast("string").alias("field"), text.cast("string").alias("text"), reason.alias("reason"))
+
+    fields = F.array_compact(F.array(*[
+        F.when(~blank(F.col(f)) & F.col(f).try_cast(k).isNull(), F.struct(F.lit(f).alias("field"), F.col(f).alias("text"))) for f, k in NUMBERS.items()]))
+    unread = rows.where(F.col("category").isin(ROW_CATEGORIES)).select(*SHEET, "source_row", "category", F.explode(fields).alias("e"))
+    found = listed(unread, F.col("source_row"), none, F.col("e.field"), F.col("e.text"), F.lit("not_a_number"))
+    high = mapping.where("confidence = 'HIGH'")
+    odd = high.where((F.col("extraction") == "row_range") & ~F.coalesce(F.col("category").isin(ROW_CATEGORIES), F.lit(False)))
+    found = found.unionByName(listed(odd, none, none, none, F.col("category"), F.lit("unknown_category")))
+    known = sheets.select(*SHEET).distinct()
+    lost = high.join(known, SHEET, "left_anti")
+    found = found.unionByName(listed(lost, none, F.col("cell_ref"), none, none, F.lit("no_sheet")))
+    single = extract_cells(cells, mapping.join(known, SHEET, "left_semi"), bound).where(F.col("category").isin("parameter", "calibration"))
+    number = (F.col("category") == "calibration") | (F.col("value_type_guess") == "NUMERIC")
+    read = F.when(F.col("category") == "calibration", F.col("raw")).otherwise(F.col("effective"))
+    reason = (
+        F.when(blank(F.col("effective")), "no_cell").when(blank(read), "only_a_cached_value")
+        .when(F.coalesce(number, F.lit(False)) & read.try_cast("decimal(18,6)").isNull(), "not_a_number"))
+    name = F.coalesce("parameter_key_guess", "category_key_guess")
+    return found.unionByName(listed(single, none, F.col("cell_ref"), name, F.col("effective"), reason).where("reason is not null"))
+
+
 def stage_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows per staged table."""
     result = None
