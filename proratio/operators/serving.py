@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from proratio.operators.allocation import latest
-from proratio.session import attach
+from proratio.session import attach, checkpoint_root, stage
 
 PRICE = "decimal(18,2)"
 NO_TOWER = "SEM-TORRE"
@@ -251,3 +255,58 @@ def units_table(units: DataFrame, search: str = "", status: str | None = None, s
     first = F.col(sort).desc() if descending else F.col(sort)
     ordered = units.orderBy(first, "development_id", "tower", "unit_code")
     return ordered.offset(page * page_size).limit(page_size)
+
+
+@dataclass(frozen=True)
+class StoredOrder:
+    """A table in a stored order: range partitions, and per range its first place, its rows and its last key."""
+
+    path: str
+    schema: StructType
+    keys: tuple[tuple[str, bool], ...]
+    ranges: DataFrame
+
+    def _rows(self, chosen: DataFrame) -> DataFrame:
+        """Rows of the chosen ranges with their place; the other partitions are pruned. There are as many ranges as tasks wrote."""
+        stored = self.ranges.sparkSession.read.schema(self.schema).parquet(self.path)
+        return stored.join(F.broadcast(chosen.select("_range", "_first")), "_range").withColumn("_place", F.col("_first") + F.col("_at"))
+
+    def _page(self, rows: DataFrame, size: int) -> DataFrame:
+        return rows.orderBy("_place").limit(size).drop("_range", "_first", "_at", "_place")
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page ``number`` (from 0); it reads the one or two ranges that hold it, however deep it lies."""
+        first = number * size
+        chosen = self.ranges.where((F.col("_first") < first + size) & (F.col("_first") + F.col("_n") > first))
+        return self._page(self._rows(chosen).where(F.col("_place") >= first), size)
+
+    def after(self, key: dict, size: int) -> DataFrame:
+        """The ``size`` rows behind a key, which is that of the last row seen; rows that come or go before it shift nothing."""
+        def column(c, of):
+            return F.col(f"{of}.{c}") if of else F.col(c)
+
+        def passed(of):
+            beyond, same = F.lit(False), F.lit(True)
+            for name, descending in self.keys:
+                value = column(name, of)
+                beyond = beyond | (same & (value < F.lit(key[name]) if descending else value > F.lit(key[name])))
+                same = same & (value == F.lit(key[name]))
+            return beyond
+
+        ahead = self.ranges.where(passed("_last"))
+        end = ahead.groupBy().agg(F.min(F.col("_first") + F.col("_n")).alias("e")).scalar()
+        return self._page(self._rows(ahead.where(F.col("_first") < end + size)).where(passed("")), size)
+
+
+def store_order(units: DataFrame, keys: list[tuple[str, bool]], ranges: int) -> StoredOrder:
+    """Sort once, into ``ranges`` partitions; ``keys`` are (column, descending), unique together and never NULL."""
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c, descending in keys]
+    placed = units.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = placed.withColumn("_range", F.shiftright("_id", 33).cast("int")).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    path = f"{checkpoint_root(units.sparkSession)}/proratio/{uuid.uuid4().hex}"
+    placed.write.partitionBy("_range").parquet(path)
+    stored = units.sparkSession.read.schema(placed.schema).parquet(path)
+    found = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct(*[c for c, _ in keys]), "_at").alias("_last"))
+    # One row per range: few enough for one task to number.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return StoredOrder(path, placed.schema, tuple(keys), stage(found.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from proratio.operators import allocation, privacy, promotion, quality, reproduction, serving, similarity
+from proratio.operators import allocation, privacy, promotion, quality, reproduction, serving, sets, similarity
 from proratio.plans import cells as cell_plans
 from proratio.plans import sql
 from proratio.plans.cells import STAGED
@@ -335,6 +335,38 @@ def units_with_towers(d):
     return reproduction.units_with_towers(units, towers).select("unit_code", "sheet_name", "source_row", "tower_key")
 
 
+# --- sets ---
+
+
+def _two_sided(left: str, right: str, name: str, a: str, b: str) -> str:
+    return (f"SELECT '{name}' AS set_name, development_id, k AS \"key\", '{a}' AS only FROM ({left} EXCEPT {right})"
+            f" UNION ALL SELECT '{name}', development_id, k, '{b}' FROM ({right} EXCEPT {left})")
+
+
+_FLOORS_LEFT = "SELECT development_id, CAST(floor AS VARCHAR) AS k FROM units"
+_FLOORS_RIGHT = "SELECT g AS development_id, CAST(f AS VARCHAR) AS k FROM floors"
+_BUYERS_LEFT = "SELECT c_nationkey AS development_id, CAST(c_custkey AS VARCHAR) AS k FROM customer"
+_BUYERS_RIGHT = "SELECT c_nationkey AS development_id, CAST(o_custkey AS VARCHAR) AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'F'"
+
+
+@query(
+    "set_differences",
+    f"WITH {sql.RULES} {_two_sided(_FLOORS_LEFT, _FLOORS_RIGHT, 'floors', 'units', 'factors')} UNION ALL "
+    f"{_two_sided(_BUYERS_LEFT, _BUYERS_RIGHT, 'buyers', 'customers', 'orders')}",
+)
+def set_differences(d):
+    """Floors that units have against floors that factors are listed for, and customers against those with an open order: both sides of each."""
+    def named(left, right, name, a, b):
+        return sets.differences(left, right, ["development_id", "key"], a, b).select(F.lit(name).alias("set_name"), "development_id", "key", "only")
+
+    floors = named(
+        d.units.select("development_id", F.col("floor").cast("string").alias("key")),
+        d.floor_table.select(F.col("group_id").alias("development_id"), F.col("category_key").alias("key")), "floors", "units", "factors")
+    customers = d.table("customer").select(F.col("c_nationkey").alias("development_id"), F.col("c_custkey").cast("string").alias("key"))
+    open_ = d.table("orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").cast("string").alias("key"))
+    return floors.unionByName(named(customers, open_.join(customers, "key"), "buyers", "customers", "orders"))
+
+
 # --- allocation from tables, lineage, publishing ---
 
 

@@ -413,6 +413,26 @@ def units_table_page(d):
     )
 
 
+ORDER = [("final_price", True), ("development_id", False), ("tower", False), ("unit_code", False)]
+PAGE, PAGE_ROWS = 300, 3
+
+
+@query(
+    "units_table_after",
+    f"""WITH {sql.CURRENT} SELECT development_id, tower, unit_code, final_price FROM enriched
+    ORDER BY final_price DESC, development_id, tower, unit_code LIMIT {2 * PAGE_ROWS} OFFSET {PAGE * PAGE_ROWS}""",
+)
+def units_table_after(d):
+    """A deep page by its number, and the one behind its last row by that row's key; neither sorts or reads what lies before."""
+    order = serving.store_order(d.dashboard_units, ORDER, 16)
+    page = stage(order.page(PAGE, PAGE_ROWS))
+    columns = ["development_id", "tower", "unit_code", "final_price"]
+    last = page.select(*columns).orderBy("final_price", F.desc("development_id"), F.desc("tower"), F.desc("unit_code")).first()
+    if last is None:
+        return page.select(*columns)
+    return page.select(*columns).union(order.after(last.asDict(), PAGE_ROWS).select(*columns))
+
+
 # --- rule graph ---
 
 
