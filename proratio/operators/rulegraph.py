@@ -42,6 +42,37 @@ INPUT = "decimal(18,6)"
 GROUP_OPERATIONS = ("group_sum", "multiply_by_parameter")
 
 
+# Operations whose type follows wider operands; the others divide, and keep the places they have.
+WIDENED = ("sum", "add", "weighted_sum", "multiply_factors", "group_sum")
+
+
+def _digits(kind: str) -> tuple[int, int]:
+    """Whole digits and places of a decimal type."""
+    precision, scale = kind.removeprefix("decimal(").removesuffix(")").split(",")
+    return int(precision) - int(scale), int(scale)
+
+
+def _widened(rule: dict, operands: dict[str, tuple[int, int]], least: tuple[int, int]) -> str:
+    """A type that holds every result of a rule over operands of these digits; refused beyond 38."""
+    op, o = rule["operation"], rule.get("operands", {})
+    if op == "multiply_factors":
+        whole_, places = sum(w for w, _ in operands.values()) + len(o.get("factors", [])), sum(s for _, s in operands.values())
+    elif op == "weighted_sum":
+        weight = operands.get(o.get("weight_parameter"), (1, 0))
+        parts = [operands[f] for f in o.get("base_fields", [])]
+        if o.get("weighted_field"):
+            field = operands[o["weighted_field"]]
+            parts.append((field[0] + weight[0], field[1] + weight[1]))
+        whole_, places = max(w for w, _ in parts) + len(str(len(parts))), max(s for _, s in parts)
+    else:
+        grown = 10 if op == "group_sum" else len(str(len(operands)))
+        whole_, places = max(w for w, _ in operands.values()) + grown, max(s for _, s in operands.values())
+    whole_, places = max(whole_, least[0]), max(places, min(least[1], 38 - whole_) if whole_ < 38 else 0)
+    if whole_ + places > 38:
+        raise RulesetError(f"rule {rule['output']} needs {whole_ + places} digits; declare its type, or narrower inputs")
+    return f"decimal({whole_ + places},{places})"
+
+
 class RulesetError(ValueError):
     """A ruleset that cannot be evaluated: unknown operation, missing variable or cycle."""
 
@@ -63,6 +94,7 @@ class Ruleset:
             if derived:
                 raise RulesetError(f"rule {output}: lookup keys are read from the input record, not from {derived}")
         self.order = self._order()
+        self.types = self._types()
 
     def only(self, outputs: list[str]) -> "Ruleset":
         """The rules these outputs need, blocked ones included."""
@@ -116,6 +148,30 @@ class Ruleset:
             done += ready
         return done
 
+    def _types(self) -> dict[str, str]:
+        """Decimal type of each input that declares one, and of each rule: its own, that of its operation, or one as wide as its operands need."""
+        found = {n: spec["type"] for n, spec in self.inputs.items() if isinstance(spec, dict) and spec.get("type")}
+        wide = set(found)
+        for output in self.order:
+            rule = self.rules[output]
+            own = TYPES.get(rule["operation"], INPUT)
+            operands = [u for u in [*self.uses[output], rule.get("operands", {}).get("weight_parameter")] if u]
+            if rule.get("type"):
+                own = rule["type"]
+            elif wide & set(operands) and rule["operation"] in WIDENED:
+                own = _widened(rule, {u: _digits(found.get(u, INPUT)) for u in operands}, _digits(own))
+                wide.add(output)
+            found[output] = own
+        return found
+
+    @property
+    def numbers(self) -> list[str]:
+        """Inputs that are read as numbers."""
+        keys = {k for r in self.rules.values() for k in _key_fields(r)}
+        names = [n for o, r in self.rules.items() for n in [
+            *[u for u in self.uses[o] if u not in _key_fields(r)], *[r.get("operands", {}).get(p) for p in ("weight_parameter", "parameter")]]]
+        return [n for n in self.inputs if n in names and n not in keys]
+
     @property
     def blocked(self) -> dict[str, str]:
         """Blocked outputs and why, directly or through what they use."""
@@ -144,6 +200,31 @@ def check_inputs(units: DataFrame, ruleset: Ruleset) -> None:
         raise TypeError(f"float inputs are not allowed: {floats}")
 
 
+def input_rejects(units: DataFrame, ruleset: Ruleset) -> DataFrame:
+    """(unit_id, group_id, input, text, reason): texts of numeric inputs that their type cannot hold as they stand.
+
+    Reasons: ``not_a_number``; ``too_long`` (more whole digits than the type has);
+    ``too_many_places`` (it would be rounded). A missing value is no reject: it blocks.
+    """
+    kinds = dict(units.dtypes)
+    found = []
+    for name in ruleset.numbers:
+        if kinds.get(name) != "string":
+            continue
+        whole_, places = _digits(ruleset.types.get(name, INPUT))
+        text = F.trim(F.col(name))
+        plain = text.rlike(r"^[+-]?[0-9]*\.?[0-9]+$|^[+-]?[0-9]+\.$")
+        used = F.length(F.regexp_extract(text, r"\.([0-9]*?)0*$", 1))
+        lead = F.length(F.regexp_extract(text, r"^[+-]?0*([0-9]*)", 1))
+        reason = (
+            F.when(text == "", None).when(~plain, F.when(text.try_cast(f"decimal({whole_ + places},{places})").isNull(), "not_a_number"))
+            .when(lead > whole_, "too_long").when(used > places, "too_many_places"))
+        found.append(F.when(reason.isNotNull(), F.struct(F.lit(name).alias("input"), F.col(name).alias("text"), reason.alias("reason"))))
+    if not found:
+        return units.select("unit_id", "group_id", F.lit("").alias("input"), F.lit("").alias("text"), F.lit("").alias("reason")).limit(0)
+    return units.select("unit_id", "group_id", F.inline(F.array_compact(F.array(*found))))
+
+
 def _value(units: DataFrame, name: str) -> Column:
     """An input as a number (text that is none becomes NULL), a rule's output as it is."""
     kind = dict(units.dtypes)[name]
@@ -263,6 +344,10 @@ def evaluate(units: DataFrame, ruleset: Ruleset, *, group: str = "group_id", ord
     by rule output. ``bound`` proves the number of groups.
     """
     check_inputs(units, ruleset)
+    for name in ruleset.numbers:
+        # Inputs that declare a type are read in it; lookups read the text.
+        if ruleset.inputs[name].get("type") and dict(units.dtypes).get(name) == "string":
+            units = units.withColumn(name, F.col(name).try_cast(ruleset.inputs[name]["type"]))
     tables = tables or {}
     blocked = ruleset.blocked
     is_group = {o for o, r in ruleset.rules.items() if r["operation"] in GROUP_OPERATIONS}
@@ -278,7 +363,7 @@ def evaluate(units: DataFrame, ruleset: Ruleset, *, group: str = "group_id", ord
                 continue
             if any(u in pending for u in ruleset.uses[output]) and output not in blocked:
                 continue
-            kind = rule.get("type", TYPES.get(rule["operation"], INPUT))
+            kind = ruleset.types[output]
             if output in blocked:
                 units = units.withColumn(output, F.lit(None).cast(kind))
             elif rule["operation"] == "lookup_table":
@@ -306,14 +391,14 @@ def evaluate(units: DataFrame, ruleset: Ruleset, *, group: str = "group_id", ord
             if levels:
                 units = stage(units)
             levels += 1
-            rows = _group_rows(units, [ruleset.rules[o] for o in level], group, ordinal, is_group)
+            rows = _group_rows(units, [{**ruleset.rules[o], "type": ruleset.types[o]} for o in level], group, ordinal, is_group)
             earlier = [c for c in units.columns if c.startswith("_g_")]
             units = attach(units, rows, group, bound)
             for output in level:
                 rule = ruleset.rules[output]
                 if f"_g_{output}" not in units.columns:
                     base = F.col(f"_g_{rule['operands']['field']}") if f"_g_{rule['operands']['field']}" in earlier else F.lit(None)
-                    kind = rule.get("type", TYPES[rule["operation"]])
+                    kind = ruleset.types[output]
                     units = units.withColumn(f"_g_{output}", (base * F.col(f"_p_{output}")).cast(kind))
                 pending.remove(output)
                 done.add(output)

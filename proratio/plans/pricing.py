@@ -499,6 +499,20 @@ def rule_result_hash(d):
     return rulegraph.result_hash(d.evaluated_rules(fields), fields)
 
 
+@query(
+    "rule_input_rejects",
+    f"""WITH {sql.RULES} SELECT unit_id, group_id, 'override_amount_derived' AS input, 'n/d' AS text, 'not_a_number' AS reason FROM rules WHERE unit_id % 333 = 0 AND group_id % 6 = 1
+    UNION ALL SELECT unit_id, group_id, 'closed_area', CAST(closed_area AS VARCHAR) || '00001', 'too_many_places' FROM rules WHERE unit_id % 101 = 0
+    UNION ALL SELECT unit_id, group_id, 'closed_area', '1000000000000' || CAST(closed_area AS VARCHAR), 'too_long' FROM rules WHERE unit_id % 101 <> 0 AND unit_id % 103 = 0""",
+)
+def rule_input_rejects(d):
+    """Areas given as texts, some of them longer than their type, some with more places, and amounts that are no numbers."""
+    text = F.col("closed_area").cast("string")
+    units = d.rule_units.withColumn("closed_area", F.when(F.col("unit_id") % 101 == 0, F.concat(text, F.lit("00001")))
+                                    .when(F.col("unit_id") % 103 == 0, F.concat(F.lit("1000000000000"), text)).otherwise(text))
+    return rulegraph.input_rejects(units, RULESET)
+
+
 # --- reproduction ---
 
 
