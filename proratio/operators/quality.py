@@ -101,6 +101,11 @@ def violations(df: DataFrame, rules: list[Rule], key: list[str]) -> DataFrame:
     return result
 
 
+def applicable(df: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """The rules whose columns a table has; a table may hold part of an entity's columns."""
+    return [r for r in rules if set(r.columns) <= set(df.columns)]
+
+
 def report(found: DataFrame) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count("*").alias("violations"))
 

@@ -113,10 +113,7 @@ def broken_entities(d):
         "row_number", F.when(at("C", 40), 0).otherwise(F.col("row_number"))).unionByName(twice)
     found = quality.violations(cells, quality.ENTITY_RULES["raw.cells"], ["workbook_id", "sheet_name", "cell_ref"])
     units = promotion.units(x.staged["unit_candidates"])
-    # Units have what these rules ask for; other unit rules need columns that promotion does not fill.
-    known = {"development_id_not_null", "unit_code_not_null", "closed_area_m2_not_null", "closed_area_m2_not_negative"}
-    rules = [r for r in quality.ENTITY_RULES["core.units"] if r.id in known]
-    return found.unionByName(quality.violations(units, rules, ["id"]))
+    return found.unionByName(quality.violations(units, quality.applicable(units, quality.ENTITY_RULES["core.units"]), ["id"]))
 
 
 @query("stored_entity_rules", f"{PLANTED_SQL} SELECT * FROM planted WHERE violations > 0")
