@@ -309,6 +309,51 @@ def f_p_value(f: float, d1: int, d2: int) -> float:
     return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
+# --- certificate ----------------------------------------------------------
+
+
+def certificate(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """The estimate judged from its residuals alone, one row per regressor asked for.
+
+    ``residual_product`` is the regressor's product with the residuals over both lengths, 0 for
+    least squares whatever the fit was computed by; ``std_error`` is the HC3 error and ``vif`` the
+    inflation of the variance, from the inverse and the regressor's own spread. ``rows`` comes from
+    ``design``; each task adds up four sums per regressor. Regressors the fit dropped have ``kept``
+    false and nothing else; so has every regressor where there are no rows.
+    """
+    at = {n: i for i, n in enumerate(names)}
+    x = F.array(*[F.element_at("x", at[n] + 1) for n in model.names])
+
+    def numbers(values) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    def dot(a, b) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+    train = rows.where("not held_out").select("y", x.alias("x"))
+    turned = train.select(
+        "x", (F.col("y") - dot("x", numbers(model.beta))).alias("e"),
+        F.transform(F.array(*[numbers(r) for r in model.inverse]), lambda r: dot(r, F.col("x"))).alias("z"),
+    )
+    long = turned.select(
+        "e", (F.col("e") / (1 - dot("x", "z"))).alias("w"), F.posexplode(F.arrays_zip("x", "z")).alias("i", "c")
+    ).select("i", "e", "w", "c.x", "c.z")
+    sums = long.groupBy("i").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("e") * F.col("e")).alias("ee"), F.sum(F.col("x") * F.col("e")).alias("xe"),
+        F.sum(F.col("x") * F.col("x")).alias("xx"), F.var_pop("x").alias("spread"), F.sum(F.pow(F.col("z") * F.col("w"), F.lit(2.0))).alias("zw"),
+    )
+    known = [(n, i, float(model.beta[i]), float(model.inverse[i, i])) for i, n in enumerate(model.names)]
+    asked = rows.sparkSession.createDataFrame(
+        known + [(n, None, None, None) for n in model.dropped], "term string, i int, beta double, inverse double"
+    )
+    # One row per regressor on either side.
+    return asked.join(F.broadcast(sums), "i", "left").select(
+        "term", F.col("n").isNotNull().alias("kept"), F.when(F.col("n").isNotNull(), F.col("beta")).alias("beta"),
+        F.try_divide(F.col("xe"), F.sqrt(F.col("xx") * F.col("ee"))).alias("residual_product"), F.sqrt("zw").alias("std_error"),
+        F.when(F.col("i") > 0, F.col("inverse") * F.col("spread") * F.col("n")).alias("vif"),
+    )
+
+
 # --- use ------------------------------------------------------------------
 
 

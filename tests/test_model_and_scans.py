@@ -40,6 +40,28 @@ def test_fit_agrees_with_least_squares(spark):
     assert m["test_n"] == held.sum()
 
 
+def test_certificate_tells_the_fit_from_others(spark):
+    rng = np.random.default_rng(8)
+    n = 600
+    x = np.column_stack([np.ones(n), rng.normal(size=n) + 3, rng.normal(size=n), np.full(n, 2.0)])
+    x[:, 2] += 0.8 * x[:, 1]
+    y = x[:, :3] @ [1.0, 0.3, -0.2] + rng.normal(size=n) * 0.2
+    rows = [(i, float(y[i]), float(np.exp(y[i])), [float(v) for v in x[i]], i % 4 == 0) for i in range(n)]
+    design = spark.createDataFrame(rows, "key long, y double, price double, x array<double>, held_out boolean").repartition(6)
+    names = ["intercept", "a", "b", "constant"]
+    model = hedonic.fit(design, names)
+    found = {r["term"]: r for r in hedonic.certificate(design, model, names).collect()}
+    assert set(found) == set(names) and not found["constant"]["kept"] and found["constant"]["beta"] is None
+    for name, error in zip(model.names, model.errors()):
+        assert abs(found[name]["residual_product"]) < 1e-9 and abs(found[name]["std_error"] - error) < 1e-9
+    assert found["intercept"]["vif"] is None
+    assert all(abs(found[k]["vif"] - model.vif[k]) < 1e-7 for k in ("a", "b"))
+    model.beta[1] += 0.01
+    assert all(abs(r["residual_product"]) > 1e-3 for r in hedonic.certificate(design, model, names).where("kept and term <> 'b'").collect())
+    none = hedonic.certificate(design.limit(0), model, names).collect()
+    assert len(none) == 4 and not any(r["kept"] for r in none)
+
+
 def test_p_values():
     # Published table values.
     assert abs(hedonic.t_p_value(2.228, 10) - 0.05) < 1e-4
