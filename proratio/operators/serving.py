@@ -168,19 +168,66 @@ def document_lines(units: DataFrame, keys: list[str], fields: list[str]) -> Data
     return units.select(*keys, F.to_json(F.struct(*fields)).alias("document"))
 
 
-def summary_document(meta: dict[str, str], label: DataFrame, units: DataFrame, figures: DataFrame,
-                     validation: DataFrame) -> DataFrame:
-    """The head of the dashboard document: everything but the unit lists."""
-    labels = units.select("tower", "typology").distinct().agg(
-        F.array_sort(F.collect_set("tower")).alias("towers"), F.array_sort(F.collect_set("typology")).alias("typologies")
-    )
-    head = F.struct(*[F.lit(v).alias(k) for k, v in meta.items()])
-    return (
-        labels.join(F.broadcast(label.select(F.struct("name").alias("development"))))
-        .join(F.broadcast(figures.select(F.struct(*figures.columns).alias("kpis"))))
-        .join(F.broadcast(validation.select(F.struct(*validation.columns).alias("validation"))))
-        .select(F.to_json(F.struct(head.alias("meta"), "development", "towers", "typologies", "kpis", "validation")).alias("document"))
-    )
+def head_fields(meta: dict[str, str], label: DataFrame, figures: DataFrame, validation: DataFrame) -> dict[str, DataFrame]:
+    """The objects at the head of the dashboard document, each one row of JSON."""
+    one = label.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in meta.items()])
+    objects = {"meta": one, "development": label, "kpis": figures, "validation": validation}
+    return {k: df.select(F.to_json(F.struct(*df.columns)).alias("document")) for k, df in objects.items()}
+
+
+def labels(units: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column as JSON texts beside themselves, as elements of a list."""
+    return units.where(F.col(column).isNotNull()).select(column).distinct().select(column, F.to_json(F.array(column)).alias("t")).select(
+        column, F.expr("substr(t, 2, length(t) - 2)").alias("document"))
+
+
+def nested_document(head: dict[str, DataFrame], lists: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """One JSON object as lines: fields of ``head`` (one row each with ``document``), then lists of any length.
+
+    A list is rows with ``document`` (the element's JSON) and the keys that order it, unique and never
+    NULL. ``section`` and a struct of keys per list order the lines; an element but the first of its
+    list begins with a comma, and the first is found by one aggregate per list. Repeated first keys
+    would leave out a comma, so they are an error. An empty list is ``[]``, and a ``head`` of no rows
+    leaves its field out, so the first field must have its row.
+    """
+    if not head:
+        raise ValueError("a document needs a field before its lists")
+    spark = next(iter(head.values())).sparkSession
+
+    def fixed(section: int, text: str) -> DataFrame:
+        return spark.range(1).select(F.lit(section).alias("section"), F.lit(text).alias("line"))
+
+    parts, section = [fixed(0, "{")], 1
+    for i, (name, df) in enumerate(head.items()):
+        parts.append(df.select(F.lit(section).alias("section"), F.concat(F.lit(f'{"," if i else ""}"{name}":'), "document").alias("line")))
+        section += 1
+    for name, (df, keys) in lists.items():
+        key = F.struct(*keys)
+        lowest = df.agg(F.min(key).alias("first"))
+        repeated = df.select(key.alias("k")).join(F.broadcast(lowest), F.col("k") == F.col("first")).count()
+        if repeated > 1:
+            raise ValueError(f"{name}: the first key occurs {repeated} times")
+        marked = df.select(key.alias("k"), "document").join(F.broadcast(lowest))
+        parts.append(fixed(section, f',"{name}":['))
+        parts.append(marked.select(
+            F.lit(section + 1).alias("section"), F.col("k").alias(f"key_{name}"),
+            F.concat(F.when(F.col("k") == F.col("first"), "").otherwise(","), "document").alias("line")))
+        parts.append(fixed(section + 2, "]"))
+        section += 3
+    parts.append(fixed(section, "}"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part, allowMissingColumns=True)
+    return found
+
+
+def write_nested(document: DataFrame, folder: str) -> None:
+    """Write the lines of ``nested_document`` so that the files of the folder, joined by name, are the document.
+
+    One range sort; a file holds a range of lines and none of them needs to know another's.
+    """
+    order = ["section", *[c for c in document.columns if c.startswith("key_")]]
+    document.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(folder)
 
 
 def lineage_trace(results: DataFrame, steps: Column, runs: DataFrame, overrides: DataFrame, validations: DataFrame,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from decimal import Decimal
 
@@ -11,7 +12,7 @@ from proratio.operators import allocation, reproduction, reproduction_runs, rule
 from proratio.plans import sql
 from proratio.plans.domain import CONFIG, LABELS, OVERRIDE_RUN, RULESET
 from proratio.plans.registry import query
-from proratio.session import attach, stage
+from proratio.session import attach, checkpoint_root, stage
 
 M = sql.M
 PRICE_COLUMNS = [
@@ -324,20 +325,61 @@ UNIT_FIELDS = ["tower", "unit_code", "typology", "floor", "position", "private_a
                "weighted_area_m2", "participation_share", "system_price", "adjustment", "final_price", "price_per_m2", "status"]
 
 
-@query("dashboard_document")
+NUMBERS = {"floor": "int", "private_area_m2": "decimal(18,2)", "uncovered_area_m2": "decimal(18,2)", "weighted_area_m2": "decimal(18,4)",
+           "participation_share": "decimal(18,10)", "system_price": "decimal(18,2)", "adjustment": "decimal(18,2)", "final_price": "decimal(18,2)",
+           "price_per_m2": "decimal(18,2)"}
+UNIT_TEXT = " || '|' || ".join(f"CAST(CAST({c} AS {NUMBERS[c]}) AS VARCHAR)" if c in NUMBERS else c for c in UNIT_FIELDS)
+KPIS = ["vgv", "units_count", "towers_count", "typologies_count", "avg_price_per_m2", "adjustments_count", "reproduction_accuracy_pct",
+        "within_1_cent_count"]
+METRICS = ["units_analyzed", "within_1_cent", "exact_matches", "aggregate_delta", "mae", "max_absolute_error", "rmse"]
+
+
+def unfolded(fields: list[str], section: str, table: str) -> str:
+    names, values = ", ".join(f"'{f}'" for f in fields), ", ".join(f"CAST(CAST({f} AS DECIMAL(28,2)) AS VARCHAR)" for f in fields)
+    return f"SELECT '{section}' AS section, unnest([{names}]) AS name, unnest([{values}]) AS value FROM {table}"
+
+
+@query(
+    "dashboard_document",
+    f"""WITH {sql.CURRENT}, {sql.COMPARE.split(sql.UNITS + ',', 1)[1]},
+    kpis AS (SELECT CAST(sum(final_price) AS {M}) AS vgv, count(*) AS units_count, count(DISTINCT tower) AS towers_count,
+        count(DISTINCT typology) AS typologies_count,
+        {sql.cents(sql.half_up('(sum(final_price) * 100)::HUGEINT * 100', '(sum(private_area_m2) * 100)::HUGEINT'))} AS avg_price_per_m2,
+        count(*) FILTER (WHERE adjustment <> 0) AS adjustments_count,
+        (SELECT {sql.dec(sql.half_up('within_1_cent * 1000', 'units_analyzed'), 1, 5)} FROM metrics) AS reproduction_accuracy_pct,
+        (SELECT within_1_cent FROM metrics) AS within_1_cent_count FROM enriched)
+    SELECT 'meta' AS section, unnest([{", ".join(f"'{k}'" for k in LABELS)}]) AS name, unnest([{", ".join(f"'{v}'" for v in LABELS.values())}]) AS value
+    UNION ALL SELECT 'development', 'name', CASE WHEN count(DISTINCT development_id) = 1 THEN max(name) ELSE
+        count(DISTINCT development_id) || ' empreendimentos (' || string_agg(DISTINCT name, ', ' ORDER BY name) || ')' END
+        FROM enriched JOIN scenarios USING (development_id)
+    UNION ALL {unfolded(KPIS, 'kpis', 'kpis')} UNION ALL {unfolded(METRICS, 'validation', 'metrics')}
+    UNION ALL SELECT DISTINCT 'label', NULL, tower FROM enriched UNION ALL SELECT DISTINCT 'label', NULL, typology FROM enriched
+    UNION ALL SELECT 'unit', NULL, {UNIT_TEXT} FROM enriched""",
+)
 def dashboard_document(d):
-    """The head of the document, and a line per unit in the order of its key."""
+    """The nested document written over many files, and every value of it read back from them."""
     units = stage(d.dashboard_units)
-    validation = serving.error_metrics(d.comparisons)
-    head = serving.summary_document(
-        LABELS, serving.development_label(units, d.developments.select("development_id", "name"), d.bound), units,
-        serving.kpis(units, validation), validation,
-    )
-    lines = serving.document_lines(units, ["development_id", "tower", "unit_code"], UNIT_FIELDS)
-    return head.select(
-        F.lit("head").alias("section"), F.lit(None).cast("int").alias("development_id"), F.lit(None).cast("string").alias("tower"),
-        F.lit(None).cast("string").alias("unit_code"), "document",
-    ).unionByName(lines.select(F.lit("unit").alias("section"), "development_id", "tower", "unit_code", "document"))
+    validation = stage(serving.error_metrics(d.comparisons))
+    names = d.developments.select("development_id", "name")
+    head = serving.head_fields(LABELS, serving.development_label(units, names, d.bound), serving.kpis(units, validation), validation)
+    lists = {c + "s": (stage(serving.labels(units, c)), [c]) for c in ("tower", "typology")}
+    keys = ["development_id", "tower", "unit_code"]
+    lists["units"] = (serving.document_lines(units, keys, UNIT_FIELDS), keys)
+    folder = f"{checkpoint_root(d.spark)}/proratio/{uuid.uuid4().hex}"
+    serving.write_nested(serving.nested_document(head, lists), folder)
+    line = F.regexp_replace("value", "^,", "")
+    lines = d.spark.read.text(folder).select(line.alias("line"))
+    field = lines.select(F.regexp_extract("line", r'^"(\w+)":(\{.*)$', 1).alias("section"), F.regexp_extract("line", r'^"(\w+)":(\{.*)$', 2).alias("object"))
+    number = F.col("value").cast("decimal(28,2)").cast("string")
+    fields = field.where("section <> ''").select("section", F.explode(F.from_json("object", "map<string,string>")).alias("name", "value")).withColumn(
+        "value", F.when(F.col("section").isin("kpis", "validation"), number).otherwise(F.col("value")))
+    none = F.lit(None).cast("string").alias("name")
+    labels = lines.where(F.col("line").rlike('^".*"$')).select(
+        F.lit("label").alias("section"), none, F.from_json(F.concat(F.lit("["), "line", F.lit("]")), "array<string>")[0].alias("value"))
+    row = F.from_json("line", ", ".join(f"{c} {NUMBERS.get(c, 'string')}" for c in UNIT_FIELDS))
+    unit = lines.where(F.col("line").startswith("{") & F.col("line").endswith("}")).select(row.alias("u")).select(
+        F.lit("unit").alias("section"), none, F.concat(*[x for c in UNIT_FIELDS for x in (F.lit("|"), F.col("u")[c].cast("string"))][1:]).alias("value"))
+    return fields.unionByName(labels).unionByName(unit)
 
 
 LINE_FIELDS = ["tower", "unit_code", "typology", "floor", "position", "private_area_m2", "system_price", "adjustment", "final_price", "status"]
