@@ -60,12 +60,13 @@ def units(rows: DataFrame, source: str) -> DataFrame:
     return first_of(found, ["development_id", "tower", "apartment"])
 
 
-def observations(rows: DataFrame, source: str, reference_date: str) -> DataFrame:
+def observations(rows: DataFrame, source: str, reference_date: str, first_sale: Column | None = None) -> DataFrame:
+    """Prices seen on a day; ``first_sale`` tells which rows are no resale (all, if it is not given)."""
     key = ["development_id", "tower", "apartment"]
     found = rows.select(
         F.col("empreendimento").alias("development_id"), F.col("torre").alias("tower"), F.col("apartamento").alias("apartment"),
         F.lit(reference_date).cast("date").alias("reference_date"), F.col("meses_lancamento").alias("months_since_launch"),
-        F.col("preco_m2").alias("price_m2"), F.col("desconto_pct").alias("discount_pct"), F.lit(True).alias("first_sale"),
+        F.col("preco_m2").alias("price_m2"), F.col("desconto_pct").alias("discount_pct"), (F.lit(True) if first_sale is None else first_sale).alias("first_sale"),
         F.lit("hybrid").alias("record_origin"), F.lit(source).alias("source"),
     )
     return first_of(found, key + ["reference_date", "source"])

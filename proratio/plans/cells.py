@@ -7,16 +7,18 @@ one sheet per priority, one row per order, up to eight cells per row.
 from __future__ import annotations
 
 import json
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proratio.functions.text import effective_value, serial_date
 from proratio.operators import formulas, lineage, profiling, promotion, references, staging
 from proratio.plans.registry import query
-from proratio.session import attach, counted, spread, stage
+from proratio.session import attach, checkpoint_root, counted, spread, stage
 from proratio.sources import mapping as mapping_source
-from proratio.sources import publish
+from proratio.sources import files, publish
 
 HEADERS = ["codigo", "area", "tipologia", "preco", "contato", "total", "ref", "data"]
 
@@ -331,6 +333,36 @@ def mapping_confidence(d):
     return staging.entries_by_confidence(cells(d).mapping)
 
 
+@query("mapping_file", f"""WITH {CELLS}, e AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'LOW' WHEN k % 7 < 3 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM o)
+    SELECT workbook_id, sheet_name, confidence, 'single_cell' AS extraction, count(*) AS entries, count(DISTINCT k) AS ids,
+    CAST(sum(CASE WHEN confidence = 'HIGH' AND k % 211 <> 0 THEN total END) AS DECIMAL(28,2)) AS total FROM e GROUP BY ALL""")
+def mapping_file(d):
+    """A mapping of one cell per order, written as a file and read back: entries, their ids and the values they point at."""
+    k, x = F.col("o_orderkey"), cells(d)
+    entries = d.table("orders").select(
+        F.concat(F.lit("WB-"), "o_orderstatus").alias("workbook_sha256"), F.col("o_orderpriority").alias("sheet_name"),
+        F.when(k % 7 == 0, "LOW").when(k % 7 < 3, "MEDIUM").otherwise("HIGH").alias("confidence"), F.lit("parameter").alias("category"),
+        F.concat(F.lit("D"), k + 2).alias("cell_ref"), F.concat(F.lit("PRICE_"), k).alias("parameter_key_guess"), F.lit("NUMERIC").alias("value_type_guess"),
+    )
+    folder = f"{checkpoint_root(d.spark)}/proratio/{uuid.uuid4().hex}"
+    files.write_documents(entries.select(F.to_json(F.struct(*entries.columns)).alias("document")), folder)
+    mapping = mapping_source.read_mapping(d.spark, folder, lines=True)
+    found = x.cells.where("column_letters = 'D'").select("workbook_id", "sheet_name", "cell_ref", effective_value("raw_value", "cached_value").alias("value"))
+    value = F.when(F.col("confidence") == "HIGH", F.col("value").try_cast("decimal(18,2)"))
+    return mapping.join(found, ["workbook_id", "sheet_name", "cell_ref"], "left").groupBy("workbook_id", "sheet_name", "confidence", "extraction").agg(
+        F.count("*").alias("entries"), F.count_distinct("entry_id").alias("ids"), F.sum(value).cast("decimal(28,2)").alias("total"))
+
+
+@query("serial_dates", f"""WITH {CELLS} SELECT workbook_id, sheet_name, CASE WHEN k % 29 <> 0 THEN CAST(o_orderdate AS DATE) END AS day, count(*) AS cells FROM o GROUP BY ALL""")
+def serial_dates(d):
+    """Dates that a sheet holds as serial numbers with a time of day; texts are none."""
+    k = F.col("o_orderkey")
+    days = F.date_diff(F.col("o_orderdate"), F.lit("1899-12-30").cast("date"))
+    serial = F.when(k % 29 == 0, "n/d").otherwise((days + (k % 24) / 24).cast("string"))
+    cell = d.table("orders").select(F.concat(F.lit("WB-"), "o_orderstatus").alias("workbook_id"), F.col("o_orderpriority").alias("sheet_name"), serial.alias("value"))
+    return cell.groupBy("workbook_id", "sheet_name", serial_date(F.col("value").try_cast("double")).alias("day")).agg(F.count("*").alias("cells"))
+
+
 # --- promotion ---
 
 

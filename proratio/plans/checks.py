@@ -47,6 +47,27 @@ def constraint_report(d):
     return quality.report(quality.violations(d.table("lineitem"), _line_rules(d), ["l_orderkey", "l_linenumber"]))
 
 
+@query(
+    "temporal_order",
+    """WITH s AS (SELECT l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1),
+    r AS (SELECT o_orderkey AS k, o_orderdate AS started_at, CASE WHEN o_orderkey % 97 <> 0 THEN a END AS completed_at, b AS valid_from,
+      CASE WHEN o_orderkey % 41 = 0 THEN a WHEN o_orderkey % 5 > 0 THEN b + INTERVAL 1 DAY END AS valid_to FROM orders LEFT JOIN s ON l_orderkey = o_orderkey)
+    SELECT 'completed_after_started' AS rule_id, CAST(k AS VARCHAR) AS "key" FROM r WHERE completed_at < started_at
+    UNION ALL SELECT 'valid_period', CAST(k AS VARCHAR) FROM r WHERE valid_to <= valid_from""",
+)
+def temporal_order(d):
+    """Runs and periods with start and end, some still open, some ended before they began."""
+    k = F.col("o_orderkey")
+    shipped = d.table("lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    rows = d.table("orders").join(shipped, k == F.col("l_orderkey"), "left").select(
+        k.alias("k"), F.col("o_orderdate").alias("started_at"), F.when(k % 97 != 0, F.col("a")).alias("completed_at"), F.col("b").alias("valid_from"),
+        F.when(k % 41 == 0, F.col("a")).when(k % 5 > 0, F.col("b") + F.expr("interval 1 day")).alias("valid_to"),
+    )
+    entities = ("audit.promotion_runs", "pricing.parameter_sets")
+    rules = [r for e in entities for r in quality.applicable(rows, quality.ENTITY_RULES[e])]
+    return quality.violations(rows, rules, ["k"]).select("rule_id", "key")
+
+
 @query(
     "constraint_violations",
     f"""WITH {sql.UNITS}, s AS (SELECT c_custkey, c_nationkey AS development_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ACTIVE' ELSE 'DRAFT' END AS status FROM customer)

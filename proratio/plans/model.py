@@ -62,13 +62,15 @@ devs AS (SELECT empreendimento AS id, min(bairro) AS bairro, min(fase_obra) AS s
 viewed AS (SELECT sha256(empreendimento || ':' || torre || ':' || apartamento || ':{DAY}') AS id, empreendimento, apartamento, d.bairro, torre, andar, area,
     quartos, vagas, suite, varanda_m2, CASE WHEN cobertura THEN 1 ELSE 0 END AS cobertura, vista, orientacao, posicao, d.quality_score AS padrao_score,
     d.amenities_score AS lazer_score, d.location_score AS localizacao_score, d.stage AS fase_obra, meses_lancamento, desconto_pct AS discount_pct, preco_m2,
-    'hybrid' AS origem, DATE '{DAY}' AS reference_date FROM observed o JOIN devs d ON d.id = o.empreendimento)"""
+    'hybrid' AS origem, DATE '{DAY}' AS reference_date FROM observed o JOIN devs d ON d.id = o.empreendimento
+    WHERE unit_id % 37 <> 0)"""
 
 
 def loaded(d):
+    """Every 37th unit is a resale."""
     rows = stage(observed(d))
     return hedonic.view(
-        hedonic.observations(rows, SOURCE, DAY), hedonic.units(rows, SOURCE), hedonic.developments(rows, SOURCE), d.bound
+        hedonic.observations(rows, SOURCE, DAY, F.col("apartamento").cast("bigint") % 37 != 0), hedonic.units(rows, SOURCE), hedonic.developments(rows, SOURCE), d.bound
     )
 
 

@@ -13,6 +13,7 @@ from proratio.plans import sql
 from proratio.plans.domain import CONFIG, LABELS, OVERRIDE_RUN, RULESET
 from proratio.plans.registry import query
 from proratio.session import attach, checkpoint_root, stage
+from proratio.sources import files, scenario
 
 M = sql.M
 PRICE_COLUMNS = [
@@ -668,3 +669,34 @@ def reproduction_pending(d):
         F.when(F.col("c_mktsegment") == "BUILDING", "FAILED").otherwise("COMPLETED").alias("status"),
     )
     return reproduction.pending(customers.select(F.col("c_custkey").alias("development_id")), runs, "sha256:0")
+
+
+# --- files of scenarios ---
+
+DOCUMENT_UNITS = 500
+
+
+@query(
+    "scenario_documents",
+    f"""WITH {sql.UNITS}, t AS (SELECT development_id, CAST(sum(order_total) AS {M}) AS target_value FROM units GROUP BY 1)
+    SELECT CAST(u.development_id AS VARCHAR) AS development_id, tower, typology || '/' || private_area_m2 || '/' || uncovered_area_m2 AS typology, unit_code, floor,
+    position, private_area_m2, uncovered_area_m2, target_value FROM units u JOIN t USING (development_id)""",
+)
+def scenario_documents(d):
+    """Scenarios written as documents of about 500 units at most, read back, with the areas of their typologies and their target."""
+    dev = F.col("development_id").cast("string").alias("business_key")
+    kind = F.concat_ws("/", "typology", F.col("private_area_m2").cast("string"), F.col("uncovered_area_m2").cast("string"))
+    parts = d.units.count() // DOCUMENT_UNITS + 1
+    unit = F.struct(F.col("tower").alias("tower_business_key"), kind.alias("typology_business_key"), "unit_code", "floor", F.col("position").alias("position_category"))
+    typology = F.struct(kind.alias("business_key"), F.col("private_area_m2").cast("string").alias("private_area_m2"),
+                        F.col("uncovered_area_m2").cast("string").alias("uncovered_area_m2"))
+    # Parts are dealt by a hash, so however many units a development has, a document holds few.
+    listed = d.units.groupBy("development_id", F.pmod(F.xxhash64("unit_id"), F.lit(parts)).alias("part")).agg(
+        F.collect_list(unit).alias("units"), F.collect_set(typology).alias("typologies"))
+    documents = listed.select(F.to_json(F.struct(F.struct(dev).alias("development"), "typologies", "units")).alias("document"))
+    target = F.struct(F.col("target_value").cast("string").alias("target_value"), F.lit("MANUAL").alias("origin")).alias("vgv_target")
+    heads = d.targets.select(F.to_json(F.struct(F.struct(dev).alias("development"), target)).alias("document"))
+    folder = f"{checkpoint_root(d.spark)}/proratio/{uuid.uuid4().hex}"
+    files.write_documents(documents.unionByName(heads), folder)
+    rows = scenario.read_scenarios(d.spark, folder, lines=True)
+    return attach(scenario.units(rows), scenario.targets(rows), "development_id", d.bound, "inner")

@@ -13,10 +13,10 @@ ENTRY = (
 )
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of entries. ``workbook_sha256`` names the workbook."""
+def read_mapping(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of entries, or with ``lines`` an entry per line. ``workbook_sha256`` names the workbook."""
     schema = ENTRY.replace("workbook_id", "workbook_sha256", 1)
-    found = spark.read.schema(schema).option("multiLine", True).json(path)
+    found = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return with_ids(found.withColumnRenamed("workbook_sha256", "workbook_id"))
 
 

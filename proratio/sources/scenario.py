@@ -23,19 +23,25 @@ override struct<run:string,target_unit_code:string,target_tower_business_key:str
 """
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """One row per scenario file."""
-    found = spark.read.schema(SCENARIO).option("multiLine", True).json(path)
+def read_scenarios(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per scenario: a file each, or with ``lines`` a line each, so that large files are divided among tasks.
+
+    A development may have several scenarios with a part of its units each.
+    """
+    found = spark.read.schema(SCENARIO).option("multiLine", not lines).json(path)
     return found.withColumn("development_id", F.col("development.business_key"))
 
 
 def units(scenarios: DataFrame) -> DataFrame:
-    """Units with the areas of their typology; an unknown typology leaves them NULL."""
+    """Units with the areas of their typology; an unknown typology leaves them NULL.
+
+    Scenarios of one development may list a typology again, with the same areas.
+    """
     area = "decimal(12,2)"
     kinds = scenarios.select("development_id", F.inline("typologies")).select(
         "development_id", F.col("business_key").alias("typology"), F.col("private_area_m2").cast(area).alias("private_area_m2"),
         F.col("uncovered_area_m2").cast(area).alias("uncovered_area_m2"),
-    )
+    ).distinct()
     listed = scenarios.select("development_id", F.inline("units")).select(
         "development_id", F.col("tower_business_key").alias("tower"), F.col("typology_business_key").alias("typology"), "unit_code",
         "floor", F.col("position_category").alias("position"),
@@ -52,7 +58,7 @@ def typologies(scenarios: DataFrame) -> DataFrame:
 
 
 def targets(scenarios: DataFrame) -> DataFrame:
-    return scenarios.select("development_id", F.col("vgv_target.target_value").cast("decimal(18,2)").alias("target_value"))
+    return scenarios.where("vgv_target is not null").select("development_id", F.col("vgv_target.target_value").cast("decimal(18,2)").alias("target_value"))
 
 
 def overrides(scenarios: DataFrame) -> DataFrame:
