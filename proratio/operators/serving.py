@@ -50,6 +50,16 @@ def unit_price_current(scenarios: DataFrame, runs: DataFrame, results: DataFrame
     )
 
 
+def with_labels(current: DataFrame, towers: DataFrame, typologies: DataFrame, tower_bound, typology_bound) -> DataFrame:
+    """Rows that name tower and typology by id, with the names the two tables hold; an id they do not hold has none.
+
+    Both tables have one row per ``tower_id`` or ``typology_id`` and a ``name``. A dimension within its
+    bound is broadcast, and rows of a hot tower or typology are divided where it is not.
+    """
+    found = attach(current, towers.select("tower_id", F.col("name").alias("tower")), "tower_id", tower_bound)
+    return attach(found, typologies.select("typology_id", F.col("name").alias("typology")), "typology_id", typology_bound)
+
+
 def units_enriched(current: DataFrame) -> DataFrame:
     """Dashboard rows: labels, adjustment, price per area and status of each unit."""
     zero = F.lit(0).cast(PRICE)
@@ -186,7 +196,7 @@ def nested_document(head: dict[str, DataFrame], lists: dict[str, tuple[DataFrame
 
     A list is rows with ``document`` (the element's JSON) and the keys that order it, unique and never
     NULL. ``section`` and a struct of keys per list order the lines; an element but the first of its
-    list begins with a comma, and the first is found by one aggregate per list. Repeated first keys
+    list begins with a comma, and the first is found by the two lowest keys of the list. Repeated first keys
     would leave out a comma, so they are an error. An empty list is ``[]``, and a ``head`` of no rows
     leaves its field out, so the first field must have its row.
     """
@@ -202,16 +212,15 @@ def nested_document(head: dict[str, DataFrame], lists: dict[str, tuple[DataFrame
         parts.append(df.select(F.lit(section).alias("section"), F.concat(F.lit(f'{"," if i else ""}"{name}":'), "document").alias("line")))
         section += 1
     for name, (df, keys) in lists.items():
-        key = F.struct(*keys)
-        lowest = df.agg(F.min(key).alias("first"))
-        repeated = df.select(key.alias("k")).join(F.broadcast(lowest), F.col("k") == F.col("first")).count()
-        if repeated > 1:
-            raise ValueError(f"{name}: the first key occurs {repeated} times")
-        marked = df.select(key.alias("k"), "document").join(F.broadcast(lowest))
+        lowest = df.select(*keys).orderBy(*keys).limit(2).collect()
+        if len(lowest) == 2 and lowest[0] == lowest[1]:
+            raise ValueError(f"{name}: the first key occurs more than once")
+        first = F.lit(bool(lowest))
+        for k in keys:
+            first = first & (F.col(k) == F.lit(lowest[0][k] if lowest else None))
         parts.append(fixed(section, f',"{name}":['))
-        parts.append(marked.select(
-            F.lit(section + 1).alias("section"), F.col("k").alias(f"key_{name}"),
-            F.concat(F.when(F.col("k") == F.col("first"), "").otherwise(","), "document").alias("line")))
+        parts.append(df.select(
+            F.lit(section + 1).alias("section"), F.struct(*keys).alias(f"key_{name}"), F.concat(F.when(first, "").otherwise(","), "document").alias("line")))
         parts.append(fixed(section + 2, "]"))
         section += 3
     parts.append(fixed(section, "}"))

@@ -326,6 +326,21 @@ UNIT_FIELDS = ["tower", "unit_code", "typology", "floor", "position", "private_a
                "weighted_area_m2", "participation_share", "system_price", "adjustment", "final_price", "price_per_m2", "status"]
 
 
+@query(
+    "units_labelled",
+    f"""WITH {sql.CURRENT} SELECT development_id, unit_code, CASE WHEN tower = 'HOUSEHOLD' THEN 'SEM-TORRE' ELSE 'Torre ' || tower END AS tower,
+    CASE WHEN typology = '5-LOW' THEN '' ELSE 'Tipo ' || typology END AS typology, final_price, status FROM enriched""",
+)
+def units_labelled(d):
+    """Units that name tower and typology by id, joined to tables that hold all names but one each."""
+    key = lambda c: F.concat_ws(":", F.col("development_id").cast("string"), c)
+    current = d.current.withColumn("tower_id", key("tower")).withColumn("typology_id", key("typology")).drop("tower", "typology")
+    towers = d.towers.where("tower <> 'HOUSEHOLD'").select(key("tower").alias("tower_id"), F.concat(F.lit("Torre "), "tower").alias("name"))
+    kinds = d.typologies.where("typology <> '5-LOW'").select(key("typology").alias("typology_id"), F.concat(F.lit("Tipo "), "typology").alias("name"))
+    found = serving.units_enriched(serving.with_labels(current, towers, kinds, towers, kinds))
+    return found.select("development_id", "unit_code", "tower", "typology", "final_price", "status")
+
+
 NUMBERS = {"floor": "int", "private_area_m2": "decimal(18,2)", "uncovered_area_m2": "decimal(18,2)", "weighted_area_m2": "decimal(18,4)",
            "participation_share": "decimal(18,10)", "system_price": "decimal(18,2)", "adjustment": "decimal(18,2)", "final_price": "decimal(18,2)",
            "price_per_m2": "decimal(18,2)"}
