@@ -27,3 +27,9 @@ def test_the_view_holds_every_unit(spark, orders):
     found = [int(r["apartamento"]) for r in QUERIES["hedonic_view"](spark, orders).collect()]
     assert sorted(found) == list(range(75))
     assert "% 37" not in ORACLES["hedonic_view"]
+
+
+def test_the_read_leaves_no_unit_out(spark, orders):
+    found = [int(r["apartamento"]) for r in QUERIES["hedonic_read"](spark, orders).collect()]
+    assert sorted(found) == list(range(75)) and {0, 37, 74} <= set(found)
+    assert "% 37" not in ORACLES["hedonic_read"]
