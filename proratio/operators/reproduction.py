@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proratio.functions.text import column_index, effective_value, numeric_or_null, zero_if_blank
-from proratio.session import attach
+from proratio.session import attach, fits
 
 PRICE = "decimal(18,2)"
 
@@ -101,10 +101,16 @@ def grid_from_formula(cells: DataFrame, formulas: DataFrame, bound) -> DataFrame
     def part(i):
         return F.regexp_extract("formula_expression", GRID_FORMULA, i)
 
+    few = fits(bound)
+
+    def meet(big, small, keys):
+        """Cells by place: a key is a cell or a row of one sheet, so none holds many cells and nothing is salted."""
+        return big.join(F.broadcast(small) if few else small, keys)
+
+    # Only cells with such a formula are looked up among the formulas.
     found = (
-        attach(cells, formulas.select("workbook_id", "sheet_name", "cell_ref"),
-               ["workbook_id", "sheet_name", "cell_ref"], bound, "inner")
-        .where(F.col("formula_expression").rlike(GRID_FORMULA))
+        meet(cells.where(F.col("formula_expression").rlike(GRID_FORMULA)), formulas.select("workbook_id", "sheet_name", "cell_ref"),
+             ["workbook_id", "sheet_name", "cell_ref"])
         .select(
             "workbook_id", F.col("sheet_name").alias("formula_sheet"), F.col("cell_ref").alias("formula_cell"),
             part(1).alias("range_sheet"), part(2).alias("first_col"), part(3).cast("int").alias("first_row"),
@@ -116,19 +122,16 @@ def grid_from_formula(cells: DataFrame, formulas: DataFrame, bound) -> DataFrame
         "workbook_id", F.col("sheet_name").alias("index_sheet"), F.col("cell_ref").alias("index_cell"),
         value.try_cast("double").cast("int").alias("row_index"),
     )
-    # The formulas are few (bounded), so the cells are filtered by them without a shuffle.
-    located = attach(index, found, ["workbook_id", "index_sheet", "index_cell"], bound, "inner").where("row_index is not null")
-    grids = located.withColumn("factor_row", F.col("first_row") + F.col("row_index") - 1)
+    located = meet(index, found, ["workbook_id", "index_sheet", "index_cell"]).where("row_index is not null")
+    # The two rows of its range that a grid is read from (one, if they are the same) are part of the key.
+    grids = located.withColumn("factor_row", F.col("first_row") + F.col("row_index") - 1).withColumn(
+        "row_number", F.explode(F.array_distinct(F.array("first_row", "factor_row")))
+    )
     grid_cells = cells.select(
         "workbook_id", F.col("sheet_name").alias("range_sheet"), "row_number", "column_letters", "column_index", value
     )
-
-    inside = (
-        attach(grid_cells, grids, ["workbook_id", "range_sheet"], bound, "inner")
-        .where(
-            F.col("column_index").between(column_index(F.col("first_col")), column_index(F.col("last_col")))
-            & F.col("row_number").isin(F.col("first_row"), F.col("factor_row"))
-        )
+    inside = meet(grid_cells, grids, ["workbook_id", "range_sheet", "row_number"]).where(
+        F.col("column_index").between(column_index(F.col("first_col")), column_index(F.col("last_col")))
     )
     keys = ["workbook_id", "formula_sheet", "formula_cell", "column_letters"]
     header = F.col("row_number") == F.col("first_row")

@@ -246,7 +246,8 @@ def name_similarity(d):
 )
 def grid_lookup(d):
     """A lookup formula, its index cell and its grid per customer; a blank key is left out."""
-    base = d.table("customer").select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("workbook_id"), "c_custkey")
+    workbook = F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("workbook_id")
+    base = d.table("customer").select(workbook)
 
     def cell(sheet, letters, index, row, raw, cached, formula):
         return F.struct(
@@ -256,18 +257,18 @@ def grid_lookup(d):
 
     none = F.lit(None)
     k = F.col("c_custkey")
-    grid = F.transform(
-        F.sequence(F.lit(1), F.lit(12)),
-        lambda i: F.array(
-            cell("Grade", F.chr(i + 64), i, F.lit(3), F.when(~((i == 5) & (k % 2 == 0)), F.concat((k % 5 + 1).cast("string"), F.lit("-"), i.cast("string"))), none, none),
-            *[cell("Grade", F.chr(i + 64), i, F.lit(3 + r), F.concat((i * 10 + r + 1).cast("string"), F.lit(".0")), none, none) for r in (1, 2, 3)],
-        ),
+    i = F.col("i")
+    grid = F.array(
+        cell("Grade", F.chr(i + 64), i, F.lit(3), F.when(~((i == 5) & (k % 2 == 0)), F.concat((k % 5 + 1).cast("string"), F.lit("-"), i.cast("string"))), none, none),
+        *[cell("Grade", F.chr(i + 64), i, F.lit(3 + r), F.concat((i * 10 + r + 1).cast("string"), F.lit(".0")), none, none) for r in (1, 2, 3)],
     )
     fixed = F.array(
         cell("Calc", F.lit("F"), F.lit(6), F.lit(2), none, F.lit("1.0"), F.lit("HLOOKUP(A2&\"-\"&B2,'Grade'!$C$3:$J$6,Aux!$B$1,0)+1")),
         cell("Aux", F.lit("B"), F.lit(2), F.lit(1), none, F.concat((k % 3 + 2).cast("string"), F.lit(".0")), F.lit("ROWS(A1:A4)")),
     )
-    cells = base.select("workbook_id", F.inline(F.concat(F.flatten(grid), fixed))).withColumn(
+    books = spread(d.table("customer").select(workbook, "c_custkey"))
+    columns = books.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    cells = columns.select("workbook_id", F.inline(grid)).unionByName(books.select("workbook_id", F.inline(fixed))).withColumn(
         "cell_ref", F.concat("column_letters", F.col("row_number").cast("string"))
     )
     cells = stage(cells)
