@@ -41,21 +41,36 @@ def check_mapping(mapping: DataFrame) -> None:
 
 
 def extract_rows(cells: DataFrame, mapping: DataFrame, bound) -> DataFrame:
-    """One row per mapped data row: every field of the entry, where the anchor field is filled."""
+    """One row per mapped data row: every field of the entry, where the anchor field is filled.
+
+    The mapped cells of a sheet's row are brought together once, an array of a value per
+    letter, whatever number of entries and fields read them; the entries then take their
+    fields out of that row by place.
+    """
     entries = mapping.where("confidence = 'HIGH' and extraction = 'row_range'")
-    wanted = entries.select(
-        "entry_id", *SHEET, "start_row", "anchor_field", F.explode("columns").alias("field", "column_letters")
+    named = entries.select(*SHEET, F.explode(F.map_values("columns")).alias("column_letters")).where("column_letters is not null").distinct()
+    # Configuration: as many as there are columns that the mapping names.
+    letters = sorted(r[0] for r in named.select("column_letters").distinct().collect()) or [""]
+    mapped = attach(
+        cells.select(*SHEET, "row_number", "column_letters", effective_value().alias("value")).where("value is not null"),
+        named, [*SHEET, "column_letters"], bound, "left_semi",
+    )
+    # The row number comes first, since it tells most keys apart where they are sorted.
+    found = mapped.groupBy(F.col("row_number").alias("source_row"), *SHEET).agg(
+        F.array(*[F.max(F.when(F.col("column_letters") == c, F.col("value"))) for c in letters]).alias("found")
+    )
+
+    def place(field):
+        return (F.array_position(F.array(*[F.lit(c) for c in letters]), F.try_element_at("columns", field)) - 1).cast("int")
+
+    places = entries.select(
+        *SHEET, "entry_id", "start_row", "category", "development_ref", "dimension_guess", place(F.col("anchor_field")).alias("_anchor"),
+        *[place(F.lit(f)).alias(f"_{f}") for f in FIELDS],
+    )
+    rows = attach(found, places, SHEET, bound, "inner").where((F.col("source_row") >= F.col("start_row")) & (F.get("found", "_anchor") != ""))
+    return rows.select(
+        "entry_id", *SHEET, "source_row", *[F.get("found", f"_{f}").alias(f) for f in FIELDS], "category", "development_ref", "dimension_guess"
     )
-    found = attach(
-        cells.select(*SHEET, "row_number", "column_letters", effective_value().alias("value")),
-        wanted, [*SHEET, "column_letters"], bound, "inner",
-    ).where("row_number >= start_row")
-    rows = found.groupBy("entry_id", *SHEET, F.col("row_number").alias("source_row")).agg(
-        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS],
-        F.max(F.when(F.col("field") == F.col("anchor_field"), F.col("value"))).alias("anchor"),
-    ).where("anchor <> ''")
-    facts = entries.select("entry_id", "category", "development_ref", "dimension_guess")
-    return attach(rows, facts, "entry_id", bound, "inner").drop("anchor")
 
 
 def extract_cells(cells: DataFrame, mapping: DataFrame, bound) -> DataFrame:

@@ -70,29 +70,27 @@ class Cells:
         follows = k % 3 == 1
         odd, varied = (k % 1000).isin(7, 8), k % 1000 == 21
         looked = k % 4 == 0
-        items = F.array_compact(
-            F.array(
-                cell(1, "A", always, F.when(k % 17 == 0, "empty").otherwise("number"),
-                     F.when((k % 17 != 0) & ~follows, code), F.when((k % 17 != 0) & follows, code),
-                     F.when((k % 17 != 0) & follows, F.concat(F.lit("A"), (r - 1).cast("string"), F.lit("+1"))), follows & (k % 17 != 0)),
-                cell(2, "B", always, F.when(k % 29 == 0, "string").otherwise("number"),
-                     F.when(k % 29 == 0, "n/d").otherwise(F.concat((k % 200 + 20).cast("string"), F.lit(".5"))), none, none),
-                cell(3, "C", always, string, F.concat(F.lit("TIPO"), (k % 4).cast("string")), none, none),
-                cell(4, "D", always, F.when(k % 211 == 0, "error").otherwise("number"),
-                     F.when(k % 211 == 0, "#DIV/0!").otherwise(total.cast("string")), none, none),
-                cell(5, "E", k % 5 == 0, string, F.concat(F.lit("c"), text, F.lit("@mail.example.com")), none, none),
-                cell(6, "F", always, number, F.when(odd, "999.0"), F.when(~odd, part),
-                     F.when(varied, F.concat(F.lit("D"), row, F.lit("*0.65"))).when(~odd, F.concat(F.lit("D"), row, F.lit("*0.6")))),
-                cell(7, "G", (k % 4).isin(0, 1), number, none, F.when(looked, "2.0").otherwise("1.0"),
-                     F.when(looked, F.concat(F.lit("VLOOKUP(C"), row, F.lit(",'Tabela'!$A$1:$B$9,2,0)*1000")))
-                     .otherwise(F.concat(F.lit("SUM(Aux!B"), row, F.lit(":B"), (r + 1).cast("string"), F.lit(")")))),
-                cell(8, "H", always, F.lit("date"), F.date_format("o_orderdate", "yyyy-MM-dd"), none, none),
-            )
+        items = F.array(
+            cell(1, "A", always, F.when(k % 17 == 0, "empty").otherwise("number"),
+                 F.when((k % 17 != 0) & ~follows, code), F.when((k % 17 != 0) & follows, code),
+                 F.when((k % 17 != 0) & follows, F.concat(F.lit("A"), (r - 1).cast("string"), F.lit("+1"))), follows & (k % 17 != 0)),
+            cell(2, "B", always, F.when(k % 29 == 0, "string").otherwise("number"),
+                 F.when(k % 29 == 0, "n/d").otherwise(F.concat((k % 200 + 20).cast("string"), F.lit(".5"))), none, none),
+            cell(3, "C", always, string, F.concat(F.lit("TIPO"), (k % 4).cast("string")), none, none),
+            cell(4, "D", always, F.when(k % 211 == 0, "error").otherwise("number"),
+                 F.when(k % 211 == 0, "#DIV/0!").otherwise(total.cast("string")), none, none),
+            cell(5, "E", k % 5 == 0, string, F.concat(F.lit("c"), text, F.lit("@mail.example.com")), none, none),
+            cell(6, "F", always, number, F.when(odd, "999.0"), F.when(~odd, part),
+                 F.when(varied, F.concat(F.lit("D"), row, F.lit("*0.65"))).when(~odd, F.concat(F.lit("D"), row, F.lit("*0.6")))),
+            cell(7, "G", (k % 4).isin(0, 1), number, none, F.when(looked, "2.0").otherwise("1.0"),
+                 F.when(looked, F.concat(F.lit("VLOOKUP(C"), row, F.lit(",'Tabela'!$A$1:$B$9,2,0)*1000")))
+                 .otherwise(F.concat(F.lit("SUM(Aux!B"), row, F.lit(":B"), (r + 1).cast("string"), F.lit(")")))),
+            cell(8, "H", always, F.lit("date"), F.date_format("o_orderdate", "yyyy-MM-dd"), none, none),
         )
         orders = spread(self.d.table("orders")).select(
             F.concat(F.lit("WB-"), F.col("o_orderstatus")).alias("workbook_id"), F.col("o_orderpriority").alias("sheet_name"),
             r.alias("row_number"), F.inline(items),
-        )
+        ).where("column_letters is not null")  # no cell where its condition does not hold
         names = F.array(*[F.struct(F.lit(chr(65 + i)).alias("column_letters"), F.lit(i + 1).alias("column_index"),
                                    F.lit(n).alias("raw_value")) for i, n in enumerate(HEADERS)])
         header = (
@@ -127,9 +125,10 @@ class Cells:
 
     @cached_property
     def mapping(self) -> DataFrame:
+        """The entries, stored: they are read by every step of staging."""
         fields = mapping_source.ENTRY.replace("workbook_id string, sheet_name string, ", "")
         listed = F.from_json(F.lit(json.dumps(ENTRIES)), f"array<struct<{fields.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map')}>>")
-        return mapping_source.with_ids(self.sheets.select("workbook_id", "sheet_name", F.inline(listed)))
+        return stage(mapping_source.with_ids(self.sheets.select("workbook_id", "sheet_name", F.inline(listed))))
 
     @cached_property
     def map_bound(self) -> int:

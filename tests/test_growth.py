@@ -1,10 +1,9 @@
 """Steps that must grow no faster than their input: their plans, and their rows on odd tables."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from proratio import session
-from proratio.operators import reproduction
+from proratio.operators import reproduction, staging
 
 CELL = "workbook_id string, sheet_name string, column_letters string, column_index int, row_number int, raw_value string, cached_value string, formula_expression string, cell_ref string"
 
@@ -41,3 +40,24 @@ def test_a_grid_is_read_by_the_rows_it_names(spark, nothing_fits, monkeypatch):
     assert {(r["workbook_id"], r["column_letters"], r["category_key"], r["factor"]) for r in found.collect()} == {
         ("x", "B", "xB3", "xB4"), ("x", "C", "xC3", "xC4"), ("y", "B", "yB3", "yB3"), ("y", "C", "yC3", "yC3")}
     assert found.count() == 4 and "_salt" not in plan(found)
+
+
+def mapped_cells(spark):
+    rows = [("w", "s", r, c, f"{c}{r}", f"{c}-{r}", None) for r in range(1, 6) for c in "ABCZ"]
+    rows += [("w", "s", 3, "A", "A3", "A-4", None), ("w", "s", 4, "B", "B4", None, None), ("w", "t", 2, "A", "A2", "t", None), (None, "s", 2, "A", "A2", "none", None), ("w", "s", None, "A", "A", "none", None)]
+    rows = [r for r in rows if r[3:5] != ("A", "A5")] + [("w", "s", 5, "A", "A5", "", None)]
+    return spark.createDataFrame(rows, "workbook_id string, sheet_name string, row_number int, column_letters string, cell_ref string, raw_value string, cached_value string")
+
+
+def test_rows_are_brought_together_once_for_all_entries(spark):
+    def entry(name, category, columns, anchor, start=2):
+        return (name, "w", "s", "HIGH", "row_range", category, columns, start, anchor, None, None)
+
+    entries = [entry("u", "unit", {"unit_ref": "A", "tower_ref": "B", "private_area": "Q"}, "unit_ref"), entry("p", "price_output", {"price_value": "C", "x": "A"}, "x", 4)]
+    mapping = spark.createDataFrame(entries, "entry_id string, workbook_id string, sheet_name string, confidence string, extraction string, category string,"
+                                    " columns map<string,string>, start_row int, anchor_field string, development_ref string, dimension_guess string")
+    found = staging.extract_rows(mapped_cells(spark), mapping, 10)
+    assert {(r["entry_id"], r["source_row"], r["unit_ref"], r["tower_ref"], r["private_area"], r["price_value"], r["category"]) for r in found.collect()} == {
+        ("u", 2, "A-2", "B-2", None, None, "unit"), ("u", 3, "A-4", "B-3", None, None, "unit"), ("u", 4, "A-4", "B-4", None, None, "unit"),
+        ("p", 4, None, None, None, "C-4", "price_output")}
+    assert found.count() == 4 and "hashpartitioning(entry_id" not in plan(found)
