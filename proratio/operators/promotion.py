@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proratio.functions.text import blank, development_key, entity_id, typed_value
-from proratio.session import attach
+from proratio.session import attach, stage
 
 SCENARIO = "IMPORTED_REFERENCE"
 PARAMETER_SET = "IMPORTED_PARAMETERS"
@@ -218,22 +218,17 @@ def prices(candidates: DataFrame, unit_rows: DataFrame, ignore_sheet: bool = Fal
     lowest unit id taken, for sources whose prices and units are on two sheets.
     """
     priced = owned(candidates).where("price_value is not null")
-    key = ["workbook_id", "source_row"] if ignore_sheet else ["workbook_id", "sheet_name", "source_row"]
+    # Rows and hashes come first in a key: they tell rows apart where these are sorted.
+    key = ["source_row", "workbook_id"] if ignore_sheet else ["source_row", "workbook_id", "sheet_name"]
     matched = unit_rows.groupBy(*key).agg(F.min("id").alias("unit_id"))
-    joined = priced.join(matched, key).select(
-        run_id().alias("run_id"), "unit_id", "price_value", "price_per_m2_value", "workbook_id", "sheet_name", "source_row",
-        development_id().alias("development_id"),
-    )
-    place = F.struct("workbook_id", "sheet_name", "source_row")
-    # A unit has one imported price: the first candidate's.
-    first = joined.groupBy("run_id", "unit_id", "development_id").agg(
-        F.min_by(F.struct("price_value", "price_per_m2_value"), place).alias("p"), F.min(place).alias("place")
-    )
+    record = F.struct("workbook_id", "sheet_name", "source_row", "price_value", "price_per_m2_value")
+    # A unit has one imported price: the first candidate's. Run and development follow from the key.
+    first = priced.join(matched, key).groupBy("unit_id", "development").agg(F.min(record).alias("p")).withColumn("run_id", run_id())
     return first.select(
         entity_id(F.lit("pricing.unit_price_results"), "run_id", "unit_id").alias("id"), "run_id", "unit_id",
         F.col("p.price_value").alias("system_calculated_price"),
         F.col("p.price_per_m2_value").cast("decimal(12,2)").alias("system_calculated_price_per_m2"),
-        F.lit(ORIGIN).alias("result_origin"), "development_id", "place.*",
+        F.lit(ORIGIN).alias("result_origin"), development_id().alias("development_id"), "p.workbook_id", "p.sheet_name", "p.source_row",
     )
 
 
@@ -267,7 +262,8 @@ def promote(tables: dict[str, DataFrame], workbooks: DataFrame, existing: dict[s
         "core.units": all_units,
         "pricing.parameters": parameters(tables["parameter_candidates"]),
         "pricing.calibration_entries": calibration_entries(tables["calibration_candidates"]),
-        "pricing.unit_price_results": prices(tables["price_output_candidates"], all_units),
+        # Stored, since the lineage reads them too and every reader would join and add up again.
+        "pricing.unit_price_results": stage(prices(tables["price_output_candidates"], all_units)),
         "audit.data_sources": data_sources(workbooks),
         "pricing.scenarios": scenarios(workbooks),
         "pricing.parameter_sets": parameter_sets(workbooks),
