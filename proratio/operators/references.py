@@ -107,23 +107,28 @@ def orphans(batch: dict[str, DataFrame], stored: dict[str, DataFrame] | None = N
     place = {name: i for i, name in enumerate(batch)}
     parts, parents, late, own = [], {}, {}, {}
 
-    def rows(df, target, columns, reference, seen):
+    def role(target, columns, reference, seen):
         key = F.array(*[F.col(c).cast("string") for c in columns])
-        return df.select(F.lit(target).alias("target"), key.alias("key"), F.lit(reference).cast("string").alias("reference"), F.lit(seen).cast("int").alias("seen"))
+        return F.struct(F.lit(target).alias("target"), key.alias("key"), F.lit(reference).cast("string").alias("reference"), F.lit(seen).cast("int").alias("seen"))
 
+    roles_of = {}
     for name, df in batch.items():
         for ref in rules.get(name, []):
             if set(ref.columns) <= set(df.columns) and (ref.parent in batch or ref.parent in stored):
                 label = f"{name}.{'+'.join(ref.columns)}"
-                filled = df
+                filled = F.lit(True)
                 for c in ref.columns:
-                    filled = filled.where(F.col(c).isNotNull())
-                parts.append(rows(filled, ref.target, ref.columns, label, None))
+                    filled = filled & F.col(c).isNotNull()
+                roles_of.setdefault((name, "batch"), []).append(F.when(filled, role(ref.target, ref.columns, label, None)))
                 parents[ref.target], late[label], own[label] = ref, ref.deferred, place[name]
     for target, ref in parents.items():
-        for tables, seen in ((stored, -1), (batch, place.get(ref.parent))):
+        for where, tables, seen in (("stored", stored, -1), ("batch", batch, place.get(ref.parent))):
             if ref.parent in tables:
-                parts.append(rows(tables[ref.parent], target, ref.keys, None, seen))
+                roles_of.setdefault((ref.parent, where), []).append(role(target, ref.keys, None, seen))
+    # A table is read once for all its roles.
+    for (name, where), found in roles_of.items():
+        df = batch[name] if where == "batch" else stored[name]
+        parts.append(df.select(F.inline(F.array(*found))).where("target is not null"))
     if not parents:
         return next(iter(batch.values())).sparkSession.createDataFrame([], "reference string, key string, rows bigint")
     every = parts[0]

@@ -3,7 +3,7 @@
 import pytest
 
 from proratio import session
-from proratio.operators import reproduction, staging
+from proratio.operators import promotion, references, reproduction, staging
 
 CELL = "workbook_id string, sheet_name string, column_letters string, column_index int, row_number int, raw_value string, cached_value string, formula_expression string, cell_ref string"
 
@@ -61,3 +61,21 @@ def test_rows_are_brought_together_once_for_all_entries(spark):
         ("u", 2, "A-2", "B-2", None, None, "unit"), ("u", 3, "A-4", "B-3", None, None, "unit"), ("u", 4, "A-4", "B-4", None, None, "unit"),
         ("p", 4, None, None, None, "C-4", "price_output")}
     assert found.count() == 4 and "hashpartitioning(entry_id" not in plan(found)
+
+
+def test_references_read_a_table_once_for_all_its_roles(spark):
+    t = {"p": spark.createDataFrame([("1", "o")], "id string, owner string"),
+         "c": spark.createDataFrame([("1", "o", "1"), ("2", None, "1"), (None, "o", "9")], "p_id string, owner string, q_id string")}
+    rules = {"p": [], "c": [references.to("p_id", "p"), references.Reference(("p_id", "owner"), "p", ("id", "owner")), references.to("q_id", "p")]}
+    found = references.orphans(t, rules=rules)
+    assert {tuple(r) for r in found.collect()} == {("c.p_id", "2", 1), ("c.q_id", "9", 1)}
+    # One leaf a table, not one a reference and one a parent's key.
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
+def test_a_unit_takes_its_first_price(spark):
+    units = spark.createDataFrame([("w", "s", r, "u") for r in (2, 3)], "workbook_id string, sheet_name string, source_row int, id string")
+    prices = spark.createDataFrame([("w", "s", 3, 5.0, 1.0), ("w", "s", 2, 7.0, None)], "workbook_id string, sheet_name string, source_row int, price_value double, price_per_m2_value double")
+    found = promotion.prices(staging.with_marks(prices), units)
+    assert [(r["unit_id"], r["source_row"], float(r["system_calculated_price"])) for r in found.collect()] == [("u", 2, 7.0)]
+    assert "hashpartitioning(run_id" not in plan(found)
