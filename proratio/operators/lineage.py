@@ -70,7 +70,7 @@ def walk(starts: DataFrame, graph: DataFrame, levels: int) -> DataFrame:
     """
     here = starts.select(F.col("kind").alias("start_kind"), F.col("id").alias("start_id"), "kind", "id")
     for _ in range(levels):
-        step = here.join(graph, ["kind", "id"], "left")
+        step = here.join(graph, ["id", "kind"], "left")
         here = step.select("start_kind", "start_id", F.coalesce("source_kind", "kind").alias("kind"), F.coalesce("source_id", "id").alias("id"))
     return here
 
@@ -81,4 +81,6 @@ def to_cells(tables: dict[str, DataFrame], mapping: DataFrame, cells: DataFrame,
     starts = graph.where(F.col("kind").startswith("pricing.")).select("kind", "id").distinct()
     ends = walk(starts, graph, 2).where(F.col("kind") == CELL)
     values = cells.select(place_id("workbook_id", "sheet_name", "cell_ref").alias("id"), F.coalesce("raw_value", "cached_value").alias("value"))
-    return ends.join(values, "id", "left").select("start_kind", "start_id", F.col("id").alias("cell"), "value")
+    # Places begin alike; sorted by a hash first, two of them are seldom compared in full.
+    near = F.xxhash64("id").alias("_near")
+    return ends.select("*", near).join(values.select("*", near), ["_near", "id"], "left").select("start_kind", "start_id", F.col("id").alias("cell"), "value")
