@@ -78,9 +78,13 @@ def summary(tables: dict[str, DataFrame], bound) -> DataFrame:
     """Per run what its stored tables amount to; severity and hash are worked out anew from the stored results."""
     results = attach(tables["pricing.unit_price_results"], tables["pricing.vgv_targets"].select("run_id", "target_value"), "run_id", bound)
     zero = F.lit(0).cast(M)
-    sums = results.groupBy("run_id").agg(
-        F.max("development_id").alias("development_id"), F.count(F.lit(1)).alias("units"), F.max("target_value").alias("target_value"),
-        F.sum("system_calculated_price").cast(M).alias("total"), F.count_if(F.col("system_calculated_price").isNull()).alias("unpriced"))
+    # Numbers alone are added up where the units are: a text among them would have every unit sorted.
+    money = F.col("system_calculated_price")
+    owned = results.groupBy("run_id", "development_id").agg(
+        F.count(F.lit(1)).alias("units"), F.max("target_value").alias("target_value"), F.sum(money).alias("total"), F.count_if(money.isNull()).alias("unpriced"))
+    sums = owned.groupBy("run_id").agg(
+        F.max("development_id").alias("development_id"), F.sum("units").alias("units"), F.max("target_value").alias("target_value"),
+        F.sum("total").cast(M).alias("total"), F.sum("unpriced").alias("unpriced"))
     units = results.select(
         F.col("run_id").alias("development_id"), "tower", "unit_code", "target_value", F.col("system_calculated_price").alias("system_price"),
         F.col("system_calculated_price_per_m2").alias("price_per_m2"), "weighted_area_m2", "participation_share", "combined_weight_factor")
