@@ -26,6 +26,8 @@ from proratio.llm.common import new_path, ranked, stored, text_of
 
 SHARD = 5_000
 ROLL = 16 << 20
+#: Bytes of an archive given to the decompressor at first; most records end within them.
+PIECE = 4 << 10
 #: The time all records bear: archives of the same pages are equal.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -181,14 +183,22 @@ def _make(folder: str) -> None:
 
 
 def _parse(content: bytes):
-    """Records of a file, one gzip member at a time: (headers, block)."""
-    at = 0
-    while at < len(content):
-        member = zlib.decompressobj(31)
-        data = member.decompress(memoryview(content)[at:])
-        if not member.eof:
-            raise ValueError("a record breaks off")
-        at = len(content) - len(member.unused_data)
+    """Records of a file, one gzip member at a time: (headers, block).
+
+    A member is fed in pieces, the first ``PIECE`` bytes and each twice the last: the decompressor copies
+    what lies behind a member's end, which would be the rest of the file for each of its records.
+    """
+    view, at = memoryview(content), 0
+    while at < len(view):
+        member, size, parts = zlib.decompressobj(31), PIECE, []
+        while not member.eof:
+            if at == len(view):
+                raise ValueError("a record breaks off")
+            piece = view[at:at + size]
+            parts.append(member.decompress(piece))
+            at, size = at + len(piece), 2 * size
+        at -= len(member.unused_data)
+        data = b"".join(parts)
         head, block = data.split(b"\r\n\r\n", 1)
         headers = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
         yield headers, block[:int(headers["Content-Length"])]

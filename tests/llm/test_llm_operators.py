@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -288,6 +289,33 @@ def test_warc_of_no_pages(spark):
     assert warc.archived(pages_of(spark, [])).collect() == []
 
 
+def test_warc_parse_reads_a_file_once_whatever_its_records(monkeypatch):
+    given = []
+
+    class Counting:
+        def __init__(self, bits):
+            self.inner = zlib.decompressobj(bits)
+
+        def decompress(self, data):
+            given.append(len(data))
+            return self.inner.decompress(data)
+
+        eof = property(lambda self: self.inner.eof)
+        unused_data = property(lambda self: self.inner.unused_data)
+
+    rng = random.Random(8)
+    payloads = [rng.randbytes(rng.choice([0, 10, 3_000, 5_000, 90_000])) for _ in range(400)]
+    made = [warc.response(i, f"u{i}", p, warc._base32(hashlib.sha1(p).digest())) for i, p in enumerate(payloads)]
+    content = b"".join(made)
+    monkeypatch.setattr(warc, "zlib", SimpleNamespace(decompressobj=Counting))
+    got = list(warc._parse(content))
+    assert [(int(h["Page-Id"]), block.split(b"\r\n\r\n", 1)[1]) for h, block in got] == list(enumerate(payloads))
+    assert sum(given) <= 2 * len(content) + 4096 * len(made)
+    for torn in (content[:-1], made[0] + made[1][:20]):
+        with pytest.raises(ValueError, match="breaks off"):
+            list(warc._parse(torn))
+
+
 # --- op5 ---------------------------------------------------------------------
 
 
