@@ -7,6 +7,7 @@ a CHECK. All predicate rules of a table are tested in one pass over it.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,18 +71,22 @@ def violations(df: DataFrame, rules: list[Rule], key: list[str]) -> DataFrame:
     parts: list[DataFrame] = []
     checks = [r for r in rules if r.kind == "check"]
     if checks:
-        broken = F.array_compact(
-            F.array(*[F.when(~F.expr(r.predicate), F.struct(F.lit(r.id).alias("rule_id"), text(r.columns).alias("detail"))) for r in checks])
+        broken = [~F.expr(r.predicate) for r in checks]
+        # Few rows break a rule: the others are left before any text of theirs is made.
+        rows = df.where(reduce(lambda a, b: a | b, broken))
+        found = F.array_compact(
+            F.array(*[F.when(b, F.struct(F.lit(r.id).alias("rule_id"), text(r.columns).alias("detail"))) for b, r in zip(broken, checks)])
         )
-        parts.append(df.select(text(key).alias("key"), F.explode(broken).alias("b")).select("b.rule_id", "key", "b.detail"))
+        parts.append(rows.select(text(key).alias("key"), F.explode(found).alias("b")).select("b.rule_id", "key", "b.detail"))
     for rule in rules:
         filled = df
         for c in rule.columns:
             filled = filled.where(F.col(c).isNotNull())
         if rule.kind == "unique":
             rows = filled.where(rule.predicate) if rule.predicate else filled
-            # Counted where the rows are, so a key repeated without end stays one row.
-            found = rows.groupBy(*rule.columns).agg(F.count("*").alias("n")).where("n > 1")
+            # Counted where the rows are, so a key repeated without end stays one row. A key names what holds
+            # the row first and the row last, so keys are told apart sooner from behind where they are sorted.
+            found = rows.groupBy(*reversed(rule.columns)).agg(F.count("*").alias("n")).where("n > 1")
             parts.append(found.select(F.lit(rule.id).alias("rule_id"), text(rule.columns).alias("key"), F.col("n").cast("string").alias("detail")))
         elif rule.kind == "foreign":
             names = {c: f"_{i}" for i, c in enumerate(rule.reference_columns)}

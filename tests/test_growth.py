@@ -1,9 +1,11 @@
 """Steps that must grow no faster than their input: their plans, and their rows on odd tables."""
 
+import re
+
 import pytest
 
 from proratio import session
-from proratio.operators import promotion, references, reproduction, staging
+from proratio.operators import promotion, quality, references, reproduction, staging
 
 CELL = "workbook_id string, sheet_name string, column_letters string, column_index int, row_number int, raw_value string, cached_value string, formula_expression string, cell_ref string"
 
@@ -63,6 +65,18 @@ def test_rows_are_brought_together_once_for_all_entries(spark):
     assert found.count() == 4 and "hashpartitioning(entry_id" not in plan(found)
 
 
+def test_rules_pass_rows_that_keep_them_and_tell_keys_apart_from_behind(spark):
+    rows = spark.createDataFrame([("w", "s", "A1", 1, "x"), ("w", "s", "A1", 0, "x"), ("w", "s", "B1", None, None), ("w", "s", "C1", 2, "odd"), ("w", None, "A1", 0, "odd"), ("w", None, "A1", 3, "x")],
+                                 "book string, sheet string, ref string, n int, kind string")
+    rules = [quality.check("n_positive", "n > 0", "n"), quality.domain("kind", ["x"]), quality.unique("book", "sheet", "ref")]
+    found = quality.violations(rows, rules, ["book", "sheet", "ref"])
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("book_sheet_ref_unique", "w|s|A1", "2"), ("kind_domain", "w|NULL|A1", "odd"), ("kind_domain", "w|s|C1", "odd"), ("n_positive", "w|NULL|A1", "0"), ("n_positive", "w|s|A1", "0")]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[ref#\d+, sheet#\d+, book#\d+\]", text)
+    assert re.search(r"Filter .*n#\d+ <= 0\) OR NOT \(kind#\d+ = x\)", text)
+
+
 def test_references_read_a_table_once_for_all_its_roles(spark):
     t = {"p": spark.createDataFrame([("1", "o")], "id string, owner string"),
          "c": spark.createDataFrame([("1", "o", "1"), ("2", None, "1"), (None, "o", "9")], "p_id string, owner string, q_id string")}
