@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proratio.functions.text import blank, effective_value
-from proratio.session import attach, stage
+from proratio.session import attach, fits, stage
 
 SHEET = ["workbook_id", "sheet_name"]
 FIELDS = [
@@ -40,15 +40,17 @@ def check_mapping(mapping: DataFrame) -> None:
         raise MappingError(f"unknown field {extra[0]['field']!r}; known are {', '.join(FIELDS)}")
 
 
-def extract_rows(cells: DataFrame, mapping: DataFrame, bound) -> DataFrame:
-    """One row per mapped data row: every field of the entry, where the anchor field is filled.
+def _row_entries(mapping: DataFrame) -> DataFrame:
+    return mapping.where("confidence = 'HIGH' and extraction = 'row_range'")
+
+
+def mapped_rows(cells: DataFrame, mapping: DataFrame, bound) -> tuple[DataFrame, list[str]]:
+    """A row per row of a sheet with mapped cells, ``found`` their values, and the letters these stand under.
 
     The mapped cells of a sheet's row are brought together once, an array of a value per
-    letter, whatever number of entries and fields read them; the entries then take their
-    fields out of that row by place.
+    letter, whatever number of entries and fields read them.
     """
-    entries = mapping.where("confidence = 'HIGH' and extraction = 'row_range'")
-    named = entries.select(*SHEET, F.explode(F.map_values("columns")).alias("column_letters")).where("column_letters is not null").distinct()
+    named = _row_entries(mapping).select(*SHEET, F.explode(F.map_values("columns")).alias("column_letters")).where("column_letters is not null").distinct()
     # Configuration: as many as there are columns that the mapping names.
     letters = sorted(r[0] for r in named.select("column_letters").distinct().collect()) or [""]
     mapped = attach(
@@ -59,11 +61,15 @@ def extract_rows(cells: DataFrame, mapping: DataFrame, bound) -> DataFrame:
     found = mapped.groupBy(F.col("row_number").alias("source_row"), *SHEET).agg(
         F.array(*[F.max(F.when(F.col("column_letters") == c, F.col("value"))) for c in letters]).alias("found")
     )
+    return found, letters
+
 
+def entry_rows(found: DataFrame, letters: list[str], mapping: DataFrame, bound) -> DataFrame:
+    """One row per entry and row of its sheet where the anchor field is filled; fields are taken from ``found`` by place."""
     def place(field):
         return (F.array_position(F.array(*[F.lit(c) for c in letters]), F.try_element_at("columns", field)) - 1).cast("int")
 
-    places = entries.select(
+    places = _row_entries(mapping).select(
         *SHEET, "entry_id", "start_row", "category", "development_ref", "dimension_guess", place(F.col("anchor_field")).alias("_anchor"),
         *[place(F.lit(f)).alias(f"_{f}") for f in FIELDS],
     )
@@ -73,6 +79,11 @@ def extract_rows(cells: DataFrame, mapping: DataFrame, bound) -> DataFrame:
     )
 
 
+def extract_rows(cells: DataFrame, mapping: DataFrame, bound) -> DataFrame:
+    """One row per mapped data row: every field of the entry, where the anchor field is filled."""
+    return entry_rows(*mapped_rows(cells, mapping, bound), mapping, bound)
+
+
 def extract_cells(cells: DataFrame, mapping: DataFrame, bound) -> DataFrame:
     """Single-cell entries with the raw and effective value of their cell, NULL if there is none."""
     entries = mapping.where("confidence = 'HIGH' and extraction = 'single_cell'")
@@ -152,8 +163,12 @@ def mapping_review(mapping: DataFrame) -> DataFrame:
 def stage_candidates(cells: DataFrame, mapping: DataFrame, bound) -> dict[str, DataFrame]:
     """All five candidate tables of a mapping. Running it again gives the same rows, keyed by entry content."""
     check_mapping(mapping)
-    # Three tables are made of the same rows: the cells are read for them once.
-    rows, single = stage(extract_rows(cells, mapping, bound)), extract_cells(cells, mapping, bound)
+    # Three tables are made of the same rows: the cells are brought together for them once, and stored before each
+    # entry has rows of its own. Where entries are too many to be sent to the rows, that join is stored as well.
+    found, letters = mapped_rows(cells, mapping, bound)
+    within = fits(bound)
+    rows = entry_rows(stage(found) if within else found, letters, mapping, bound)
+    rows, single = rows if within else stage(rows), extract_cells(cells, mapping, bound)
     return {
         "unit_candidates": unit_candidates(rows),
         "parameter_candidates": parameter_candidates(single),

@@ -65,6 +65,25 @@ def test_rows_are_brought_together_once_for_all_entries(spark):
     assert found.count() == 4 and "hashpartitioning(entry_id" not in plan(found)
 
 
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_what_is_staged_is_stored_before_entries_have_rows_of_their_own(spark, monkeypatch, rows):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", rows)
+    entries = [(c, "w", "s", "HIGH", "row_range", c, {f: "A", "tower_ref": "B"}, 2, f, None, "FLOOR") for c, f in (
+        ("unit", "unit_ref"), ("price_output", "unit_ref_guess"), ("calibration", "category_key_guess"))]
+    mapping = spark.createDataFrame(entries, "entry_id string, workbook_id string, sheet_name string, confidence string, extraction string, category string,"
+                                    " columns map<string,string>, start_row int, anchor_field string, development_ref string, dimension_guess string")
+    mapping = mapping.selectExpr("*", *[f"string(null) {c}" for c in ("cell_ref", "parameter_key_guess", "category_key_guess", "value_type_guess", "notes", "field_label",
+                                                                       "canonical_concept", "source_cell_ref")], "int(null) source_row")
+    stored, keep = [], staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df: stored.append(keep(df)) or stored[-1])
+    tables = staging.stage_candidates(mapped_cells(spark), mapping, 10)
+    assert {(r["source_row"], r["unit_ref"], r["tower_ref"]) for r in tables["unit_candidates"].collect()} == {(2, "A-2", "B-2"), (3, "A-4", "B-3"), (4, "A-4", "B-4")}
+    assert sorted(r["unit_ref_guess"] for r in tables["price_output_candidates"].collect()) == ["A-2", "A-4", "A-4"]
+    assert sorted(r["category_key_guess"] for r in tables["calibration_candidates"].collect()) == ["A-2", "A-4", "A-4"]
+    # Rows of the sheet where the entries can be sent to them, else rows of the entries: once either way.
+    assert [set(t.columns) >= {"entry_id"} for t in stored] == [rows == 0]
+
+
 def test_rules_pass_rows_that_keep_them_and_tell_keys_apart_from_behind(spark):
     rows = spark.createDataFrame([("w", "s", "A1", 1, "x"), ("w", "s", "A1", 0, "x"), ("w", "s", "B1", None, None), ("w", "s", "C1", 2, "odd"), ("w", None, "A1", 0, "odd"), ("w", None, "A1", 3, "x")],
                                  "book string, sheet string, ref string, n int, kind string")
