@@ -20,6 +20,8 @@ from proratio.llm.common import stored, text_of
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Links up to which Spark may choose to broadcast them. It goes by the size of files, and those of a dense group pack well.
+FEW_LINKS = 200_000
 
 
 def fingerprint(text: str, words: int = SHINGLE) -> int:
@@ -75,7 +77,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     differ = F.col("a").bitwiseXOR(F.col("b"))
     first = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF))) <= 1
     near = (F.bit_count(differ) <= radius) & (F.col("a") < F.col("b")) & ((F.col("half") == 0) | ~first)
-    return asked.join(table, ["half", "value"]).filter(near).select("a", "b")
+    # Spark sizes both sides as the table they are exploded from, so that either could be broadcast, the one of 66 rows a fingerprint first.
+    return asked.hint("merge").join(table, ["half", "value"]).filter(near).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -91,14 +94,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(edges)
     while before[0]:
+        # No step has more edges than the one before.
+        sized = (lambda df: df) if before[0] <= FEW_LINKS else (lambda df: df.hint("merge"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         # Large star: greater neighbours of a node are tied to its smallest one.
-        large = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(sized(least), "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = stored(large.distinct(), "edges")
         # Small star: smaller neighbours of a node, and itself, are tied to the smallest.
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(sized(smallest), "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(small.union(smallest.select("a", F.col("m").alias("b"))).distinct(), "edges")
         after = mark(edges)
         if after == before:

@@ -425,6 +425,22 @@ def test_links_and_groups_of_planted_fingerprints(spark):
     assert len({(roots[p], want[p]) for p in prints}) == len(set(want.values())) == len(set(roots.values()))
 
 
+def test_no_side_of_the_balls_is_broadcast(spark, monkeypatch):
+    """A few fingerprints in a file are 66 times as many rows once their balls are asked for."""
+    rng = random.Random(7)
+    prints = {rng.getrandbits(62) for _ in range(200)}
+    prints |= {p ^ 1 << rng.randrange(62) for p in list(prints)[:50]}
+    table = common.stored(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    found = simhash.links(table)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+    groups = {r["fp"]: r["root"] for r in simhash.grouped(table).collect()}
+    monkeypatch.setattr(simhash, "FEW_LINKS", 0)
+    assert {r["fp"]: r["root"] for r in simhash.grouped(table).collect()} == groups
+    want = slow_groups(prints)
+    assert len({(groups[p], want[p]) for p in prints}) == len(set(want.values())) == len(set(groups.values()))
+
+
 def test_simhash_of_awkward_rows(awkward, empty):
     rows = simhash.near_duplicates(awkward).collect()
     assert len(rows) == len(awkward_rows())
