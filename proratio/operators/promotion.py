@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proratio.functions.text import blank, development_key, entity_id, typed_value
+from proratio.functions.text import blank, development_key, entity_id, least_id, packed, typed_value, unpacked
 from proratio.session import attach, stage
 
 SCENARIO = "IMPORTED_REFERENCE"
@@ -220,10 +220,11 @@ def prices(candidates: DataFrame, unit_rows: DataFrame, ignore_sheet: bool = Fal
     priced = owned(candidates).where("price_value is not null")
     # Rows and hashes come first in a key: they tell rows apart where these are sorted.
     key = ["source_row", "workbook_id"] if ignore_sheet else ["source_row", "workbook_id", "sheet_name"]
-    matched = unit_rows.groupBy(*key).agg(F.min("id").alias("unit_id"))
+    matched = unit_rows.groupBy(*key).agg(least_id(F.col("id")).alias("unit_id"))
     record = F.struct("workbook_id", "sheet_name", "source_row", "price_value", "price_per_m2_value")
     # A unit has one imported price: the first candidate's. Run and development follow from the key.
-    first = priced.join(matched, key).groupBy("unit_id", "development").agg(F.min(record).alias("p")).withColumn("run_id", run_id())
+    first = priced.join(matched, key).groupBy(packed(F.col("unit_id")).alias("unit_id"), "development").agg(F.min(record).alias("p"))
+    first = first.withColumn("unit_id", unpacked(F.col("unit_id"))).withColumn("run_id", run_id())
     return first.select(
         entity_id(F.lit("pricing.unit_price_results"), "run_id", "unit_id").alias("id"), "run_id", "unit_id",
         F.col("p.price_value").alias("system_calculated_price"),

@@ -1,8 +1,13 @@
 """References over one union, and lineage walked along edges."""
 
+import hashlib
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from proratio import session
+from proratio.functions import text
 from proratio.operators import lineage, quality, references
 from proratio.operators.references import Reference, orphans, to
 
@@ -87,3 +92,42 @@ def test_walks_end_where_edges_end(spark):
     assert ends(1) == {("1", "b", "1"), ("1", "b", "2"), ("7", "a", "7")}
     assert ends(2) == {("1", "c", "9"), ("1", "b", "2"), ("7", "a", "7")}
     assert ends(5) == {("1", "d", "8"), ("1", "b", "2"), ("7", "a", "7")}
+
+
+def test_cells_that_can_be_no_end_are_left_out_early(spark, monkeypatch):
+    values = spark.createDataFrame([(f"w|s{s}|{c}{r}", f"{c}{r}") for s in (1, 2) for c in "BDE" for r in range(1, 41)], "id string, value string")
+    ends = spark.createDataFrame([(f"w|s1|D{r}",) for r in range(2, 30)] * 2 + [("w|s1|B12",), ("w|s2|ZZ9",), ("w|s2|E7",)], "id string")
+    monkeypatch.setattr(lineage, "THIN", 5)
+    got = sorted(r["id"] for r in lineage.reached(values, ends).collect())
+    assert got == sorted([f"w|s1|D{r}" for r in range(1, 41)] + ["w|s1|B12", "w|s2|E7"])
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 2)
+    assert lineage.reached(values, ends).count() == values.count()
+
+
+def test_ids_are_packed_and_come_back(spark):
+    digest = [hashlib.sha256(bytes([i])).hexdigest() for i in range(40)]
+    odd = ["", "abc", digest[0].upper(), digest[1] + "\n", digest[2][:-1], "\n" + digest[3][1:], "é" * 32, "\x01", "A" * 32, None]
+    t = spark.createDataFrame([(i % 3, x) for i, x in enumerate(digest + odd)], "g int, x string")
+    rows = t.select("x", text.packed(F.col("x")).alias("p")).select("x", "p", text.unpacked(F.col("p")).alias("back")).collect()
+    assert all(r["x"] == r["back"] for r in rows) and len({r["p"] and bytes(r["p"]) for r in rows}) == len(rows)
+    assert {len(r["p"]) for r in rows if r["x"] in digest} == {33}
+    both = t.groupBy("g").agg(F.min("x").alias("a"), text.least_id(F.col("x")).alias("b"))
+    assert all(r["a"] == r["b"] for r in both.unionByName(t.where(F.col("x").isin(digest)).groupBy("g").agg(F.min("x").alias("a"), text.least_id(F.col("x")).alias("b"))).collect())
+
+
+def test_staging_leaves_no_shuffle_behind(spark):
+    """What a stage has shuffled goes with it, and the setting is as it was."""
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = {files.apply(i).getName() for i in range(files.size())}
+        return {n for n in names if n.startswith("shuffle_")}
+
+    table = spark.range(5000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n")).repartition(3, "n")
+    setting, before = spark.conf.get(session.CLEANUP, None), shuffles()
+    staged = session.stage(table)
+    for _ in range(50):  # they are removed meanwhile
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(session.CLEANUP, None) == setting
+    assert staged.count() == 100
